@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("urlfilter", "topk")
+MODULES = ("bpe", "urlfilter", "tokencount", "topk")
 
 
 def _modules():
