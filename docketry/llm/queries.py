@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("bpe", "simhash", "langid", "urlfilter", "tokencount", "topk", "toxicity")
+MODULES = ("suffix", "bpe", "simhash", "langid", "urlfilter", "tokencount", "topk", "toxicity")
 
 
 def _modules():
