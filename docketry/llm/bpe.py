@@ -308,6 +308,28 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
+def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """All columns of docs but the text; ``ids``, ``n_tokens``, and ``same``, whether the ids decode to the text.
+
+    The three names must not be among the columns of docs.
+    """
+    others = [c for c in docs.columns if c != text_col]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                ids = [bpe.encode(t) for t in texts]
+                same = [bpe.decode(i.astype(np.int64)) == t for i, t in zip(ids, texts)]
+                n = pa.array([len(i) for i in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], _string_list(ids), n, pa.array(same, pa.bool_())], [*others, "ids", "n_tokens", "same"])
+
+    kept = ", ".join(field(docs.schema, c) for c in others)
+    return docs.mapInArrow(apply, ", ".join(x for x in (kept, "ids array<int>, n_tokens long, same boolean") if x))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 

@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.columns import field
@@ -49,18 +49,18 @@ def fingerprint(text: bytes) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id column and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """The id column, ``fp``, the fingerprint as a signed long, and ``tag``, a hash of the row."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = b"".join(fingerprint((t.as_py() or "").encode()) for t in batch.column(1))
             fp = np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["id", "fp", "tag"])
 
     return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(apply, f"{field(docs.schema, id_col, 'id')}, fp long")
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
+        .mapInArrow(apply, f"{field(docs.schema, id_col, 'id')}, fp long, tag long")
         .withColumnRenamed("id", id_col)
     )
 
@@ -168,6 +168,12 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def linked_nodes(rows: DataFrame, id_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct fp of rows with their ``first`` id, and node and root of those that have links."""
+    nodes = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("first")))
+    return nodes, components(fingerprint_links(nodes, radius))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The id column, ``fingerprint`` and ``component_id``, the smallest id reachable by links.
 
@@ -177,8 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their names cannot clash.
     """
     rows = checkpoint(fingerprints(docs, id_col, text_col))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = components(fingerprint_links(nodes, radius))
+    nodes, roots = linked_nodes(rows, id_col, radius)
     members = roots.join(nodes, roots.node == nodes.fp).select("fp", "root", "first")
     lowest = members.groupBy("root").agg(F.min("first").alias("lowest"))
     linked = members.join(lowest, "root").select("fp", "lowest")
@@ -186,6 +191,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(component, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of docs of each group of near-duplicates, with all its columns: that of the smallest id.
+
+    A null id counts as larger than any other. Of several rows of one id in a group, one stays.
+    """
+    tag = F.xxhash64(*docs.columns)
+    rows = checkpoint(fingerprints(docs, id_col, text_col, tag))
+    _, roots = linked_nodes(rows, id_col, radius)
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("tag").alias("tag"))
+    each = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    best = each.join(roots, each.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    best = checkpoint(best.select(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")))
+    kept = docs.join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left_semi")
+    again = rows.join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left_semi").groupBy(id_col, "tag").count()
+    return kept.dropDuplicates() if not again.where("count > 1").isEmpty() else kept
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

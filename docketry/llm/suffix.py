@@ -463,7 +463,15 @@ def removed_spans(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.
     return a[new], reach[last]
 
 
-def _cut(names: list[str]):
+def whole_characters(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of UTF-8 widened to the characters that they touch; those that then meet stay apart."""
+    if not len(a):
+        return a, b
+    at = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))  # where characters begin
+    return at[np.searchsorted(at, a, "right") - 1], at[np.searchsorted(at, b, "left")]
+
+
+def _cut(names: list[str], as_text: bool):
     def cut(key, docs: pa.Table, covers: pa.Table) -> pa.Table:
         rank, tag, first, count = unpack_all(COVER, covers.column("data").to_pylist())
         order, ranges = _by_document(rank, tag)
@@ -476,7 +484,8 @@ def _cut(names: list[str]):
             a, b = removed_spans(first[i:j], count[i:j])
             if len(a):
                 keep = np.ones(len(text), bool)
-                keep[ragged(a, b - a)] = False
+                wide_a, wide_b = whole_characters(text, a, b) if as_text else (a, b)
+                keep[ragged(wide_a, wide_b - wide_a)] = False
                 text = text[keep]
             n_removed.append(int((b - a).sum()))
             spans_a.append(a)
@@ -486,19 +495,22 @@ def _cut(names: list[str]):
         ab = pa.StructArray.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (spans_a, spans_b)], ["start", "end"])
         return pa.table(
             [docs.column(c) for c in names]
-            + [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), ab), pa.array(kept, pa.binary())],
+            + [pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), ab), pa.array(kept, pa.binary()).cast(pa.string() if as_text else pa.binary())],
             [*names, "n_bytes", "n_removed", "spans", "kept"],
         )
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False
+) -> DataFrame:
     """The id column and those to carry, ``n_bytes``, ``n_removed``, ``spans`` and ``kept``.
 
     kept holds the bytes of a text that no LENGTH-byte string of a document with a
     smaller id covers, spans the maximal runs that went, as byte offsets. Matches never
-    cross documents and are judged on the input. A null text is empty; texts shorter
+    cross documents and are judged on the input. With as_text kept is a string, without
+    the characters of which a part went. A null text is empty; texts shorter
     than LENGTH bytes keep everything. Rows that repeat an id are documents of equal
     rank: they never remove each other. A null id ranks after all others. An empty
     table gives an empty result; columns are carried only by name, and carried names
@@ -525,10 +537,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [id_col, *carried]
     out = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return by_chunk.cogroup(of_chunk(matched.union(resolved), COVERS)).applyInArrow(
-        _cut(names), f"{out}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+        _cut(names, as_text), f"{out}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}"
     )
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """All rows and columns of docs; texts without their repeats, a null one empty, and their lengths anew.
+
+    A text that repeats from end to end stays as an empty one.
+    """
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).dropFields(text_col).alias("row"))
+    done = remove_repeats(whole, "id", "text", ["row"], as_text=True)
+    new = {text_col: F.col("kept"), length_col: F.length("kept").cast("long")}
+    return done.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

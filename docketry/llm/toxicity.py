@@ -164,6 +164,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return machine
 
 
+def _scorer(machine: FactorizationMachine | None):
+    """A function from a column of texts to scores."""
+    of = Featurizer(machine.features) if machine else None
+
+    def score(texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts))
+        if of:
+            for i, t in enumerate(texts):
+                at = list(of(t.as_py() or ""))
+                v = machine.v[at]
+                s = v.sum(0)
+                m = machine.bias + machine.w[at].sum() + 0.5 * ((s * s).sum() - (v * v).sum())
+                out[i] = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+        return out
+
+    return score
+
+
 def score_documents(docs: DataFrame, machine: FactorizationMachine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column and ``score``, the chance that a text is toxic.
 
@@ -173,17 +191,9 @@ def score_documents(docs: DataFrame, machine: FactorizationMachine | None, id_co
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Featurizer(machine.features) if machine else None
+        score = _scorer(machine)
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            if of:
-                for i, t in enumerate(batch.column(1)):
-                    at = list(of(t.as_py() or ""))
-                    v = machine.v[at]
-                    s = v.sum(0)
-                    m = machine.bias + machine.w[at].sum() + 0.5 * ((s * s).sum() - (v * v).sum())
-                    score[i] = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], ["id", "score"])
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -192,6 +202,17 @@ def score_documents(docs: DataFrame, machine: FactorizationMachine | None, id_co
     )
 
 
+def keep_clean(docs: DataFrame, machine: FactorizationMachine | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose texts score below the threshold, with all their columns."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(machine)
+        for batch in batches:
+            yield batch.filter(pa.array(score(batch.column(text_col)) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
