@@ -1,4 +1,4 @@
-"""All queries of the reporting, billing, document and governance modules, with their SQL."""
+"""All queries of the reporting, billing, document, event and governance modules, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reporting",)
+MODULES = ("reporting", "console", "casework")
 
 
 def _modules():
