@@ -5,14 +5,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.access import PHI_TABLES, is_phi
-from docketry.functions.texts import redact
+from docketry.functions.texts import LONG_TEXT, PERSONAL, redact
 
 #: Names of fields that hold clinical or personal content, in small letters and digits.
 SENSITIVE = (
@@ -82,12 +84,6 @@ def _redacted(c: Column, kind: T.DataType, depth: int, sensitive: bool) -> Colum
 
 def redact_json(c: Column) -> Column:
     """Free JSON redacted at any depth; null if it is no JSON. Its shape is unknown, so this is Python."""
-    import json
-
-    import pandas as pd
-
-    from docketry.functions.texts import LONG_TEXT, PERSONAL
-
     rules = [(re.compile(p, re.ASCII), f"[redacted:{k}]") for k, p in PERSONAL.items()]
 
     def clean(v, depth):

@@ -123,6 +123,35 @@ def draft_verdicts(verified: DataFrame, key: str = "draft_id") -> DataFrame:
     ).select(key, (F.col("any") & (F.col("rejected") == 0)).alias("ok"), "total", "rejected", "failure_rate")
 
 
+ANCHOR = 3
+#: Up to so many quotes are broadcast.
+BROADCAST_QUOTES = 100_000
+
+
+def quoted_by(docs: DataFrame, quotes: DataFrame, id_col: str = "doc_id", quote_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(id, quote id, char_start, char_end) of the quotes that each document holds.
+
+    Candidates come from an equi-join on an anchor: the hash of the first words of a
+    quote that are whole in it, its second to fourth. Only quotes of fewer words, which
+    have no such anchor, are compared with every document.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[\s\x0B\x{A0}]+"), lambda w: w != "")
+    q = quotes.select(F.col(quote_id), F.col(text_col).alias("_quote"), words(F.col(text_col)).alias("_w")).where(F.length("_quote") >= LEAST_QUOTE)
+    long = q.where(F.size("_w") >= ANCHOR + 2).select(quote_id, "_quote", F.xxhash64(F.slice("_w", 2, ANCHOR)).alias("_anchor"))
+    short = q.where(F.size("_w") < ANCHOR + 2).select(quote_id, "_quote")
+    long = F.broadcast(long) if long.count() <= BROADCAST_QUOTES else long
+    d = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    w = d.select(id_col, words(F.col("_text")).alias("_w"))
+    starts = F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1)
+    anchors = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, F.lit(ANCHOR)))))
+    met = w.where(F.size("_w") >= ANCHOR).select(id_col, F.explode(anchors).alias("_anchor")).join(long, "_anchor").select(id_col, quote_id, "_quote")
+    pairs = met.join(d, id_col)
+    if not short.isEmpty():
+        pairs = pairs.unionByName(d.crossJoin(short).select(*pairs.columns))
+    found = pairs.withColumn("_v", verified_quote(F.col("_quote"), F.col("_text"))).where("_v.reason is null")
+    return found.select(id_col, quote_id, "_v.char_start", "_v.char_end")
+
+
 def assertion_errors() -> Column:
     """What keeps a row from being an assertion at all, null if nothing does."""
     blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
