@@ -47,7 +47,7 @@ def decode_numeric_entities(c: Column) -> Column:
         known = (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
         return F.when(known, F.unhex(utf8).cast("string")).otherwise(F.concat(F.lit("&#"), code, F.lit(";")))
 
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.transform(codes, char)[i], F.lit(""))))
+    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.transform(codes, char), i), F.lit(""))))
     return F.when(F.size(codes) > 0, F.array_join(pieces, "")).otherwise(c)
 
 
