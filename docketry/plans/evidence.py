@@ -37,10 +37,13 @@ def retrieved_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest verified holding of the same label for every tenth one."""
+    """The three nearest holdings of the same label for each of the first ten.
+
+    The query set is fixed and broadcast; a task keeps its three best of each query before anything is shuffled.
+    """
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("label"), F.col("embedding").alias("q"))
-    pairs = q.join(e, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    pairs = e.join(F.broadcast(q), "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "rank", "vec_id", "similarity")
 
@@ -113,7 +116,7 @@ select query_id, rank, holding_id, round(score, 5) as score, round(sim, 5) as si
   case when denial_basis = 'proprietary_criteria' and coalesce(q_denial_basis, '') <> 'proprietary_criteria' then 'addresses proprietary criteria, which travels across service types' end,
   case when sim > 0.2 then 'language closely matches the denial' end) as reasons from r where rank <= 12""",
     "similar_holdings": f"""with p as (select q.vec_id as query_id, e.vec_id, round({_COS.format("q.embedding", "e.embedding")}, 6) as similarity from embeddings q join embeddings e using (label)
-  where q.vec_id % 10 = 0 and e.vec_id <> q.vec_id)
+  where q.vec_id < 10 and e.vec_id <> q.vec_id)
 select query_id, row_number() over (partition by query_id order by similarity desc, vec_id)::integer as rank, vec_id, similarity from p qualify rank <= 3""",
     "controlling_spans": f"""{with_views("source_span", "source_document")}, t as (select span_id, citation, heading || ' ' || text as t from source_span join source_document using (source_document_id)
   where citation in ('42 CFR Part 409', '42 CFR Part 422')), h as (select span_id, citation, {_HITS} as hits from t)
