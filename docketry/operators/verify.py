@@ -27,6 +27,7 @@ SAME = {
 }
 TABLE = str.maketrans({c: to for to, chars in SAME.items() for c in chars})
 WHITE = re.compile(r"[ \t\n\r\x0b\x0c\u0085     -   　﻿]+")
+INK = re.compile(r"[^ \t\n\r\x0b\x0c\u0085     -   　﻿]+")
 PLAIN_ASCII = re.compile(r"[\x00-\x5f\x61-\x7f]*\Z")
 
 
@@ -36,25 +37,16 @@ def fold(s: str) -> str:
 
 
 def fold_with_places(s: str) -> tuple[str, list[int]]:
-    """The form of a source, folded character by character, and where each character comes from."""
-    out: list[str] = []
-    places: list[int] = []
-    gap = False
-    for i, c in enumerate(s):
-        mapped = unicodedata.normalize("NFKC", c).translate(TABLE)
-        if not mapped:
-            continue
-        if WHITE.fullmatch(mapped):
-            gap = True
-            continue
-        if gap and out:
-            out.append(" ")
-            places.append(i)
-        gap = False
-        for x in mapped.lower():
-            out.append(x)
-            places.append(i)
-    return "".join(out), places
+    """The form of a source, each character folded for itself, and where each comes from.
+
+    Runs of white space count as one wherever they come from, so for composed text this
+    gives what fold gives.
+    """
+    pieces = [unicodedata.normalize("NFKC", c).translate(TABLE).lower() for c in s]
+    flat, origin = "".join(pieces), [i for i, p in enumerate(pieces) for _ in p]
+    words = [m.span() for m in INK.finditer(flat)]
+    places = [i for n, (a, b) in enumerate(words) for i in (origin[a - 1 : b] if n else origin[a:b])]
+    return " ".join(flat[a:b] for a, b in words), places
 
 
 def place_of(quote: str | None, source: str | None) -> tuple[str | None, int | None, int | None]:

@@ -85,12 +85,11 @@ def catalogs(spark: SparkSession, as_of: str) -> DataFrame:
 
 # --- PDF ---
 
-_STREAM = re.compile(rb"stream\r?\n?")
-_PICTURE = re.compile(rb"/(DCTDecode|JPXDecode|CCITTFaxDecode|JBIG2Decode)")
-_SHOWN = re.compile(r"\((?:[^()\\]|\\.)*\)\s*(?:Tj|')|\[(?:[^\][\\]|\\.)*\]\s*TJ|T\*|\bT[dD]\b|\bET\b", re.S)
-_PIECE = re.compile(r"\((?:[^()\\]|\\.)*\)|-?\d+(?:\.\d+)?", re.S)
+#: Tokens of a content stream: literal strings, numbers, array brackets, operator names.
+_TOKEN = re.compile(r"\((?P<string>(?:[^()\\]|\\.)*)\)|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<open>\[)|(?P<close>\])|(?P<name>/?[A-Za-z*'\"][A-Za-z0-9*]*)", re.S)
 _ESCAPE = re.compile(r"\\(?:([0-7]{1,3})|(.))", re.S)
 _NAMED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+_PICTURES = (b"DCTDecode", b"JPXDecode", b"CCITTFaxDecode", b"JBIG2Decode")
 #: A kern at least this far back is a space between words.
 SPACE_KERN = -180
 
@@ -99,47 +98,59 @@ def _unescape(s: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1], 8)) if m[1] else _NAMED.get(m[2], m[2]), s)
 
 
-def _contents(data: bytes):
-    """The streams of a file that may show text, inflated."""
-    at = 0
-    while m := _STREAM.search(data, at):
-        end = data.find(b"endstream", m.end())
-        if end < 0:
-            return
-        head = data[max(0, data.rfind(b"<<", 0, m.start())) : m.start()]
-        raw, at = data[m.end() : end], end + len(b"endstream")
-        if b"FlateDecode" in head:
-            for bits in (15, -15, 47):
-                try:
-                    yield zlib.decompressobj(bits).decompress(raw)
-                    break
-                except zlib.error:
-                    continue
-        elif not _PICTURE.search(head):
-            yield raw
-
-
-def _shown(content: str) -> str:
+def _inflate(raw: bytes) -> bytes | None:
+    for bits in (zlib.MAX_WBITS, -zlib.MAX_WBITS, 32 + zlib.MAX_WBITS):
+        try:
+            return zlib.decompressobj(bits).decompress(raw)
+        except zlib.error:
+            pass
+    return None
+
+
+def _contents(data: bytes) -> list[str]:
+    """The streams of a file that are neither pictures nor broken, inflated."""
+    found = []
+    for part in data.split(b"endstream")[:-1]:
+        head, mark, raw = part.partition(b"stream")
+        if not mark:
+            continue
+        about = head[head.rfind(b"<<") :] if b"<<" in head else head
+        raw = raw.removeprefix(b"\r").removeprefix(b"\n")
+        body = _inflate(raw) if b"FlateDecode" in about else None if any(p in about for p in _PICTURES) else raw
+        if body:
+            found.append(body.decode("latin-1"))
+    return found
+
+
+def _shown(content: str) -> tuple[str, bool]:
+    """What a content stream shows, and whether it has an operator that shows text.
+
+    Operands gather until an operator takes them, as a PDF reader does.
+    """
     out: list[str] = []
-    for m in _SHOWN.finditer(content):
-        token = m[0].rstrip()
-        if token in ("T*", "Td", "TD", "ET"):
-            out.append("\n")
-        elif token.endswith("TJ"):
-            for piece in _PIECE.findall(token[1 : token.rindex("]")]):
-                if piece[0] == "(":
-                    out.append(_unescape(piece[1:-1]))
-                elif float(piece) < SPACE_KERN:
-                    out.append(" ")
-        else:
-            out.append(_unescape(token[1 : token.rindex(")")]) + ("\n" if token.endswith("'") else ""))
-    return "".join(out)
+    operands: list[str | float] = []
+    shows = False
+    for m in _TOKEN.finditer(content):
+        if m["string"] is not None:
+            operands.append(_unescape(m["string"]))
+        elif m["number"] is not None:
+            operands.append(float(m["number"]))
+        elif m["name"] is not None:
+            op, texts = m["name"], [x for x in operands if isinstance(x, str)]
+            if op == "TJ":
+                texts = [x if isinstance(x, str) else " " for x in operands if isinstance(x, str) or x < SPACE_KERN]
+            if op in ("Tj", "TJ", "'"):
+                shows = shows or op != "'"
+                out += texts
+            if op in ("'", "T*", "Td", "TD", "ET"):
+                out.append("\n")
+            operands = []
+    return "".join(out), shows
 
 
 def text_of_pdf(data: bytes) -> str:
     """The text a PDF shows, with a form feed between content streams; empty if none can be read."""
-    contents = (c.decode("latin-1") for c in _contents(data))
-    pages = [t for t in (_shown(c) for c in contents if re.search(r"\bT[jJ]\b", c)) if t.strip()]
+    pages = [t for t, shows in map(_shown, _contents(data)) if shows and t.strip()]
     text = re.sub(r"\r\n?", "\n", "\f".join(pages))
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", text))
 
