@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as JavaScript and Unicode-aware readers see it.
-SPACE = r"[\s\x0B   -     　﻿]"
+SPACE = r"[\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def _replace_all(c: Column, rules: Sequence[tuple[str, str]]) -> Column:

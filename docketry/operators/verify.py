@@ -18,16 +18,16 @@ from pyspark.sql import functions as F
 LEAST_QUOTE = 24
 #: Characters that mean the same, by what they become.
 SAME = {
-    "'": "‘’‚‛′´`",
-    '"': "“”„‟″",
-    "-": "‐‑‒–—―−­",
-    "...": "…",
-    " ": "               　",
-    "": "​‌‍﻿",
+    "'": "\u2018\u2019\u201a\u201b\u2032\u00b4`",
+    '"': "\u201c\u201d\u201e\u201f\u2033",
+    "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00ad",
+    "...": "\u2026",
+    " ": "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000",
+    "": "\u200b\u200c\u200d\ufeff",
 }
 TABLE = str.maketrans({c: to for to, chars in SAME.items() for c in chars})
-WHITE = re.compile(r"[ \t\n\r\x0b\x0c\u0085     -   　﻿]+")
-INK = re.compile(r"[^ \t\n\r\x0b\x0c\u0085     -   　﻿]+")
+WHITE = re.compile(r"[ \t\n\r\x0b\x0c\u0085\u2028\u2029\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]+")
+INK = re.compile(r"[^ \t\n\r\x0b\x0c\u0085\u2028\u2029\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]+")
 PLAIN_ASCII = re.compile(r"[\x00-\x5f\x61-\x7f]*\Z")
 
 
