@@ -175,3 +175,15 @@ def test_templates(spark):
         texts.wrap(F.lit("aa bb cccccc d"), 5), texts.embedded_json(F.lit("x [1, 2] y")), texts.embedded_json(F.lit("no")),
     ).first()
     assert tuple(r) == ("$1 {{b}}  {{c}}", ["b", "a"], ["aa bb", "cccccc", "d"], "[1, 2]", None)
+
+
+def test_functions_in_sql(spark):
+    from docketry.operators import sql
+
+    sql.register(spark)
+    text = "ANALYSIS\n\nThis paragraph is long enough to be a passage of its own."
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    rows = spark.sql("select d.doc_id, s.ordinal, s.heading_path from {d} d, lateral spans_of(d.text) s", d=docs).collect()
+    assert [tuple(r) for r in rows] == [(1, 1, ["ANALYSIS"])]
+    r = spark.sql("select verify_quote('is LONG enough to be a passage', text).char_start a, fold_text(text) f, size(embed_text('abc')) n from {d} where doc_id = 1", d=docs).first()
+    assert (r.a, r.n) == (text.index("is long"), 384) and r.f.startswith("analysis this")
