@@ -5,6 +5,9 @@ k-grams, so equal windows share a key wherever they stand. Neighbouring windows
 one key form a block; only blocks travel, packed as arrays, and each task sends a block
 once however often it meets it.
 
+0. crowds: keys under which very many blocks differ, as at the ends of a passage that a
+   large share of all documents hold. There are few, and their blocks are dealt as single
+   windows keyed by their own hash, so no key gathers more than a row of each task.
 1. blocks: windows to blocks of (key, block hash, document, place), dealt by key.
 2. match: equal blocks are decided whole by their smallest document. Where a key has
    blocks that differ, at the ends of a repeated passage, their bytes are asked for.
@@ -21,7 +24,6 @@ Equality of blocks rests on 96 bits of two unlike hashes; equality of suffixes o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ LENGTH, GRAM = 50, 20
 #: Bytes hashed at once, blocks sent at once, longest block, bytes that start out a sort,
 #: bytes sorted at once (or all that share a key).
 PIECE, FLUSH, LONGEST, HEAD, SORTED = 1 << 19, 500_000, 1024, 8, 1 << 21
+#: Unlike blocks of a key within a task that are worth counting; a key is crowded if these
+#: exceed CROWDED and a part of all blocks, so that there are at most MOST_CROWDS such keys.
+CROWD, CROWDED, MOST_CROWDS = 32, 1000, 10_000
 #: Rank of a document without an id: after all others.
 LAST = (1 << 63) - 1
 
@@ -83,27 +88,38 @@ def dealt(kind: int, layout, part: np.ndarray, arrays) -> pa.RecordBatch:
     return rows(kind, part[at], [pack(layout, [a[i:j] for a in arrays]) for i, j in zip(at, ends)])
 
 
-class Hashes:
-    """Prefix polynomial hashes modulo 2^64 over random values of the bytes."""
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    _rng = np.random.default_rng(20)
-    VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-    BASE = int(_rng.integers(1 << 40, 1 << 62)) | 1
 
-    @staticmethod
-    @lru_cache(maxsize=4)
-    def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-        inverse = pow(Hashes.BASE, -1, 1 << 64)
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n powers of a base and of its inverse; a worker keeps the longest so far."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         out = []
-        for b in (Hashes.BASE, inverse):
+        for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(n, b, np.uint64)
             p[0] = 1
             out.append(np.cumprod(p))
-        return out[0], out[1]
+        _POWERS[base] = out[0], out[1]
+    return _POWERS[base]
+
+
+class Hashes:
+    """Prefix polynomial hashes modulo 2^64 over random values of the bytes."""
+
+    SEED = 20
+
+    def __init_subclass__(cls) -> None:
+        cls._draw()
+
+    @classmethod
+    def _draw(cls) -> None:
+        rng = np.random.default_rng(cls.SEED)
+        cls.VALUE = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        cls.BASE = int(rng.integers(1 << 40, 1 << 62)) | 1
 
     def __init__(self, data: np.ndarray):
         size = max(1 << 20, -(-len(data) >> 20) << 20)
-        power, self.inverse = self.powers(size)
+        power, self.inverse = powers(self.BASE, size)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.VALUE[data] * power[: len(data)], out=self.prefix[1:])
 
@@ -112,14 +128,35 @@ class Hashes:
         return (self.prefix[start + length] - self.prefix[start]) * self.inverse[start]
 
 
+Hashes._draw()
+
+
+class OtherHashes(Hashes):
+    """Hashes of another base and other values."""
+
+    SEED = 21
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """key, hash, piece, first window and windows of each block of several pieces of data."""
+def single_windows(data: np.ndarray, h: Hashes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, hash and place of each window of some blocks: 96 bits of two unlike hashes of its bytes."""
+    at = ragged(first, size)
+    span = size + LENGTH - 1
+    other = OtherHashes(data[ragged(first, span)])
+    moved = ragged(np.cumsum(span) - span, size)
+    return mix(other.of(moved, LENGTH)) >> np.uint64(16), mix(h.of(at, LENGTH) + np.uint64(1)) >> np.uint64(16), at
+
+
+def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crowds: np.ndarray | None = None):
+    """key, hash, piece, first window and windows of each block of several pieces of data.
+
+    Blocks whose key is among crowds, sorted, come as blocks of a single window.
+    """
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n < 1:
@@ -151,6 +188,14 @@ def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         size = np.minimum(left, LONGEST)
     key = mix(least[first]) >> np.uint64(16)
     block = mix(h.of(first, size + (LENGTH - 1)) + size.astype(np.uint64)) >> np.uint64(16)
+    if crowds is not None and len(crowds):
+        crowded = crowds[np.minimum(np.searchsorted(crowds, key), len(crowds) - 1)] == key
+        if crowded.any():
+            k, b, at = single_windows(data, h, first[crowded], size[crowded])
+            owner = np.repeat(piece[crowded], size[crowded])
+            plain = ~crowded
+            key, block, piece = (np.concatenate([x[plain], y]) for x, y in ((key, k), (block, b), (piece, owner)))
+            first, size = np.concatenate([first[plain], at]), np.concatenate([size[plain], np.ones(len(at), size.dtype)])
     return key, block, piece, first, size
 
 
@@ -186,41 +231,75 @@ def _send(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     yield dealt(BLOCKS, BLOCK, (key[go] % np.uint64(buckets)).astype(np.int64), [a[go] for a in (key, block, rank, tag, chunk, place, size)])
 
 
-def _blocks(buckets: int):
+def _batches_of_blocks(batches: Iterator[pa.RecordBatch], crowds: np.ndarray | None = None) -> Iterator[list]:
+    """Lists of (key, block, rank, tag, chunk, place, size) arrays, about FLUSH blocks each."""
+    held, n = [], 0
+    for batch in batches:
+        rank, tag, chunk = (np.asarray(batch.column(i), np.int64) for i in range(3))
+        flat, offsets = utf8(batch.column(3))
+        doc = 0
+        while doc < batch.num_rows:
+            upto = max(doc + 1, int(np.searchsorted(offsets, offsets[doc] + PIECE, "right")) - 1)
+            a, b = int(offsets[doc]), int(offsets[upto])
+            for at in range(a, max(a + 1, b), PIECE):  # more than one only for a long document
+                end = min(b, at + PIECE + LENGTH - 1)
+                if b - a <= PIECE:
+                    starts, ends = offsets[doc:upto] - a, offsets[doc + 1 : upto + 1] - a
+                else:
+                    starts, ends = np.array([0]), np.array([end - at])
+                key, block, piece, first, size = find_blocks(flat[at:end], starts, ends, crowds)
+                if b - a > PIECE:
+                    inside = first < PIECE  # later windows belong to the next piece
+                    size = np.minimum(size, PIECE - first)
+                    if not inside.all() or (first + size > PIECE).any():
+                        key, block, piece, first, size = (x[inside] for x in (key, block, piece, first, size))
+                d = doc + piece
+                held.append((key, block, rank[d], tag[d], chunk[d], at + first - offsets[d], size))
+                n += len(key)
+                if n >= FLUSH:
+                    yield held
+                    held, n = [], 0
+            doc = upto
+    if n:
+        yield held
+
+
+def _blocks(buckets: int, crowds: np.ndarray | None = None):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            rank, tag, chunk = (np.asarray(batch.column(i), np.int64) for i in range(3))
-            flat, offsets = utf8(batch.column(3))
-            doc = 0
-            while doc < batch.num_rows:
-                upto = max(doc + 1, int(np.searchsorted(offsets, offsets[doc] + PIECE, "right")) - 1)
-                a, b = int(offsets[doc]), int(offsets[upto])
-                for at in range(a, max(a + 1, b), PIECE):  # more than one only for a long document
-                    end = min(b, at + PIECE + LENGTH - 1)
-                    if b - a <= PIECE:
-                        starts, ends = offsets[doc:upto] - a, offsets[doc + 1 : upto + 1] - a
-                    else:
-                        starts, ends = np.array([0]), np.array([end - at])
-                    key, block, piece, first, size = find_blocks(flat[at:end], starts, ends)
-                    if b - a > PIECE:
-                        inside = first < PIECE  # later windows belong to the next piece
-                        size = np.minimum(size, PIECE - first)
-                        if not inside.all() or (first + size > PIECE).any():
-                            key, block, piece, first, size = (x[inside] for x in (key, block, piece, first, size))
-                    d = doc + piece
-                    held.append((key, block, rank[d], tag[d], chunk[d], at + first - offsets[d], size))
-                    n += len(key)
-                    if n >= FLUSH:
-                        yield from _send(held, buckets)
-                        held, n = [], 0
-                doc = upto
-        if n:
+        for held in _batches_of_blocks(batches, crowds):
             yield from _send(held, buckets)
 
     return blocks
 
 
+def _crowds(crowd: int):
+    """Keys with many unlike blocks, and their number; key -1 has the number of all blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _batches_of_blocks(batches):
+            key, block = (np.concatenate(x) for x in list(zip(*held))[:2])
+            total, many = len(key), repeated(key)
+            key, block = key[many], block[many]
+            order = np.lexsort((block, key))
+            key, block = key[order], block[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])[: len(key)]
+            keys, n = np.unique(key[new], return_counts=True)
+            large = n >= crowd
+            out = np.append(keys[large].astype(np.int64), -1), np.append(n[large], total)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "n"])
+
+    return count
+
+
+def crowded_keys(sent: DataFrame, crowd: int, crowded: int) -> np.ndarray:
+    """The keys whose unlike blocks are more than crowded and than a part of all, sorted."""
+    counts = checkpoint(sent.mapInArrow(_crowds(crowd), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total = counts.where("key = -1").first()
+    least = max(crowded, (total.n if total else 0) // MOST_CROWDS)
+    found = counts.where((F.col("key") >= 0) & (F.col("n") > least)).collect()  # at most MOST_CROWDS
+    return np.sort(np.array([r.key for r in found], np.uint64))
+
+
 def _gather(batches: Iterator[pa.RecordBatch], kind: int) -> tuple[list[bytes], list[pa.RecordBatch]]:
     """Data of one kind, and the rows of the others."""
     own, others = [], []
@@ -471,7 +550,7 @@ def whole_characters(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np
     return at[np.searchsorted(at, a, "right") - 1], at[np.searchsorted(at, b, "left")]
 
 
-def _cut(names: list[str], as_text: bool):
+def _cut(names: list[str], as_text: bool = False):
     def cut(key, docs: pa.Table, covers: pa.Table) -> pa.Table:
         rank, tag, first, count = unpack_all(COVER, covers.column("data").to_pylist())
         order, ranges = _by_document(rank, tag)
@@ -503,8 +582,9 @@ def _cut(names: list[str], as_text: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False,
+    crowd: int = CROWD, crowded: int = CROWDED,
+) -> DataFrame:
     """The id column and those to carry, ``n_bytes``, ``n_removed``, ``spans`` and ``kept``.
 
     kept holds the bytes of a text that no LENGTH-byte string of a document with a
@@ -528,7 +608,8 @@ def remove_repeats(
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(2 * buckets)).cast("int").alias("_chunk"),
         text.alias("_text"),
     )
-    sent = prepared.select("_rank", "_tag", "_chunk", "_text").mapInArrow(_blocks(buckets), ROW)
+    sent = prepared.select("_rank", "_tag", "_chunk", "_text")
+    sent = sent.mapInArrow(_blocks(buckets, crowded_keys(sent, crowd, crowded)), ROW)
     matched = checkpoint(sent.repartitionById(buckets, F.pmod("part", F.lit(buckets)).cast("int")).mapInArrow(match, ROW))
     by_chunk = prepared.groupBy("_chunk")
     of_chunk = lambda df, kind: df.where(F.col("kind") == kind).select(F.col("part").alias("_chunk"), "data").groupBy("_chunk")

@@ -26,9 +26,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, **parameters):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int").repartition(3)
-    got = suffix.remove_repeats(df).collect()
+    got = suffix.remove_repeats(df, **parameters).collect()
     assert all(r.n_removed == sum(s.end - s.start for s in r.spans) and len(r.kept) == r.n_bytes - r.n_removed for r in got)
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str)
 
@@ -100,3 +100,15 @@ def test_sort_orders_suffixes():
     got = at[first][suffix.SuffixSorter(data).sort(at[first], starts)]
     strings = [bytes(data[i : i + suffix.LENGTH]) for i in got]
     assert strings == sorted(strings)
+
+
+@pytest.mark.parametrize("crowd,crowded", [(2, 1), (3, 6)])
+def test_crowded_keys_give_the_same(spark, crowd, crowded):
+    rows = corpus(5)
+    common = "a passage that a third of all documents share, whatever stands around it, and in the same words "
+    rows += [(2_000_000 + i, f"{i * 7919} before {i}" + common + f"after {i * 104729} it") for i in range(40)]
+    rows += [(3_000_000 + i, "\n" + common + "\n" + str(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = df.selectExpr("coalesce(doc_id, 9) r", "cast(1 as bigint) t", "1 c", "coalesce(text, '') x")
+    assert len(suffix.crowded_keys(sent, crowd, crowded)) > 0
+    assert run(spark, rows, crowd=crowd, crowded=crowded) == brute(rows)
