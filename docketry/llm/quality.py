@@ -34,8 +34,9 @@ P = len(FLOOR)
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each whole text.
 
-    Windows of three words are compared by a hash that keeps all bits but those that
-    number the windows of its text.
+    Windows of three words are sorted by a hash that keeps all bits but those that number
+    the windows of its text; neighbours of one hash are compared word by word. A text in
+    which two of them differ has its windows sorted by their words instead.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -54,10 +55,21 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("_bits", bits).withColumn("_hashes", numbered)
     keyed = F.expr("sort_array(transform(_hashes, (h, i) -> (shiftleft(shiftright(h, _bits), _bits) | cast(i as bigint))))")
     rows = rows.withColumn("_keyed", keyed)
+    p, q = "cast(k & (shiftleft(1L, _bits) - 1) as int)", "cast(get(_keyed, i + 1) & (shiftleft(1L, _bits) - 1) as int)"
+    same = " and ".join(f"get(_words, {p} + {d}) = get(_words, {q} + {d})" for d in range(3))
+    rows = rows.withColumn("_next", F.expr(f"transform(_keyed, (k, i) -> if(shiftright(k, _bits) = shiftright(get(_keyed, i + 1), _bits), if({same}, 1, 2), 0))"))
+    rows = rows.withColumn(
+        "_by_words",
+        F.expr(
+            "if(array_contains(_next, 2), sort_array(transform(_hashes, (h, i) -> "
+            "struct(get(_words, i) as a, get(_words, i + 1) as b, get(_words, i + 2) as c, cast(i as bigint) as p))), null)"
+        ),
+    )
+    alike = lambda d: " and ".join(f"x.{c} = get(_by_words, i + {d}).{c}" for c in "abc")
     twice = F.expr(
-        "sort_array(transform(filter(transform(_keyed, (k, i) -> "
-        "if(shiftright(k, _bits) = shiftright(get(_keyed, i - 1), _bits) or shiftright(k, _bits) = shiftright(get(_keyed, i + 1), _bits), "
-        "k & (shiftleft(1L, _bits) - 1), null)), p -> p is not null), p -> p))"
+        "sort_array(filter(if(_by_words is null, "
+        f"transform(_keyed, (k, i) -> if(get(_next, i) = 1 or get(_next, i - 1) = 1, cast({p} as bigint), null)), "
+        f"transform(_by_words, (x, i) -> if(({alike(-1)}) or ({alike(1)}), x.p, null))), p -> p is not null))"
     )
     rows = rows.withColumn("_twice", twice)
     return rows.select(

@@ -65,3 +65,11 @@ def test_estimate_ignores_a_minority_that_mean_and_covariance_follow(spark):
 
 def test_empty_table(spark):
     assert quality.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
+
+
+def test_windows_of_one_hash_count_only_with_the_same_words(spark, monkeypatch):
+    whole = F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.shiftleft(F.pmod(whole(*c), F.lit(5)), 50))
+    rows = [(i, t) for i, (_, t, _, _) in enumerate(corpus()) if len(t or "") < 4000]
+    got = quality.text_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {i: brute(t)[4] for i, t in rows}
