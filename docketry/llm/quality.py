@@ -20,7 +20,7 @@ from docketry.runtime import checkpoint, table
 #: Words are runs of other characters than these, symbols are these.
 SPACES, SYMBOLS = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 FEW_WORDS = 50
-#: Share of points kept by a step, steps, and points below which a group judges nobody.
+#: Share of points kept by a step, steps, and points below which a group is judged by a wider one.
 H, STEPS, LEAST = 0.75, 3, 50
 #: Squared distance beyond which a document is an outlier, in units where the median
 #: is that of a chi-squared variable with as many degrees as there are dimensions. Text
@@ -122,15 +122,18 @@ def _estimate(kept: DataFrame) -> DataFrame:
     return e.select("grp", "start", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00")).alias("det"))
 
 
-def minimum_determinants(rows: DataFrame) -> DataFrame:
-    """The estimate of each ``grp`` of rows with coordinates x0..., and ``scale`` of its distances."""
+def minimum_determinants(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """The estimate of each ``grp`` of rows with coordinates x0..., and ``scale`` of its distances.
+
+    Groups of fewer than ``least`` rows have none.
+    """
     middle = rows.groupBy("grp").agg(
         F.count("*").alias("n"),
         *[F.percentile_approx(f"x{i}", 0.5).alias(f"a{i}") for i in range(P)],
         *[F.avg(f"x{i}").alias(f"b{i}") for i in range(P)],
         *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(P)],
     )
-    middle = checkpoint(middle.where(F.col("n") >= LEAST))
+    middle = checkpoint(middle.where(F.col("n") >= least))
     spread = checkpoint(
         rows.join(middle, "grp")
         .groupBy("grp")
@@ -154,6 +157,23 @@ def minimum_determinants(rows: DataFrame) -> DataFrame:
     return best.join(scale, "grp")
 
 
+def judges(rows: DataFrame) -> DataFrame:
+    """For each ``grp`` of rows: ``pool``, whose estimate judges it, and ``pools``, whose estimates it takes part in.
+
+    A group of fewer than LEAST documents that pass the base rules is judged by those of
+    its ``lng`` in all sources, and where they are too few as well by all of the corpus.
+    """
+    n = rows.groupBy("lng", "grp").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    n = checkpoint(n.withColumn("small", F.col("n") < LEAST))
+    lng = n.groupBy("lng").agg(F.sum("n").alias("of_lng"), F.bool_or("small").alias("asked"))
+    own, wide, corpus = F.concat(F.lit("g"), "grp"), F.concat(F.lit("l"), "lng"), F.lit("c")
+    enough = F.col("of_lng") >= LEAST
+    of = checkpoint(n.join(lng, "lng"))
+    short = not of.where(F.col("small") & ~enough).isEmpty()
+    pools = F.array(F.when(~F.col("small"), own), F.when(F.col("asked") & enough, wide), F.when(F.lit(short), corpus))
+    return of.select("grp", F.when(~F.col("small"), own).when(enough, wide).otherwise(corpus).alias("pool"), F.array_compact(pools).alias("pools"))
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source"
 ) -> DataFrame:
@@ -161,15 +181,19 @@ def quality_rules(
 
     A null text has no words and fails. Null languages and sources form groups of their
     own. Documents that fail take no part in the estimates; groups of fewer than LEAST
-    others reject nobody (distance null). Repeated rows and null ids are judged each, an
-    empty table gives an empty result, further columns are not carried.
+    others are judged by a wider one (see judges). The distance is null only if no
+    document passes. Repeated rows and null ids are judged each, an empty table gives an
+    empty result, further columns are not carried.
     """
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    named = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.concat(mark(lang_col), F.lit("\n"), mark(source_col)).alias("grp"))
-    rows = text_counts(named, id_col, "_text", ("grp",)).withColumn("base_failed", base_failed())
+    named = docs.select(F.col(id_col), F.col(text_col).alias("_text"), mark(lang_col).alias("lng"), F.concat(mark(lang_col), F.lit("\n"), mark(source_col)).alias("grp"))
+    rows = text_counts(named, id_col, "_text", ("lng", "grp")).withColumn("base_failed", base_failed())
     rows = checkpoint(rows.withColumns({f"x{i}": x for i, x in enumerate(points())}))
-    estimate = checkpoint(minimum_determinants(rows.where(~F.col("base_failed"))))
-    judged = rows.join(estimate, "grp", "left").withColumn("distance2", _squared_distance() * MEDIAN / F.greatest("scale", F.lit(0.1)))
+    judge = checkpoint(judges(rows))
+    members = rows.where(~F.col("base_failed")).join(judge, "grp").select(F.explode("pools").alias("grp"), *[f"x{i}" for i in range(P)])
+    estimate = checkpoint(minimum_determinants(members, 1)).withColumnRenamed("grp", "pool")
+    judge = checkpoint(judge.select("grp", "pool").join(estimate, "pool", "left"))
+    judged = rows.join(judge, "grp", "left").withColumn("distance2", _squared_distance() * MEDIAN / F.greatest("scale", F.lit(0.1)))
     fine = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))
     return judged.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", fine.alias("kept")

@@ -73,3 +73,14 @@ def test_windows_of_one_hash_count_only_with_the_same_words(spark, monkeypatch):
     rows = [(i, t) for i, (_, t, _, _) in enumerate(corpus()) if len(t or "") < 4000]
     got = quality.text_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_repeat_words for r in got} == {i: brute(t)[4] for i, t in rows}
+
+
+def test_documents_of_small_groups_are_judged(spark):
+    rng = random.Random(11)
+    text = lambda junk=False: " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(2, 9))) + "%%%" * junk for _ in range(rng.randrange(60, 300)))
+    rows = [(i, text(), "en", "hot") for i in range(120)] + [(200 + i, text(), None, "x") for i in range(60)]
+    rows += [(1000 + i, text(), "en", f"tail{i % 20}") for i in range(60)] + [(2000 + i, text(), f"rare{i % 4}", None) for i in range(12)]
+    junk = [(3000, text(True), "en", "tail1"), (3001, text(True), "rare1", None), (3002, text(True), None, "y"), (3003, text(True), "alone", "z")]
+    got = quality.quality_rules(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows + junk) and all(r.distance2 is not None for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {i for i, *_ in junk}
