@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,22 @@ def fold_with_places(s: str) -> tuple[str, list[int]]:
     return " ".join(flat[a:b] for a, b in words), places
 
 
+class _Each(dict):
+    """What each character turns into when it is folded for itself."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = to = unicodedata.normalize("NFKC", chr(c)).translate(TABLE).lower()
+        return to
+
+
+EACH = _Each()
+
+
+def fold_each(s: str) -> str:
+    """The form that fold_with_places gives, without the places."""
+    return " ".join(INK.findall(s.translate(EACH)))
+
+
 def place_of(quote: str | None, source: str | None) -> tuple[str | None, int | None, int | None]:
     """Reason, start and end: no reason and the offsets of the first match, or a reason alone."""
     if not quote or not WHITE.sub(" ", quote).strip(" "):
@@ -69,10 +86,10 @@ def place_of(quote: str | None, source: str | None) -> tuple[str | None, int | N
     return None, places[at], places[at + len(needle) - 1] + 1
 
 
-def normalized(c: Column) -> Column:
+def normalized(c: Column, form: Callable[[str], str] = fold) -> Column:
     @F.pandas_udf("string")
     def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fold(t))
+        return texts.map(lambda t: None if t is None else form(t))
 
     return apply(c)
 
@@ -124,16 +141,17 @@ def quoted_by(docs: DataFrame, quotes: DataFrame, id_col: str = "doc_id", quote_
     """(id, quote id, char_start, char_end) of the quotes that each document holds.
 
     Candidates come from an equi-join on an anchor: the hash of the first words of a
-    quote that are whole in it, its second to fourth. Only quotes of fewer words, which
-    have no such anchor, are compared with every document.
+    quote that are whole in it, its second to fourth, in the forms that verified_quote
+    compares. Only quotes of fewer words, which have no such anchor, are compared with
+    every document.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[\s\x0B\x{A0}]+"), lambda w: w != "")
-    q = quotes.select(F.col(quote_id), F.col(text_col).alias("_quote"), words(F.col(text_col)).alias("_w")).where(F.length("_quote") >= LEAST_QUOTE)
+    words = lambda c, form: F.filter(F.split(normalized(c, form), " "), lambda w: w != "")
+    q = quotes.select(F.col(quote_id), F.col(text_col).alias("_quote"), words(F.col(text_col), fold).alias("_w")).where(F.length("_quote") >= LEAST_QUOTE)
     long = q.where(F.size("_w") >= ANCHOR + 2).select(quote_id, "_quote", F.xxhash64(F.slice("_w", 2, ANCHOR)).alias("_anchor"))
     short = q.where(F.size("_w") < ANCHOR + 2).select(quote_id, "_quote")
     long = F.broadcast(long) if long.count() <= BROADCAST_QUOTES else long
     d = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    w = d.select(id_col, words(F.col("_text")).alias("_w"))
+    w = d.select(id_col, words(F.col("_text"), fold_each).alias("_w"))
     starts = F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1)
     anchors = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, F.lit(ANCHOR)))))
     met = w.where(F.size("_w") >= ANCHOR).select(id_col, F.explode(anchors).alias("_anchor")).join(long, "_anchor").select(id_col, quote_id, "_quote")

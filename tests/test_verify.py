@@ -127,3 +127,18 @@ REDACTED = [
 def test_redaction(spark):
     df = spark.createDataFrame([(a,) for a, _ in REDACTED], "a string")
     assert [r[0] for r in df.select(texts.redact(F.col("a"))).collect()] == [b for _, b in REDACTED]
+
+
+def test_quotes_meet_documents_that_differ_only_by_folding(spark):
+    plain = "An official file's re-entry into the Office was late"
+    forms = ["file\u2019s re-entry", "file's re\u2013entry", "file's re\u00adentry", "fi\u200ble's re-entry", "\ufb01le's re-entry", "file's\u2009re-entry", "file's\u202fre-entry", "file's\u3000\u2003re-entry", "FILE\u2032S \uff52\uff45-entry"]
+    texts = [plain] + [plain.replace("file's re-entry", f) for f in forms]
+    docs = spark.createDataFrame([(i, f"Before. {t}, and after \u00e9.") for i, t in enumerate(texts)] + [(99, "An official file re-entry into the Office was late"), (98, None)], "doc_id long, text string")
+    quotes = spark.createDataFrame(list(enumerate([*texts, plain.replace("file's", "wait\u2026 file's")])), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in verify.quoted_by(docs, quotes).collect()}
+    assert got == {(d, q) for d in range(len(texts)) for q in range(len(texts))}
+    greek = spark.createDataFrame([(1, "\u03a4\u0391 \u039f\u0394\u039f\u03a3 \u039f\u0394\u039f\u03a3 \u039f\u0394\u039f\u03a3 and more words here")], "doc_id long, text string")
+    low = spark.createDataFrame([(1, "\u03c4\u03b1 \u03bf\u03b4\u03bf\u03c3 \u03bf\u03b4\u03bf\u03c3 \u03bf\u03b4\u03bf\u03c3 and more words here")], "item_id long, text string")
+    assert verify.quoted_by(greek, low).count() == 1
+    for s in ("\u039f\u0394\u039f\u03a3 x\u00a0\ufeffy e\u0301 \ufb01\u2026 \u0130\u00ad", "", " \u3000", plain):
+        assert verify.fold_each(s) == verify.fold_with_places(s)[0]
