@@ -134,9 +134,8 @@ def contact_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV export for each market segment: contacts and complaints in one table."""
     mail = F.when(F.col("c_custkey") % 11 == 0, "").when(F.col("c_custkey") % 13 == 0, "nobody").when(F.col("c_custkey") % 17 == 0, "Same@Example.com").otherwise(F.concat(F.col("c_custkey").cast("string"), F.lit("@Example.com")))
     line = F.concat(F.lit('"'), F.substring("c_name", 1, 8), F.lit(', ""X"""'), F.lit(","), mail, F.lit(","), F.col("c_nationkey").cast("string"))
-    rows = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), "\r\n").alias("body"))
-    files = rows.select(F.col("c_mktsegment").alias("file"), F.concat(F.lit("Last Name,E-mail,Job Title\n\n"), "body").alias("value"))
-    good, bad = contacts.parse_contacts(contacts.number_lines(files, "file", "value"))
+    rows = table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "file")
+    good, bad = contacts.parse_contacts(contacts.export_lines(rows, "file", "c_custkey", line, "Last Name,E-mail,Job Title"))
     kept = good.select("file", "line_no", "email", F.col("last_name").alias("name_or_message"))
     return kept.unionByName(bad.select("file", "line_no", F.lit(None).cast("string").alias("email"), F.col("message").alias("name_or_message")))
 

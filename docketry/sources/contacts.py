@@ -35,6 +35,26 @@ def number_lines(files: DataFrame, key: str, text_col: str) -> DataFrame:
     return files.select(key, F.posexplode(kept).alias("_p", "line")).select(key, (F.col("_p") + 1).alias("line_no"), "line")
 
 
+#: Ids that are numbered in one task.
+RANGE = 10_000
+
+
+def export_lines(rows: DataFrame, key: str, id_col: str, line: Column, header: str) -> DataFrame:
+    """(key, line_no, line) of a list for each key: the header, then the lines that are not null in the order of ids.
+
+    Places are counted in two steps, by ranges of ids, so no list is built or numbered in one task.
+    """
+    left = rows.select(key, F.col(id_col).alias("_id"), line.alias("line")).where(F.col("line").isNotNull())
+    left = left.withColumn("_range", F.floor(F.col("_id") / RANGE))
+    before = left.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(key).orderBy("_range")
+    before = before.select(key, "_range", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy("_id", "line"))
+    placed = left.withColumn("_i", inside).join(before, [key, "_range"])
+    heads = before.select(key).distinct().select(key, F.lit(1).alias("line_no"), F.lit(header).alias("line"))
+    return placed.select(key, (F.col("_before") + F.col("_i") + 1).cast("int").alias("line_no"), "line").unionByName(heads)
+
+
 def parse_contacts(lines: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]:
     """Contacts (key, line_no, email, names, ...) and errors (key, line_no, message).
 

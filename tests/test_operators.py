@@ -187,3 +187,16 @@ def test_functions_in_sql(spark):
     assert [tuple(r) for r in rows] == [(1, 1, ["ANALYSIS"])]
     r = spark.sql("select verify_quote('is LONG enough to be a passage', text).char_start a, fold_text(text) f, size(embed_text('abc')) n from {d} where doc_id = 1", d=docs).first()
     assert (r.a, r.n) == (text.index("is long"), 384) and r.f.startswith("analysis this")
+
+
+def test_contact_imports_build_no_list_in_one_row(spark, monkeypatch):
+    from docketry.plans.text import contact_imports
+
+    plan = contact_imports(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    monkeypatch.setattr(contacts, "RANGE", 3)
+    rows = [("a", i, f"l{i}") for i in range(1, 11)] + [("a", 11, None), ("a", 12, "l12"), ("b", 5, "only"), ("b", 5, "again")]
+    df = spark.createDataFrame(rows, "file string, id long, l string").repartition(3)
+    got = sorted(map(tuple, contacts.export_lines(df, "file", "id", F.col("l"), "head").select("line_no", "file", "line").collect()))
+    want = {"a": ["head", *[f"l{i}" for i in range(1, 11)], "l12"], "b": ["head", "again", "only"]}
+    assert got == sorted((n, f, line) for f, lines in want.items() for n, line in enumerate(lines, 1))
