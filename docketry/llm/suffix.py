@@ -18,7 +18,9 @@ once however often it meets it.
    that the hashes call equal are verified byte by byte.
 5. cut: each document drops the union of its repeated windows.
 
-Equality of blocks rests on 96 bits of two unlike hashes; equality of suffixes on bytes.
+Equality of the windows of crowded keys rests on 96 bits of two unlike hashes; that of
+other blocks on 48 bits of one hash among blocks of one minimizer, with no check of their
+bytes. Equality of suffixes rests on bytes.
 """
 
 from __future__ import annotations
