@@ -1,14 +1,18 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words and word beginnings, hashed into buckets. The buckets whose shares of
-toxic and clean sample documents differ most become features. The machine gives each
-feature a weight and a short vector; the products of vectors are learned weights of
-pairs, so two terms can say together what neither says alone. It is trained in numpy
-on a bounded sample of labelled documents and then applied to whole texts.
+Terms are words and word beginnings, hashed into a fixed number of buckets; every bucket
+is a feature, whatever it says alone. The machine gives each feature a weight and a short
+vector; the products of vectors are learned weights of pairs, so two terms can say
+together what neither says alone. It is trained in numpy on a bounded sample of labelled
+documents: first the weights, as follow-the-regularized-leader steps, which leave those of
+rare terms at zero; then weights and vectors together, the vectors shrinking unless a pair
+keeps pulling them. A part of the sample decides after which round to stop. Features that
+end without weight and vector are left out of the machine, which then scores whole texts.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -19,12 +23,17 @@ from pyspark.sql import functions as F
 
 from docketry.llm.columns import field
 from docketry.llm.sampling import class_counts, held_out, per_class
-from docketry.runtime import table
-
-BUCKETS, PREFIXES = 1 << 20, (4, 5)
-#: Bounds of what is learned: sample documents of each label, features.
-DOCS_EACH, FEATURES = 4000, 1024
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 6, 12, 128, 0.02, 2e-4
+from docketry.runtime import checkpoint, table
+
+BUCKETS, PREFIXES = 1 << 17, (4, 5)
+#: Bounds of the sample that is learned from: documents of each label, features in all.
+DOCS_EACH, TERMS = 4000, 20_000_000
+FACTORS, BATCH = 6, 32
+#: Rounds over weights alone, rounds over weights and vectors, every how manyth document decides.
+WEIGHT_ROUNDS, PAIR_ROUNDS, DECIDES = 10, 8, 5
+#: Step and threshold of the weights; step, start and shrinking of the vectors; features
+#: beyond which a document pulls at its vectors in proportion less.
+RATE, SPARSE, PAIR_RATE, START, SHRINK, LARGE = 0.3, 20.0, 0.1, 0.02, 0.01, 64
 #: Scores from here on are predicted toxic.
 THRESHOLD = 0.3
 KEPT_WORDS = 300_000
@@ -52,31 +61,86 @@ class FactorizationMachine:
         self.features = features
         self.bias = bias
         self.w = np.zeros(len(features))
-        self.v = np.random.default_rng(seed).normal(0, 0.01, (len(features), FACTORS))
-
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        xv = x @ self.v
-        return self.bias + x @ self.w + 0.5 * (xv**2 - (x**2) @ self.v**2).sum(1)
-
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 11) -> FactorizationMachine:
-        """Adagrad on the logistic loss; x holds 0 and 1, so its squares are itself."""
-        rng = np.random.default_rng(seed)
-        gw, gv, gb = np.full(len(self.w), 1e-6), np.full(self.v.shape, 1e-6), 1e-6
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), BATCH):
-                b = x[order[at : at + BATCH]].astype(np.float64)
-                d = (1 / (1 + np.exp(-np.clip(self.margin(b), -30, 30))) - y[order[at : at + BATCH]]) / len(b)
-                dw = b.T @ d + DECAY * self.w
-                dv = b.T @ (d[:, None] * (b @ self.v)) - self.v * (b.T @ d)[:, None] + DECAY * self.v
-                gw += dw**2
-                gv += dv**2
-                gb += d.sum() ** 2
-                self.w -= RATE * 5 * dw / np.sqrt(gw)
-                self.v -= RATE * dv / np.sqrt(gv)
-                self.bias -= RATE * 5 * d.sum() / np.sqrt(gb)
+        self.v = np.random.default_rng(seed).normal(0, START, (len(features), FACTORS))
+
+    def margins(self, rows: list[np.ndarray], pairs: bool = True) -> np.ndarray:
+        """Of rows that list the places of their features, each once."""
+        return _margins(rows, self.w, self.v if pairs else None, self.bias)[0]
+
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> FactorizationMachine:
+        """Weights and vectors after the round in which the deciding rows lose least."""
+        decide = np.arange(len(rows)) % DECIDES == 0
+        learn = np.flatnonzero(~decide) if not decide.all() else np.arange(len(rows))
+        check, of_check = [rows[i] for i in np.flatnonzero(decide)], y[decide]
+        loss = lambda pairs: np.logaddexp(0, np.where(of_check == 1, -1, 1) * self.margins(check, pairs)).mean()
+        rng, leader = np.random.default_rng(seed), _Leader(len(self.w))
+        pull = np.full(len(self.v), 1e-2)
+        start, best = self.v.copy(), (loss(False), self.w.copy(), np.zeros_like(self.v), self.bias)
+        kept = copy.deepcopy(leader)
+        for n in range(WEIGHT_ROUNDS + PAIR_ROUNDS):
+            pairs = n >= WEIGHT_ROUNDS
+            if n == WEIGHT_ROUNDS:
+                leader, self.w, self.v, self.bias = kept, best[1].copy(), start, best[3]
+            for at in np.split(rng.permutation(learn), range(BATCH, len(learn), BATCH)):
+                self._step([rows[i] for i in at], y[at], leader, pull if pairs else None)
+            now = loss(pairs)
+            if now < best[0]:
+                best = now, self.w.copy(), self.v.copy() if pairs else np.zeros_like(self.v), self.bias
+                kept = copy.deepcopy(leader)
+        _, self.w, self.v, self.bias = best
         return self
 
+    def _step(self, rows: list[np.ndarray], y: np.ndarray, leader: _Leader, pull: np.ndarray | None) -> None:
+        margins, flat, doc, sums = _margins(rows, self.w, None if pull is None else self.v, self.bias)
+        if not len(flat):
+            return
+        d = 1 / (1 + np.exp(-np.clip(margins, -30, 30))) - y
+        there, place = np.unique(flat, return_inverse=True)
+        self.w[there] = leader.step(there, np.bincount(place, d[doc], len(there)), self.w[there])
+        self.bias -= 0.05 * d.mean()
+        if pull is not None:
+            d = d * np.minimum(1, LARGE / np.maximum(np.bincount(doc, minlength=len(rows)), 1)) / len(rows)
+            by_sums = [np.bincount(place, (d * sums[:, k])[doc], len(there)) for k in range(FACTORS)]
+            g = np.stack(by_sums, 1) - np.bincount(place, d[doc], len(there))[:, None] * self.v[there]
+            pull[there] += (g * g).mean(1)
+            self.v[there] -= (PAIR_RATE / np.sqrt(pull[there]))[:, None] * g
+            self.v *= (1 - PAIR_RATE * SHRINK / np.sqrt(pull))[:, None]
+
+    def trimmed(self) -> FactorizationMachine:
+        """The machine of the features that have a weight or a vector."""
+        live = (self.w != 0) | ((self.v**2).sum(1) > 1e-6)
+        small = FactorizationMachine(self.features[live], self.bias)
+        small.w, small.v = self.w[live], self.v[live]
+        return small
+
+
+class _Leader:
+    """Follow the regularized leader: weights whose summed gradients stay small are zero."""
+
+    def __init__(self, n: int):
+        self.z, self.n = np.zeros(n), np.zeros(n)
+
+    def step(self, at: np.ndarray, g: np.ndarray, w: np.ndarray) -> np.ndarray:
+        before = np.sqrt(self.n[at])
+        self.n[at] += g * g
+        after = np.sqrt(self.n[at])
+        self.z[at] += g - (after - before) / RATE * w
+        z = self.z[at]
+        return -np.sign(z) * np.maximum(np.abs(z) - SPARSE, 0) * RATE / (1 + after)
+
+
+def _margins(rows: list[np.ndarray], w: np.ndarray, v: np.ndarray | None, bias: float):
+    """Margins, the features of all rows one after the other, their rows, and the rows' summed vectors."""
+    n = len(rows)
+    flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+    doc = np.repeat(np.arange(n), [len(r) for r in rows])
+    out = bias + np.bincount(doc, w[flat], n)
+    if v is None:
+        return out, flat, doc, None
+    vectors = v[flat]
+    sums = np.stack([np.bincount(doc, vectors[:, k], n) for k in range(FACTORS)], 1)
+    return out + 0.5 * ((sums**2).sum(1) - np.bincount(doc, (vectors**2).sum(1), n)), flat, doc, sums
+
 
 class Featurizer:
     """Features of a text, with the features of words seen before at hand."""
@@ -101,23 +165,13 @@ class Featurizer:
         return found
 
 
-def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each label that hold a bucket, counted within a batch."""
-    for batch in batches:
-        each = [(np.fromiter({b for w in words(t or "") for b in buckets(w)}, np.int64), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        bucket, place = np.unique(np.concatenate([b for b, _ in each] or [np.zeros(0, np.int64)]), return_inverse=True)
-        label = np.repeat([y for _, y in each], [len(b) for b, _ in each]).astype(np.int64)
-        toxic = np.bincount(place, label, len(bucket)).astype(np.int64)
-        clean = np.bincount(place, 1 - label, len(bucket)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(toxic), pa.array(clean)], ["bucket", "toxic", "clean"])
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine | None:
     """A machine from labelled documents outside the held-out fold; None without both labels.
 
     A document with several label rows counts as toxic if any says so. Learns from at
-    most about DOCS_EACH documents of each label, on FEATURES buckets; the bias is then
-    moved to the shares of the labels among all labelled rows.
+    most about DOCS_EACH documents of each label and TERMS features in all, whichever is
+    less; rows of one id with the same features count once. The bias is then moved to the
+    shares of the labels among all labelled rows.
     """
     marked = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -130,37 +184,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     chosen = F.broadcast(per_class(marked, "id", "y", counts, DOCS_EACH))  # at most 4 * DOCS_EACH rows
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "y")
-    totals = sample.groupBy().agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
-    n1, n0 = (int(x or 0) for x in totals)
-    if not n1 or not n0:
-        return None
-    p1, p0 = (F.col("toxic") + 0.5) / (n1 + 1), (F.col("clean") + 0.5) / (n0 + 1)
-    gap = F.abs(p1 - p0) / F.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
-    strongest = (
-        sample.mapInArrow(_partial_counts, "bucket long, toxic long, clean long")
-        .groupBy("bucket")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") + F.col("clean") >= 5)
-        .withColumn("gap", gap)
-        .where(F.col("gap") > 3)
-        .orderBy(F.desc("gap"), "bucket")
-        .limit(FEATURES)
-    )
-    features = np.array(sorted(r.bucket for r in strongest.select("bucket").collect()), np.int64)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Featurizer(features)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(of(t or "")) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["x", "y"])
-
-    rows = sorted((r.y, tuple(r.x)) for r in sample.mapInArrow(vectors, "x array<int>, y int").collect())
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for i, (_, found) in enumerate(rows):
-        x[i, list(found)] = 1
-    y = np.array([label for label, _ in rows], np.float64)
-    machine = FactorizationMachine(features, float(np.log(n1 / n0))).fit(x, y)
-    machine.bias += float(np.log(counts[1] / counts[0]) - np.log(n1 / n0))
+            found = [np.unique(np.fromiter((b for w in words(t or "") for b in buckets(w)), np.int32)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in found], pa.binary()), batch.column(1)], ["x", "y"])
+
+    rows = checkpoint(sample.mapInArrow(hashed, "x binary, y int").distinct())
+    size = {r.y: (r.n, r.terms) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("x") / 4).alias("terms")).collect()}
+    if set(size) != {0, 1}:
+        return None
+    rate = min(1.0, *(2 * DOCS_EACH / n for n, _ in size.values()), TERMS / max(1, sum(t for _, t in size.values())))
+    few = rows.where(F.pmod(F.xxhash64(F.lit("thin"), "x"), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    chosen_rows = sorted((r.y, bytes(r.x)) for r in few.collect())
+    y = np.array([label for label, _ in chosen_rows], np.float64)
+    if len(set(y)) < 2:
+        return None
+    found = [np.frombuffer(x, np.int32) for _, x in chosen_rows]
+    features = np.unique(np.concatenate(found)).astype(np.int64)
+    odds = float(np.log(y.sum() / (len(y) - y.sum())))
+    machine = FactorizationMachine(features, odds).fit([np.searchsorted(features, f) for f in found], y).trimmed()
+    machine.bias += float(np.log(counts[1] / counts[0])) - odds
     return machine
 
 

@@ -72,16 +72,60 @@ def test_every_window_counts():
         assert np.allclose(row, total / len(t), atol=1e-5)
 
 
-def test_pairs_say_what_single_terms_do_not():
-    """Toxic only if both an insult and a group are there: linear weights cannot part these."""
-    rng = random.Random(4)
-    x, y = [], []
-    for _ in range(2000):
+@pytest.mark.parametrize("vocabulary,length", [(200, 20), (2000, 30)])
+def test_pairs_say_what_single_terms_do_not(spark, vocabulary, length):
+    """Toxic if exactly one of an insult and a group is there: no linear weights can part these."""
+    rng = random.Random(vocabulary)
+    noise = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(vocabulary)]
+    rows = []
+    for i in range(4000):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        x.append([a, b, rng.random() < 0.5])
-        y.append(a != b)  # exclusive, the hardest pair
-    m = toxicity.FactorizationMachine(np.arange(3))
-    m.v *= 30
-    m.fit(np.array(x, np.float32), np.array(y, float))
-    assert np.mean((m.margin(np.array(x, float)) > 0) == y) > 0.95
-    assert np.mean((m.bias + np.array(x, float) @ m.w > 0) == y) < 0.8
+        text = [rng.choice(noise) for _ in range(length)] + ["insulting"] * a + ["foreigners"] * b
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(a != b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    machine = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(df, machine).collect()}
+    out = [(got[i] > 0.5) == y for i, _, y in rows if kept_out(i)]
+    assert np.mean(out) > 0.9
+    machine.v[:] = 0
+    alone = {r.doc_id: r.score for r in toxicity.score_documents(df, machine).collect()}
+    assert np.mean([(alone[i] > 0.5) == y for i, _, y in rows if kept_out(i)]) < 0.8
+
+
+def test_vectors_follow_the_gradient_of_the_loss():
+    """One step without shrinking moves every vector against the numeric derivative of the batch's loss."""
+    rng = np.random.default_rng(5)
+    m = toxicity.FactorizationMachine(np.arange(9), 0.3)
+    m.v, m.w = rng.normal(0, 0.5, m.v.shape), rng.normal(0, 0.5, 9)
+    rows, y = [np.flatnonzero(rng.random(9) < 0.5) for _ in range(6)], np.array([0, 1, 0, 1, 1, 0.0])
+
+    def loss(v):
+        out = 0
+        for r, label in zip(rows, y):
+            z = m.bias + m.w[r].sum() + sum(v[i] @ v[j] for n, i in enumerate(r) for j in r[:n])
+            out += np.logaddexp(0, -z if label else z)
+        return out / len(rows)
+
+    slope = np.zeros_like(m.v)
+    for i in np.ndindex(m.v.shape):
+        for sign in (1, -1):
+            v = m.v.copy()
+            v[i] += sign * 1e-6
+            slope[i] += sign * loss(v) / 2e-6
+    before, pull = m.v.copy(), np.full(9, 1e-2)
+    m._step(rows, y, toxicity._Leader(9), pull)
+    want = before - toxicity.PAIR_RATE / np.sqrt(pull)[:, None] * slope
+    want *= (1 - toxicity.PAIR_RATE * toxicity.SHRINK / np.sqrt(pull))[:, None]
+    assert np.allclose(m.v, want, atol=1e-6)
+
+
+def test_documents_that_repeat_a_labelled_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "DOCS_EACH", 20)
+    rows = [(i % 7, f"word{i} and more {i % 13}", None) for i in range(3000)] + [(7, "same", None)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    fitted = []
+    whole = toxicity.FactorizationMachine.fit
+    monkeypatch.setattr(toxicity.FactorizationMachine, "fit", lambda self, x, y: (fitted.append(len(x)), whole(self, x, y))[1])
+    assert toxicity.train(docs, labels) is not None and fitted[0] < 120

@@ -37,9 +37,7 @@ def test_toxic_documents_go(spark):
 
 def scorer(machine, text):
     at = sorted({i for w in toxicity.words(text or "") for b in toxicity.buckets(w) for i in np.flatnonzero(machine.features == b)})
-    x = np.zeros((1, len(machine.features)))
-    x[0, at] = 1
-    return 1 / (1 + np.exp(-machine.margin(x)[0]))
+    return 1 / (1 + np.exp(-machine.margins([np.array(at, np.int64)])[0]))
 
 
 def test_one_document_of_each_group_stays(spark):
