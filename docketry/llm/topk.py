@@ -4,8 +4,9 @@ Vectors turn into integers. Candidates are packed into blocks; within a block ea
 component has a posting list of the rows where it is not zero. A query row walks
 its own non-zero components, scatters weight times posting into a dense array of
 scores, and selects by partition; the selections of all blocks merge per query.
-Query blocks meet candidate blocks by an equi-join on the block number, so nothing
-is broadcast that grows with the data and no rows are paired, only blocks.
+Blocks of queries and of candidates are dealt into the tiles of a grid: each tile holds
+some queries and some candidates, both bounded in bytes, meets them block by block and
+gives back the best of each query. Nothing is broadcast and no rows are paired.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.runtime import partitions, table
 
-#: Queries in a block and candidates in a block.
-QUERY_ROWS, CANDIDATE_ROWS = 1024, 4096
+#: Queries in a block, candidates in a block, bytes of either that a tile should hold.
+QUERY_ROWS, CANDIDATE_ROWS, TILE = 1024, 4096, 64 << 20
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -32,18 +34,22 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return out
 
 
+PACKED = "ids binary, tags binary, vectors binary, width int, deal long"
+
+
 def _pack(rows: int):
-    """(block number, id, vector) rows of a partition into blocks."""
+    """Ids and vectors of a partition in blocks; ``tags`` number rows, ``deal`` blocks, over all partitions."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, block, row = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                m = _matrix(part.column(1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([np.asarray(part.column(0), np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], pa.int32())],
-                    ["ids", "vectors", "width"],
-                )
+                m, n = _matrix(part.column(1)), part.num_rows
+                datas = [np.asarray(part.column(0), np.int64), np.arange(row, row + n) + (partition << 40), m]
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in datas]
+                yield pa.RecordBatch.from_arrays([*packed, pa.array([m.shape[1]], pa.int32()), pa.array([partition * 7919 + block], pa.int64())], ["ids", "tags", "vectors", "width", "deal"])
+                block, row = block + 1, row + n
 
     return pack
 
@@ -53,17 +59,17 @@ def _unpack(ids: bytes, vectors: bytes, width: int) -> tuple[np.ndarray, np.ndar
     return i, np.frombuffer(vectors, np.int64).reshape(len(i), width)
 
 
-def block_topk(q_ids, q, ids, m, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of one candidate block for each query, ties to smaller ids."""
+def block_topk(q_ids, tags, q, ids, m, k: int) -> tuple[np.ndarray, ...]:
+    """Query, its tag, candidate and score of the k best rows of one block for each query, ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
     ids, m = ids[order], m[order]
     postings = []
     for t in range(m.shape[1]):
         rows = np.flatnonzero(m[:, t])
         postings.append((slice(None) if len(rows) == len(ids) else rows, m[rows, t].copy()))
-    out_q, out_v, out_s = [], [], []
+    out_q, out_t, out_v, out_s = [], [], [], []
     scores = np.zeros(len(ids), np.int64)
-    for own, row in zip(q_ids, q):
+    for own, tag, row in zip(q_ids, tags, q):
         scores[:] = 0
         for t in np.flatnonzero(row[: len(postings)]):
             rows, values = postings[t]
@@ -76,9 +82,21 @@ def block_topk(q_ids, q, ids, m, k: int) -> tuple[np.ndarray, np.ndarray, np.nda
             keep = np.concatenate([keep, np.flatnonzero(s == least)[: k - len(keep)]])
             there, s = there[keep], s[keep]
         out_q.append(np.full(len(there), own))
+        out_t.append(np.full(len(there), tag))
         out_v.append(ids[there])
         out_s.append(s)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_v, out_s))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_t, out_v, out_s))
+
+
+def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query among the selections of several blocks."""
+    q, tag, v, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((v, -score, tag))
+    t = tag[order]
+    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))[: len(t)]
+    nth = np.arange(len(t)) - np.repeat(starts, np.diff(np.append(starts, len(t))))
+    order = order[nth < k]
+    return q[order], tag[order], v[order], score[order]
 
 
 def exact_topk(
@@ -92,9 +110,10 @@ def exact_topk(
     """query_id, rank, vec_id and score of each query's k highest inner products.
 
     Components turn into floor(scale * x). A row whose id is null, whose vector is
-    null or which holds a null, NaN or infinite component takes no part. Rows that
-    repeat an id count once, with the smallest vector. A query is no candidate of
-    its own; with fewer than k others it gets all. Vectors of unequal length are
+    null or which holds a null, NaN or infinite component takes no part. Every other
+    row is a candidate, rows that repeat an id too, and each may take a rank; only
+    rows of the query's own id are none. Query rows that repeat an id are answered
+    each. With fewer than k candidates a query gets all. Vectors of unequal length are
     compared as if zeros followed. An empty table gives an empty result; columns
     besides id and vector are ignored.
     """
@@ -104,34 +123,31 @@ def exact_topk(
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
         .where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
         .select("id", "q", F.transform("v", lambda x: F.floor(x * float(scale)).cast("long")).alias("v"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"), F.bool_or("q").alias("q"))
-    )
-    queries = rows.where("q")
-    n = max(1, -(-queries.count() // QUERY_ROWS))
-    packed = "ids binary, vectors binary, width int"
-    slot = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-
-    def pack_group(key, t: pa.Table) -> pa.Table:
-        b = next(_pack(t.num_rows)(iter(t.combine_chunks().to_batches(max_chunksize=t.num_rows))))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "q_ids": b.column(0), "q_vectors": b.column(1), "q_width": b.column(2)})
-
-    q_blocks = queries.select("id", "v", slot.alias("block")).groupBy("block").applyInArrow(
-        lambda key, t: pack_group(key, t.select(["id", "v"])), "block int, q_ids binary, q_vectors binary, q_width int"
     )
-    c_blocks = rows.select("id", "v").mapInArrow(_pack(CANDIDATE_ROWS), packed)
-    pairs = c_blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q_blocks, "block")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                found = block_topk(*_unpack(r["q_ids"], r["q_vectors"], r["q_width"]), *_unpack(r["ids"], r["vectors"], r["width"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
+    across = max(1, -(-size.q * size.width * 8 // TILE))
+    down = max(partitions(spark), -(-size.n * size.width * 8 // TILE))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod("deal", F.lit(n)).cast("int")
+    q_tiles = rows.where("q").select("id", "v").mapInArrow(_pack(QUERY_ROWS), PACKED).select("*", deal(across).alias("s"), every(down).alias("r"))
+    c_tiles = rows.select("id", "v").mapInArrow(_pack(CANDIDATE_ROWS), PACKED).select("*", deal(down).alias("r"), every(across).alias("s"))
+
+    def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        found, columns = [], ["query_id", "tag", "vec_id", "score"]
+        for q in queries.to_pylist():
+            ids, matrix = _unpack(q["ids"], q["vectors"], q["width"])
+            tags = np.frombuffer(q["tags"], np.int64)
+            each = [block_topk(ids, tags, matrix, *_unpack(c["ids"], c["vectors"], c["width"]), k) for c in candidates.to_pylist()]
+            if each:
+                found.append(_best(each, k))
+        merged = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(x, pa.int64()) for x in merged], columns)
+
+    best = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     return (
-        pairs.repartition(partitions(spark))
-        .mapInArrow(search, "query_id long, vec_id long, score long")
+        q_tiles.groupBy("s", "r")
+        .cogroup(c_tiles.groupBy("s", "r"))
+        .applyInArrow(search, "query_id long, tag long, vec_id long, score long")
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
@@ -146,13 +162,13 @@ QUERIES = {"op8_exact_topk": op8_exact_topk}
 ORACLE = {
     "op8_exact_topk": """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
   from embeddings
-  where embedding is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
+  where vec_id is not null and embedding is not null and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x)))),
 s as (
-  select q.vec_id as query_id, c.vec_id,
+  select q.n as tag, q.vec_id as query_id, c.vec_id,
          cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+r as (select *, row_number() over (partition by tag order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10"""
 }
