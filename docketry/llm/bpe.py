@@ -311,9 +311,9 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
 def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """All columns of docs but the text; ``ids``, ``n_tokens``, and ``same``, whether the ids decode to the text.
 
-    The three names must not be among the columns of docs.
+    Columns of docs by one of the three names give way to the results.
     """
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c != text_col and c.lower() not in ("ids", "n_tokens", "same")]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -36,3 +36,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def field(schema, name: str, as_name: str | None = None) -> str:
     """The DDL of a column of a DataFrame's schema."""
     return f"`{as_name or name}` {schema[name].dataType.simpleString()}"
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or the name behind as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.columns import field, utf8
-from docketry.llm.sampling import class_counts, held_out, per_class
+from docketry.llm.sampling import held_out, per_class
 from docketry.runtime import table
 
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 8, 8
 #: Bounds of the sample that is learned from: documents of a language, windows of a
-#: document, languages.
-DOCS_EACH, WINDOWS_EACH, MOST_LANGUAGES = 400, 4, 200
+#: document, windows in all, which many languages share.
+DOCS_EACH, WINDOWS_EACH, SAMPLE = 400, 4, 400_000
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 
 
@@ -138,13 +138,17 @@ class ByteNet:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
     """A network from documents outside the held-out fold; None if none has a language.
 
-    Learns from at most about DOCS_EACH documents of each of the MOST_LANGUAGES most
-    frequent languages, and WINDOWS_EACH windows of each, spread over its text.
+    Learns from at most about DOCS_EACH documents of each language that a document
+    with a text has, fewer where the languages are so many that SAMPLE would be
+    exceeded, and WINDOWS_EACH windows of each, spread over its text. Windows alike in
+    language and bytes count once.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & ~held_out("id")
     )
-    counts = class_counts(known.where(F.col("text").isNotNull()), "lang", MOST_LANGUAGES)
+    known = known.where(F.length("text") > 0)
+    languages = known.select("lang").distinct().count()
+    each = max(1, min(DOCS_EACH, SAMPLE // (2 * WINDOWS_EACH * max(1, languages))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,14 +160,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     parts.append(flat[s : min(b, s + WINDOW)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
 
-    sample = per_class(known, "id", "lang", counts, DOCS_EACH).where(F.length("text") > 0)
-    rows = sorted((r.lang, bytes(r.part)) for r in sample.select("text", "lang").mapInArrow(cut, "lang string, part binary").collect())
+    sample = per_class(known, "lang", each, "id", "text").select("text", "lang").mapInArrow(cut, "lang string, part binary").distinct()
+    most = 2 * each * WINDOWS_EACH * max(1, languages)
+    rows = sorted((r.lang, bytes(r.part)) for r in sample.orderBy(F.xxhash64("part", "lang"), "part", "lang").limit(most).collect())
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
     flat = np.frombuffer(b"".join(p for _, p in rows), np.uint8)
     sizes = np.array([len(p) for _, p in rows], np.int64)
-    y = np.array([languages.index(lang) for lang, _ in rows])
+    place = {lang: i for i, lang in enumerate(languages)}
+    y = np.array([place[lang] for lang, _ in rows])
     return ByteNet(languages).fit(windows(flat, np.cumsum(sizes) - sizes, sizes), y)
 
 

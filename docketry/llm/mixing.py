@@ -20,6 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.llm.columns import fresh
 from docketry.runtime import checkpoint, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -166,10 +167,11 @@ def sized(small: DataFrame) -> DataFrame:
 
 def with_copies(docs: DataFrame, leaf: Column, plan: DataFrame, seed: int, id_col: str = "doc_id", name: str = "copies") -> DataFrame:
     """docs and, under a name, how often the mixture takes each."""
-    plan = sized(plan).select(F.col("leaf").alias("_leaf"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    joined = docs.withColumn("_leaf", leaf).join(plan, "_leaf")
-    extra = F.coalesce(draw(seed, F.col("_whole"), id_col) <= F.col("_cut"), F.lit(False)).cast("long")
-    return joined.withColumn(name, F.col("_whole") + extra).drop("_leaf", "_whole", "_cut")
+    own_leaf, whole, cut = (fresh([*docs.columns, name], x) for x in ("_leaf", "_whole", "_cut"))
+    plan = sized(plan).select(F.col("leaf").alias(own_leaf), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    joined = docs.withColumn(own_leaf, leaf).join(plan, own_leaf)
+    extra = F.coalesce(draw(seed, F.col(whole), id_col) <= F.col(cut), F.lit(False)).cast("long")
+    return joined.withColumn(name, F.col(whole) + extra).drop(own_leaf, whole, cut)
 
 
 def production_levels() -> dict[str, Column]:
@@ -214,8 +216,9 @@ def apply_mixture(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, **p
     rows = checkpoint(slim_rows(docs, levels, words() if tokens is None else tokens, id_col))
     parameters = {"weights": WEIGHTS, "share": SHARE, "epochs": EPOCHS, **parameters}
     plan = leaf_plan(rows, list(levels), seed=seed, id_col=id_col, **parameters)
-    taken = with_copies(docs, leaf_key(list(levels.values())), plan, seed, id_col, "_copies").where(F.col("_copies") > 0)
-    return taken.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    copies = fresh(docs.columns, "_copies")
+    taken = with_copies(docs, leaf_key(list(levels.values())), plan, seed, id_col, copies).where(F.col(copies) > 0)
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,8 +186,8 @@ def quality_rules(
     empty result, further columns are not carried.
     """
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    named = docs.select(F.col(id_col), F.col(text_col).alias("_text"), mark(lang_col).alias("lng"), F.concat(mark(lang_col), F.lit("\n"), mark(source_col)).alias("grp"))
-    rows = text_counts(named, id_col, "_text", ("lng", "grp")).withColumn("base_failed", base_failed())
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), mark(lang_col).alias("lng"), F.concat(mark(lang_col), F.lit("\n"), mark(source_col)).alias("grp"))
+    rows = text_counts(named, "_id", "_text", ("lng", "grp")).withColumn("base_failed", base_failed())
     rows = checkpoint(rows.withColumns({f"x{i}": x for i, x in enumerate(points())}))
     judge = checkpoint(judges(rows))
     members = rows.where(~F.col("base_failed")).join(judge, "grp").select(F.explode("pools").alias("grp"), *[f"x{i}" for i in range(P)])
@@ -196,7 +196,7 @@ def quality_rules(
     judged = rows.join(judge, "grp", "left").withColumn("distance2", _squared_distance() * MEDIAN / F.greatest("scale", F.lit(0.1)))
     fine = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))
     return judged.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", fine.alias("kept")
+        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", fine.alias("kept")
     )
 
 

@@ -14,22 +14,12 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def class_counts(rows: DataFrame, class_col: str, most: int) -> dict:
-    """Rows of each of the most frequent classes, null left out."""
-    found = rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(most)
-    return {r[0]: r[1] for r in found.collect()}
+def per_class(rows: DataFrame, class_col: str, size: int, *drawn_by: str) -> DataFrame:
+    """About ``size`` rows of each class, chosen by a hash of some columns, so the same in every run.
 
-
-def per_class(rows: DataFrame, id_col: str, class_col: str, counts: dict, size: int) -> DataFrame:
-    """About ``size`` rows of each class, chosen by a hash of their ids, so the same in every run.
-
-    The rate of a class is size over its count; a limit of twice the whole guards the
-    memory of whoever fits on the sample if many rows repeat one id.
+    The rate of a class is size over its count; rows that are alike in those columns
+    stand or fall together.
     """
-    if not counts:
-        return rows.limit(0)
-    rate = F.lit(0)
-    for value, n in counts.items():
-        rate = F.when(F.col(class_col) == F.lit(value), F.lit(int(min(1.0, size / n) * (1 << 20)))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 20))
-    return rows.where(draw < rate).limit(2 * size * len(counts))
+    rates = rows.groupBy(class_col).agg((F.lit(float(size)) / F.count("*")).alias("_rate"))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), *drawn_by), F.lit(1 << 20))
+    return rows.join(rates, class_col).where(draw < F.col("_rate") * (1 << 20)).drop("_rate")

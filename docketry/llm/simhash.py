@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.columns import field
+from docketry.llm.columns import field, fresh
 from docketry.llm.graph import components
 from docketry.runtime import checkpoint, partitions, table
 
@@ -202,9 +202,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("tag").alias("tag"))
     each = rows.groupBy("fp").agg(F.min(order).alias("first"))
     best = each.join(roots, each.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    best = checkpoint(best.select(F.col("first.id").alias("_id"), F.col("first.tag").alias("_tag")))
-    kept = docs.join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left_semi")
-    again = rows.join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left_semi").groupBy(id_col, "tag").count()
+    own_id, own_tag = fresh(docs.columns, "_id"), fresh(docs.columns, "_tag")
+    best = checkpoint(best.select(F.col("first.id").alias(own_id), F.col("first.tag").alias(own_tag)))
+    kept = docs.join(best, F.col(id_col).eqNullSafe(F.col(own_id)) & (tag == F.col(own_tag)), "left_semi")
+    again = rows.join(best, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col("tag") == F.col(own_tag)), "left_semi").groupBy(id_col, "tag").count()
     return kept.dropDuplicates() if not again.where("count > 1").isEmpty() else kept
 
 

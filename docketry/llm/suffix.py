@@ -595,12 +595,12 @@ def remove_repeats(
     the characters of which a part went. A null text is empty; texts shorter
     than LENGTH bytes keep everything. Rows that repeat an id are documents of equal
     rank: they never remove each other. A null id ranks after all others. An empty
-    table gives an empty result; columns are carried only by name, and carried names
-    must not be those of the results.
+    table gives an empty result; columns are carried only by name, and those by the name
+    of a result give way to it.
     """
     spark = docs.sparkSession
     buckets = partitions(spark)
-    carried = [c for c in carry or [] if c != id_col]
+    carried = [c for c in carry or [] if c != id_col and c.lower() not in ("n_bytes", "n_removed", "spans", "kept")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     prepared = docs.select(
         F.col(id_col),

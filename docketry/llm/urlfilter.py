@@ -14,6 +14,8 @@ there is no host, else allowed.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,8 +34,18 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Hosts and paths that are blocked where no rule decides.
-BLOCKED = ("*spam*", "*spam*/**", "*casino*", "*casino*/**", "**/login*", "**/wp-admin/**", "**.exe", "**.zip")
+#: Bytes of automaton states held at once.
+STATES = 8 << 20
+
+
+def read_globs(path: str) -> list[str]:
+    """The globs of a rule file, one a line; empty lines and those that begin with # are left out."""
+    with open(path, encoding="utf-8") as f:
+        return [line for line in (x.strip() for x in f) if line and not line.startswith("#")]
+
+
+#: What is blocked where no rule decides: the rule file beside this module, or another's.
+BLOCKED = read_globs(os.path.join(os.path.dirname(__file__), "url_rules.txt"))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,7 +90,12 @@ class GlobAutomaton:
                 at += 1
 
     def match(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A boolean of each string and glob."""
+        """A boolean of each string and glob; states of at most about STATES bytes are held at once."""
+        n, rows = len(offsets) - 1, max(64, STATES // (8 * self.words))
+        parts = [self._match(flat, offsets[at : min(n, at + rows) + 1]) for at in range(0, n, rows)]
+        return np.concatenate([*parts, np.zeros((0, len(self.last)), bool)])
+
+    def _match(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lengths = np.diff(offsets)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = offsets[:-1][order], lengths[order]
@@ -153,9 +170,15 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def glob_regex(glob: str) -> str:
+    """The glob as a regular expression for whole strings, for the SQL."""
+    meant = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "".join(meant.get(x, re.escape(x)) for x in re.split(r"(\*\*|\*|\?)", glob))
+
+
 QUERIES = {"op5_url_filters": op5_url_filters}
 ORACLE = {
-    "op5_url_filters": r"""
+    "op5_url_filters": rf"""
 with u as (
   select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
@@ -172,8 +195,7 @@ r as (
 select page_id, host, path, rule, case
     when rule in ('org/', 'com/fr/') then 'allow'
     when rule is not null then 'block'
-    when host = '' or regexp_matches(host || path,
-      '(?s)^([^/]*spam[^/]*|[^/]*spam[^/]*/.*|[^/]*casino[^/]*|[^/]*casino[^/]*/.*|.*/login[^/]*|.*/wp-admin/.*|.*[.]exe|.*[.]zip)$')
+    when host = '' or regexp_matches(host || path, '(?s)^({"|".join(map(glob_regex, BLOCKED))})$')
       then 'block' else 'allow' end as verdict
 from r"""
 }

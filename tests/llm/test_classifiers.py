@@ -50,6 +50,14 @@ def test_odd_rows(spark, rows):
     assert all(r.score == 0 for r in toxicity.score_documents(docs, None).collect())
 
 
+def test_no_language_is_left_out(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(chr(0x3400 + 40 * (i % 250) + rng.randrange(3)) for _ in range(30)), f"l{i % 250:03}") for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(docs)
+    assert len(net.languages) == 250
+
+
 def test_every_window_counts():
     net = langid.ByteNet(["a", "b"]).tables()
     rng = np.random.default_rng(1)

@@ -118,3 +118,17 @@ def test_spans_widen_to_characters(n):
     text = np.frombuffer("aé日😀b".encode(), np.uint8)
     a, b = suffix.whole_characters(text, np.array([n]), np.array([n + 1]))
     assert bytes(text[a[0] : b[0]]).decode() in "aé日😀b"
+
+
+def test_columns_by_any_name_pass_through(spark):
+    names = ["_id", "_tag", "_copies", "_leaf", "ids", "n_tokens", "same", "kept", "spans", "row", "rank", "score", "fp", "grp"]
+    rows = [(*r, *[f"{i} {n}" for n in names]) for i, r in enumerate(odd_rows())]
+    docs = frame(spark, rows, "".join(f", `{n}` string" for n in names))
+    labels = spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows) if r[0]], "doc_id long, toxic int")
+    for stage in (lambda d: toxicity.keep_clean(d, toxicity.train(d, labels), threshold=2.0), simhash.keep_first, suffix.without_repeats, mixing.apply_mixture):
+        whole = {tuple(r[n] for n in names) for r in docs.collect()}
+        docs = stage(docs)
+        kept = [tuple(r[n] for n in names) for r in docs.collect()]
+        assert docs.columns == [*(x.split()[0] for x in SCHEMA.split(", ")), *names] and kept and set(kept) <= whole
+    done = bpe.tokenized(docs, bpe.tokenizer_path("byte_bpe_50k.json"))
+    assert all(r.same is True and r.n_tokens == len(r.ids) and r.row.endswith(" row") for r in done.collect())

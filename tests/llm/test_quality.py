@@ -63,6 +63,12 @@ def test_estimate_ignores_a_minority_that_mean_and_covariance_follow(spark):
     assert far.where("x0 > 20").agg(F.min("d2")).first()[0] > 50
 
 
+def test_an_id_by_the_name_of_an_inner_column(spark):
+    rows = corpus()[:60]
+    got = {c: sorted(map(tuple, quality.quality_rules(spark.createDataFrame(rows, f"{c} long, text string, lang string, source string"), c).collect())) for c in ("doc_id", "grp", "x0")}
+    assert got["grp"] == got["doc_id"] == got["x0"]
+
+
 def test_empty_table(spark):
     assert quality.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
 
