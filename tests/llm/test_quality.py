@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docketry.llm import quality
@@ -63,6 +65,65 @@ def test_estimate_ignores_a_minority_that_mean_and_covariance_follow(spark):
     assert far.where("x0 > 20").agg(F.min("d2")).first()[0] > 50
 
 
+def brute_distances(points, groups):
+    """Distances of all points, each by its group's estimate, by numpy and for itself."""
+    rank = lambda v, p: np.sort(v)[int(np.ceil(p * len(v))) - 1]
+    floor = np.diag(np.square(quality.FLOOR))
+
+    def squared(x, m, cov):
+        d = x - m
+        return np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T)
+
+    def estimate(x):
+        ends = []
+        middle = np.array([rank(c, 0.5) for c in x.T])
+        spread = np.array([rank(np.abs(c - m), 0.5) for c, m in zip(x.T, middle)])
+        for name, m, sd in (("mean", x.mean(0), x.std(0)), ("median", middle, spread)):
+            cov, det = np.diag(np.maximum(sd, quality.FLOOR) ** 2), None
+            for _ in range(quality.STEPS):
+                d2 = squared(x, m, cov)
+                near = x[d2 <= rank(d2, quality.H)]
+                m, cov = near.mean(0), np.cov(near.T, bias=True) + floor
+                now = 0.5 * np.linalg.slogdet(cov)[1]
+                if det is not None and now >= det - quality.FALL:
+                    det = now
+                    break
+                det = now
+            ends.append((det, name, m, cov))
+        _, _, m, cov = min(ends, key=lambda e: e[:2])
+        return m, cov, max(rank(squared(x, m, cov), 0.5), 0.1)
+
+    out = np.zeros(len(points))
+    for g in set(groups):
+        at = np.flatnonzero(np.array(groups) == g)
+        m, cov, scale = estimate(points[at])
+        out[at] = squared(points[at], m, cov) * quality.MEDIAN / scale
+    return out
+
+
+def test_distances_and_verdicts_match_numpy(spark):
+    """Both starts of all groups run until none falls, so groups end within FALL of each other's estimates."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for i in range(500):
+        g = i % 3
+        words = [word() + "%" * rng.choice([0, 0, 0, g]) for _ in range(int(math.exp(rng.gauss(5.2 + 0.3 * g, 0.4))) + 50)]
+        if i % 25 == 0:
+            words = [w * 5 + "###" for w in words]
+        words += words[: len(words) * (i % 7) // 20]
+        rows.append((i, " ".join(words), "en", f"s{g}"))
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert all(not r.base_failed for r in got.values())
+    counts = np.array([brute(t) for _, t, _, _ in rows], float)
+    points = np.stack([np.log1p(counts[:, 0]), counts[:, 1] / counts[:, 0], np.log1p(10 * counts[:, 2] / counts[:, 0]), counts[:, 4] / counts[:, 0]], 1)
+    want = brute_distances(points, [r[3] for r in rows])
+    have = np.array([got[i].distance2 for i in range(500)])
+    assert np.allclose(have, want, rtol=0.02, atol=0.02) and (np.abs(have - want) < 1e-6 * want).mean() > 0.6
+    assert [got[i].kept for i in range(500)] == (want <= quality.CUTOFF).tolist()
+    assert 10 <= sum(not got[i].kept for i in range(500)) <= 20
+
+
 def test_an_id_by_the_name_of_an_inner_column(spark):
     rows = corpus()[:60]
     got = {c: sorted(map(tuple, quality.quality_rules(spark.createDataFrame(rows, f"{c} long, text string, lang string, source string"), c).collect())) for c in ("doc_id", "grp", "x0")}
