@@ -7,9 +7,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: What 32-bit offsets can address.
+MOST_BYTES = (1 << 31) - 1
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A string column as one uint8 array and n + 1 offsets into it; null is empty."""
+    """A string column as one uint8 array and n + 1 offsets into it; null is empty. Chunks may exceed 2 GiB together."""
     if isinstance(col, pa.ChunkedArray):
+        if col.nbytes > MOST_BYTES:
+            col = col.cast(pa.large_string())
         col = col.combine_chunks()
     if col.null_count:
         col = pc.fill_null(col, "")

@@ -6,9 +6,10 @@ one key form a block; only blocks travel, packed as arrays, and each task sends
 once however often it meets it.
 
 0. crowds: keys under which very many blocks differ, as at the ends of a passage that a
-   large share of all documents hold. There are few, and their blocks are dealt as single
-   windows keyed by their own hash, so no key gathers more than a row of each task.
-1. blocks: windows to blocks of (key, block hash, document, place), dealt by key.
+   large share of all documents hold. Their blocks are dealt as single windows keyed by
+   their own hash, so no key gathers more than a row of each task. The same pass counts
+   the bytes, from which the number of parts follows.
+1. blocks: windows to blocks of (key, two block hashes, document, place), dealt by key.
 2. match: equal blocks are decided whole by their smallest document. Where a key has
    blocks that differ, at the ends of a repeated passage, their bytes are asked for.
 3. fetch: the documents cut out those bytes, dealt by key again.
@@ -18,9 +19,9 @@ once however often it meets it.
    that the hashes call equal are verified byte by byte.
 5. cut: each document drops the union of its repeated windows.
 
-Equality of the windows of crowded keys rests on 96 bits of two unlike hashes; that of
-other blocks on 48 bits of one hash among blocks of one minimizer, with no check of their
-bytes. Equality of suffixes rests on bytes.
+Equality of whole blocks, and of the windows of crowded keys, rests on two hashes of 64
+bits each, of unlike bases and values, and not on a check of their bytes. Equality of
+suffixes rests on bytes.
 """
 
 from __future__ import annotations
@@ -40,39 +41,44 @@ LENGTH, GRAM = 50, 20
 #: Bytes hashed at once, blocks sent at once, longest block, bytes that start out a sort,
 #: bytes sorted at once (or all that share a key).
 PIECE, FLUSH, LONGEST, HEAD, SORTED = 1 << 19, 500_000, 1024, 8, 1 << 21
-#: Unlike blocks of a key within a task that are worth counting; a key is crowded if these
-#: exceed CROWDED and a part of all blocks, so that there are at most MOST_CROWDS such keys.
-CROWD, CROWDED, MOST_CROWDS = 32, 1000, 10_000
+#: Unlike blocks of a key among those sent at once that are worth counting; a key is crowded
+#: if it has more than CROWDED, or than a millionth of all blocks where these are so many
+#: that MOST_CROWDS keys might. A key that is not has fewer than that, and at most one
+#: block more of each lot sent at once.
+CROWD, CROWDED, MOST_CROWDS = 2, 1000, 1_000_000
+#: Bytes of text that a part should hold.
+PART = 64 << 20
 #: Rank of a document without an id: after all others.
 LAST = (1 << 63) - 1
 
-BLOCK = ((8, 6), (8, 6), (8, 8), (4, 4), (4, 4), (4, 4), (4, 4))  # key, hash, rank, tag, chunk, place, windows
-COVER = ((8, 8), (4, 4), (4, 4), (4, 4))  # rank, tag, first window, windows
-WANTED = ((8, 8), (4, 4), (4, 4), (4, 4), (8, 6))  # rank, tag, first window, windows, key
+#: Kinds of numbers and the bytes kept of each.
+BLOCK = (("u8", 6), ("u8", 8), ("u8", 8), ("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4), ("u4", 2))  # key, two hashes, rank, tag, chunk, place, windows
+COVER = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4))  # rank, tag, first window, windows
+WANTED = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4), ("u8", 6))  # rank, tag, first window, windows, key
 ROW = "kind int, part int, data binary"
 BLOCKS, COVERS, WANTS, PASSAGES = 0, 1, 2, 3
 
 
 def pack(layout, arrays) -> bytes:
-    """Arrays of one length as compressed byte planes; (size, kept) bytes of each number."""
-    planes = [np.ascontiguousarray(np.asarray(a).astype(f"<u{size}").view(np.uint8).reshape(-1, size)[:, :kept].T) for (size, kept), a in zip(layout, arrays)]
+    """Arrays of one length as compressed byte planes."""
+    planes = [np.ascontiguousarray(np.asarray(a).astype(f"<{kind}").view(np.uint8).reshape(-1, int(kind[1]))[:, :kept].T) for (kind, kept), a in zip(layout, arrays)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
 
 
 def unpack(layout, data: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     n, out, at = len(raw) // sum(kept for _, kept in layout), [], 0
-    for size, kept in layout:
-        wide = np.zeros((n, size), np.uint8)
+    for kind, kept in layout:
+        wide = np.zeros((n, int(kind[1])), np.uint8)
         wide[:, :kept] = raw[at : at + n * kept].reshape(kept, n).T
-        out.append(wide.reshape(-1).view(f"<u{size}"))
+        out.append(wide.reshape(-1).view(f"<{kind}"))
         at += n * kept
     return out
 
 
 def unpack_all(layout, datas: list[bytes]) -> list[np.ndarray]:
     parts = [unpack(layout, d) for d in datas]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, f"<u{size}") for size, _ in layout]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, f"<{kind}") for kind, _ in layout]
 
 
 def rows(kind: int, parts, datas) -> pa.RecordBatch:
@@ -145,24 +151,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def single_windows(data: np.ndarray, h: Hashes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, hash and place of each window of some blocks: 96 bits of two unlike hashes of its bytes."""
+def single_windows(h: Hashes, other: Hashes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Key, two hashes and place of each window of some blocks; the key is a part of a hash of its bytes."""
     at = ragged(first, size)
-    span = size + LENGTH - 1
-    other = OtherHashes(data[ragged(first, span)])
-    moved = ragged(np.cumsum(span) - span, size)
-    return mix(other.of(moved, LENGTH)) >> np.uint64(16), mix(h.of(at, LENGTH) + np.uint64(1)) >> np.uint64(16), at
+    second = mix(other.of(at, LENGTH) + np.uint64(1))
+    return mix(second) >> np.uint64(16), mix(h.of(at, LENGTH) + np.uint64(1)), second, at
 
 
 def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crowds: np.ndarray | None = None):
-    """key, hash, piece, first window and windows of each block of several pieces of data.
+    """key, two hashes, piece, first window and windows of each block of several pieces of data.
 
     Blocks whose key is among crowds, sorted, come as blocks of a single window.
     """
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n < 1:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return (*[none.astype(np.uint64)] * 3, none, none, none)
     h = Hashes(data)
     grams = mix((h.prefix[GRAM:] - h.prefix[:-GRAM]) * h.inverse[: len(data) - GRAM + 1])
     width, span, least = LENGTH - GRAM + 1, 1, grams
@@ -189,16 +193,17 @@ def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crowds:
         first, piece = np.repeat(first, cuts) + nth * LONGEST, np.repeat(piece, cuts)
         size = np.minimum(left, LONGEST)
     key = mix(least[first]) >> np.uint64(16)
-    block = mix(h.of(first, size + (LENGTH - 1)) + size.astype(np.uint64)) >> np.uint64(16)
+    other = OtherHashes(data)
+    block, second = (mix(x.of(first, size + (LENGTH - 1)) + size.astype(np.uint64)) for x in (h, other))
     if crowds is not None and len(crowds):
         crowded = crowds[np.minimum(np.searchsorted(crowds, key), len(crowds) - 1)] == key
         if crowded.any():
-            k, b, at = single_windows(data, h, first[crowded], size[crowded])
+            k, b, c, at = single_windows(h, other, first[crowded], size[crowded])
             owner = np.repeat(piece[crowded], size[crowded])
             plain = ~crowded
-            key, block, piece = (np.concatenate([x[plain], y]) for x, y in ((key, k), (block, b), (piece, owner)))
+            key, block, second, piece = (np.concatenate([x[plain], y]) for x, y in ((key, k), (block, b), (second, c), (piece, owner)))
             first, size = np.concatenate([first[plain], at]), np.concatenate([size[plain], np.ones(len(at), size.dtype)])
-    return key, block, piece, first, size
+    return key, block, second, piece, first, size
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -210,31 +215,31 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
 
 
-def later_copies(key, block, rank) -> np.ndarray:
+def later_copies(key, block, second, rank) -> np.ndarray:
     """Places of blocks that a document of smaller rank has too."""
     there = np.flatnonzero(repeated(key))
-    order = there[np.lexsort((rank[there], block[there], key[there]))]
+    order = there[np.lexsort((rank[there], second[there], block[there], key[there]))]
     if not len(order):
         return order
-    k, b, r = key[order], block[order], rank[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])
+    k, b, c, r = key[order], block[order], second[order], rank[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
     least = r[np.flatnonzero(new)][np.cumsum(new) - 1]
     return order[r > least]
 
 
 def _send(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks dealt by key; copies within the task are decided here, so each block goes once."""
-    key, block, rank, tag, chunk, place, size = (np.concatenate(x) for x in zip(*held))
-    copies = later_copies(key, block, rank)
+    key, block, second, rank, tag, chunk, place, size = (np.concatenate(x) for x in zip(*held))
+    copies = later_copies(key, block, second, rank)
     if len(copies):
         yield dealt(COVERS, COVER, chunk[copies].astype(np.int64), [a[copies] for a in (rank, tag, place, size)])
     go = np.ones(len(key), bool)
     go[copies] = False
-    yield dealt(BLOCKS, BLOCK, (key[go] % np.uint64(buckets)).astype(np.int64), [a[go] for a in (key, block, rank, tag, chunk, place, size)])
+    yield dealt(BLOCKS, BLOCK, (key[go] % np.uint64(buckets)).astype(np.int64), [a[go] for a in (key, block, second, rank, tag, chunk, place, size)])
 
 
 def _batches_of_blocks(batches: Iterator[pa.RecordBatch], crowds: np.ndarray | None = None) -> Iterator[list]:
-    """Lists of (key, block, rank, tag, chunk, place, size) arrays, about FLUSH blocks each."""
+    """Lists of (key, block, second, rank, tag, chunk, place, size) arrays, about FLUSH blocks each."""
     held, n = [], 0
     for batch in batches:
         rank, tag, chunk = (np.asarray(batch.column(i), np.int64) for i in range(3))
@@ -249,14 +254,14 @@ def _batches_of_blocks(batches: Iterator[pa.RecordBatch], crowds: np.ndarray | N
                     starts, ends = offsets[doc:upto] - a, offsets[doc + 1 : upto + 1] - a
                 else:
                     starts, ends = np.array([0]), np.array([end - at])
-                key, block, piece, first, size = find_blocks(flat[at:end], starts, ends, crowds)
+                key, block, second, piece, first, size = find_blocks(flat[at:end], starts, ends, crowds)
                 if b - a > PIECE:
                     inside = first < PIECE  # later windows belong to the next piece
                     size = np.minimum(size, PIECE - first)
                     if not inside.all() or (first + size > PIECE).any():
-                        key, block, piece, first, size = (x[inside] for x in (key, block, piece, first, size))
+                        key, block, second, piece, first, size = (x[inside] for x in (key, block, second, piece, first, size))
                 d = doc + piece
-                held.append((key, block, rank[d], tag[d], chunk[d], at + first - offsets[d], size))
+                held.append((key, block, second, rank[d], tag[d], chunk[d], at + first - offsets[d], size))
                 n += len(key)
                 if n >= FLUSH:
                     yield held
@@ -275,10 +280,19 @@ def _blocks(buckets: int, crowds: np.ndarray | None = None):
 
 
 def _crowds(crowd: int):
-    """Keys with many unlike blocks, and their number; key -1 has the number of all blocks."""
+    """Keys with unlike blocks, and their number; key -1 has the number of all blocks, key -2 of all bytes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _batches_of_blocks(batches):
+        n_bytes = 0
+
+        def measured() -> Iterator[pa.RecordBatch]:
+            nonlocal n_bytes
+            for batch in batches:
+                n_bytes += int(utf8(batch.column(3))[1][-1])
+                yield batch
+
+        row = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (keys, n)], ["key", "n"])
+        for held in _batches_of_blocks(measured()):
             key, block = (np.concatenate(x) for x in list(zip(*held))[:2])
             total, many = len(key), repeated(key)
             key, block = key[many], block[many]
@@ -287,19 +301,19 @@ def _crowds(crowd: int):
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])[: len(key)]
             keys, n = np.unique(key[new], return_counts=True)
             large = n >= crowd
-            out = np.append(keys[large].astype(np.int64), -1), np.append(n[large], total)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], ["key", "n"])
+            yield row(np.append(keys[large].astype(np.int64), -1), np.append(n[large], total))
+        yield row([-2], [n_bytes])
 
     return count
 
 
-def crowded_keys(sent: DataFrame, crowd: int, crowded: int) -> np.ndarray:
-    """The keys whose unlike blocks are more than crowded and than a part of all, sorted."""
+def crowded_keys(sent: DataFrame, crowd: int, crowded: int) -> tuple[np.ndarray, int]:
+    """The keys whose unlike blocks are more than crowded and than a part of all, sorted, and the bytes of all texts."""
     counts = checkpoint(sent.mapInArrow(_crowds(crowd), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total = counts.where("key = -1").first()
-    least = max(crowded, (total.n if total else 0) // MOST_CROWDS)
-    found = counts.where((F.col("key") >= 0) & (F.col("n") > least)).collect()  # at most MOST_CROWDS
-    return np.sort(np.array([r.key for r in found], np.uint64))
+    totals = {r.key: r.n for r in counts.where("key < 0").collect()}
+    least = max(crowded, totals.get(-1, 0) // MOST_CROWDS)
+    found = counts.where((F.col("key") >= 0) & (F.col("n") > least)).select("key").collect()  # at most MOST_CROWDS
+    return np.sort(np.array([r.key for r in found], np.uint64)), totals.get(-2, 0)
 
 
 def _gather(batches: Iterator[pa.RecordBatch], kind: int) -> tuple[list[bytes], list[pa.RecordBatch]]:
@@ -321,9 +335,9 @@ def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     shared = repeated(np.concatenate([p[0] for p in parts]))
     cut = np.split(shared, np.cumsum([len(p[0]) for p in parts])[:-1])
-    key, block, rank, tag, chunk, place, size = (np.concatenate(x) for x in zip(*[[a[s] for a in p] for p, s in zip(parts, cut)]))
+    key, block, second, rank, tag, chunk, place, size = (np.concatenate(x) for x in zip(*[[a[s] for a in p] for p, s in zip(parts, cut)]))
     del parts
-    copies = later_copies(key, block, rank)
+    copies = later_copies(key, block, second, rank)
     if len(copies):
         yield dealt(COVERS, COVER, chunk[copies].astype(np.int64), [a[copies] for a in (rank, tag, place, size)])
     go = np.ones(len(key), bool)
@@ -375,7 +389,7 @@ def _fetch(buckets: int):
         for i, j in zip(new, np.append(new[1:], len(part))):
             p = pick[i:j]
             text = flat[ragged(at[i:j], size[p].astype(np.int64) + LENGTH - 1)].tobytes()
-            head = pack((*WANTED, (4, 4)), [rank[p], tag[p], place[p], size[p], keys[p], np.full(len(p), key[0].as_py())])
+            head = pack((*WANTED, ("u4", 4)), [rank[p], tag[p], place[p], size[p], keys[p], np.full(len(p), key[0].as_py())])
             datas.append(len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(text))
         return pa.Table.from_batches([rows(PASSAGES, part[new], datas)])
 
@@ -487,7 +501,7 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = int.from_bytes(d[:4], "little")
         heads.append(d[4 : 4 + n])
         texts.append(zstandard.ZstdDecompressor().decompress(d[4 + n :]))
-    rank, tag, place, size, key, chunk = unpack_all((*WANTED, (4, 4)), heads)
+    rank, tag, place, size, key, chunk = unpack_all((*WANTED, ("u4", 4)), heads)
     if not len(rank):
         return
     flat, size = np.frombuffer(b"".join(texts), np.uint8), size.astype(np.int64)
@@ -598,20 +612,20 @@ def remove_repeats(
     table gives an empty result; columns are carried only by name, and those by the name
     of a result give way to it.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
     carried = [c for c in carry or [] if c != id_col and c.lower() not in ("n_bytes", "n_removed", "spans", "kept")]
     text = F.coalesce(F.col(text_col), F.lit(""))
+    rank, tag = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(text)
+    crowds, n_bytes = crowded_keys(docs.select(rank.alias("_rank"), tag.alias("_tag"), F.lit(0).alias("_chunk"), text.alias("_text")), crowd, crowded)
+    buckets = max(partitions(docs.sparkSession), -(-n_bytes // PART))
     prepared = docs.select(
-        F.col(id_col),
+        F.col(id_col).alias(id_col),
         *carried,
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_rank"),
-        F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_tag"),
+        rank.alias("_rank"),
+        tag.alias("_tag"),
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(2 * buckets)).cast("int").alias("_chunk"),
         text.alias("_text"),
     )
-    sent = prepared.select("_rank", "_tag", "_chunk", "_text")
-    sent = sent.mapInArrow(_blocks(buckets, crowded_keys(sent, crowd, crowded)), ROW)
+    sent = prepared.select("_rank", "_tag", "_chunk", "_text").mapInArrow(_blocks(buckets, crowds), ROW)
     matched = checkpoint(sent.repartitionById(buckets, F.pmod("part", F.lit(buckets)).cast("int")).mapInArrow(match, ROW))
     by_chunk = prepared.groupBy("_chunk")
     of_chunk = lambda df, kind: df.where(F.col("kind") == kind).select(F.col("part").alias("_chunk"), "data").groupBy("_chunk")

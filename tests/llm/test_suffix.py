@@ -48,7 +48,7 @@ def corpus(seed):
         rows.append((rng.randrange(10**6), t))
     rows += [(rng.randrange(10**6), rows[k][1]) for k in range(12)]
     rows += [(5, "ab" * 400), (4, "ab" * 90 + "x"), (6, "a" * 3000), (7, "a" * 49), (8, "a" * 50), (None, "a" * 120), (None, rows[0][1])]
-    rows += [(9, None), (10, ""), rows[3], rows[3], (rows[5][0], rows[4][1]), (11, rows[1][1][:-1] + "!"), (12, "?" + rows[1][1])]
+    rows += [(-5, rows[2][1] + " " + passages[0]), (-(1 << 63), passages[1] + "."), (-1, "a" * 70), (9, None), (10, ""), rows[3], rows[3], (rows[5][0], rows[4][1]), (11, rows[1][1][:-1] + "!"), (12, "?" + rows[1][1])]
     return rows
 
 
@@ -86,7 +86,11 @@ def test_small_pieces_and_collisions(monkeypatch, seed):
     monkeypatch.setattr(suffix, "SORTED", 500)
     if seed == 9:  # hashes that say equal whenever lengths are
         monkeypatch.setattr(suffix.SuffixSorter, "extension", lambda self, x, y, known: np.full(len(x), suffix.LENGTH))
-    with_tags = [(i, hash(t) & 0xFFFFFFFF, 0, t or "") for i, t in rows]
+    if seed == 8:  # one of the two block hashes says equal whenever lengths are
+        of = suffix.Hashes.of
+        monkeypatch.setattr(suffix.OtherHashes, "of", lambda self, start, length: np.zeros(len(start), np.uint64))
+        assert suffix.Hashes.of is of
+    with_tags = [(i, hash(t), 0, t or "") for i, t in rows]
     assert blocks_and_all(with_tags) == brute(rows)
 
 
@@ -110,5 +114,63 @@ def test_crowded_keys_give_the_same(spark, crowd, crowded):
     rows += [(3_000_000 + i, "\n" + common + "\n" + str(i)) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sent = df.selectExpr("coalesce(doc_id, 9) r", "cast(1 as bigint) t", "1 c", "coalesce(text, '') x")
-    assert len(suffix.crowded_keys(sent, crowd, crowded)) > 0
+    assert len(suffix.crowded_keys(sent, crowd, crowded)[0]) > 0
     assert run(spark, rows, crowd=crowd, crowded=crowded) == brute(rows)
+
+
+def test_blocks_that_one_hash_confuses_stay_apart(monkeypatch):
+    """With either block hash constant the other still tells all blocks apart; with both constant bytes go that should stay."""
+    rows = [r for r in corpus(11) if r[0] is not None]
+    with_tags = [(i, hash(t), 0, t or "") for i, t in rows]
+    find = suffix.find_blocks
+
+    def blind(*which):
+        def found(*a):
+            out = list(find(*a))
+            for w in which:
+                out[w] = np.zeros_like(out[w])
+            return tuple(out)
+
+        return found
+
+    for which, same in (((1,), True), ((2,), True), ((1, 2), False)):
+        monkeypatch.setattr(suffix, "find_blocks", blind(*which))
+        # blocks that differ are seen by the first hash, so let it ask by the second where it is blind
+        if which == (1,):
+            monkeypatch.setattr(suffix, "find_blocks", lambda *a: (lambda o: (o[0], o[2], np.zeros_like(o[1]), *o[3:]))(find(*a)))
+        assert (blocks_and_all(with_tags) == brute(rows)) == same
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    for parts in (1, 2, 5):
+        df = spark.createDataFrame([(-5, text), (3, text)], "doc_id long, text string").repartition(parts)
+        assert sorted((r.doc_id, r.n_removed) for r in suffix.remove_repeats(df).collect()) == [(-5, 0), (3, len(text))]
+
+
+def test_a_crowd_spread_thinly_is_counted(spark, monkeypatch):
+    """One block of the crowd more in each lot than the first is counted, however few there are in each."""
+    common = "a passage that a third of all documents share, whatever stands around it, and in the same words "
+    rows = [(i, f"{i * 7919} before {i}" + common + f"after {i * 104729} it" + "".join(chr(97 + (i * j) % 23) for j in range(1, 400))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    keys, n_bytes = suffix.crowded_keys(df.selectExpr("doc_id r", "cast(1 as bigint) t", "1 c", "text x"), suffix.CROWD, 30)
+    assert len(keys) and n_bytes == sum(len(t) for _, t in rows)
+    assert run(spark, rows, crowded=30) == brute(rows)
+
+
+def test_parts_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "PART", 500)
+    rows = corpus(12)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_chunks_beyond_32_bit_offsets(monkeypatch):
+    import pyarrow as pa
+
+    from docketry.llm import columns
+
+    col = pa.chunked_array([["ab", None, "é"], [], ["", "xyz"]], pa.string())
+    whole = columns.utf8(col)
+    monkeypatch.setattr(columns, "MOST_BYTES", 3)
+    for got in (whole, columns.utf8(col)):
+        assert bytes(got[0]) == "abéxyz".encode() and got[1].tolist() == [0, 2, 2, 4, 4, 7]
