@@ -19,14 +19,16 @@ once however often it meets it.
    that the hashes call equal are verified byte by byte.
 5. cut: each document drops the union of its repeated windows.
 
-Equality of whole blocks, and of the windows of crowded keys, rests on two hashes of 64
-bits each, of unlike bases and values, and not on a check of their bytes. Equality of
-suffixes rests on bytes.
+Equality of whole blocks, and of the windows of crowded keys, rests on two hashes of 48
+bits each, of unlike bases and values, and not on a check of their bytes: with 6e12 blocks,
+as 100 TB have, all pairs together would hold 2e-4 false ones. Equality of suffixes rests
+on bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +49,15 @@ PIECE, FLUSH, LONGEST, HEAD, SORTED = 1 << 19, 500_000, 1024, 8, 1 << 21
 #: block more of each lot sent at once.
 CROWD, CROWDED, MOST_CROWDS = 2, 1000, 1_000_000
 #: Bytes of text that a part should hold.
-PART = 64 << 20
+PART = 512 << 20
 #: Rank of a document without an id: after all others.
 LAST = (1 << 63) - 1
 
 #: Kinds of numbers and the bytes kept of each.
-BLOCK = (("u8", 6), ("u8", 8), ("u8", 8), ("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4), ("u4", 2))  # key, two hashes, rank, tag, chunk, place, windows
+BLOCK = (("u8", 5), ("u8", 6), ("u8", 6), ("u4", 4), ("u4", 2))  # key, two hashes, step from the place before, windows
+OWNER = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4))  # rank, tag, chunk, blocks
 COVER = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4))  # rank, tag, first window, windows
-WANTED = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4), ("u8", 6))  # rank, tag, first window, windows, key
+WANTED = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4), ("u8", 5))  # rank, tag, first window, windows, key
 ROW = "kind int, part int, data binary"
 BLOCKS, COVERS, WANTS, PASSAGES = 0, 1, 2, 3
 
@@ -81,19 +84,39 @@ def unpack_all(layout, datas: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, f"<{kind}") for kind, _ in layout]
 
 
+def pack_blocks(arrays) -> bytes:
+    """Blocks in the order of their documents; what they share with their document goes once."""
+    key, block, second, rank, tag, chunk, place, size = arrays
+    new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (tag[1:] != tag[:-1]) | (chunk[1:] != chunk[:-1])])[: len(key)]
+    first = np.flatnonzero(new)
+    owners = pack(OWNER, (rank[first], tag[first], chunk[first], np.diff(np.append(first, len(key)))))
+    return len(owners).to_bytes(4, "little") + owners + pack(BLOCK, (key, block, second, np.diff(place.astype(np.uint32), prepend=np.uint32(0)), size))
+
+
+def unpack_blocks(data: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    rank, tag, chunk, count = unpack(OWNER, data[4 : 4 + n])
+    key, block, second, step, size = unpack(BLOCK, data[4 + n :])
+    return [key, block, second, *(np.repeat(x, count) for x in (rank, tag, chunk)), np.cumsum(step, dtype=np.uint32), size]
+
+
 def rows(kind: int, parts, datas) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([kind] * len(datas), pa.int32()), pa.array(parts, pa.int32()), pa.array(datas, pa.binary())], ["kind", "part", "data"]
     )
 
 
-def dealt(kind: int, layout, part: np.ndarray, arrays) -> pa.RecordBatch:
+def dealt(kind: int, packed, part: np.ndarray, arrays) -> pa.RecordBatch:
     """One packed row of each part."""
     order = np.argsort(part, kind="stable")
     part, arrays = part[order], [a[order] for a in arrays]
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     ends = np.append(at[1:], len(part))
-    return rows(kind, part[at], [pack(layout, [a[i:j] for a in arrays]) for i, j in zip(at, ends)])
+    return rows(kind, part[at], [packed([a[i:j] for a in arrays]) for i, j in zip(at, ends)])
+
+
+def covers(chunk: np.ndarray, arrays) -> pa.RecordBatch:
+    return dealt(COVERS, partial(pack, COVER), chunk.astype(np.int64), arrays)
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -155,7 +178,7 @@ def single_windows(h: Hashes, other: Hashes, first: np.ndarray, size: np.ndarray
     """Key, two hashes and place of each window of some blocks; the key is a part of a hash of its bytes."""
     at = ragged(first, size)
     second = mix(other.of(at, LENGTH) + np.uint64(1))
-    return mix(second) >> np.uint64(16), mix(h.of(at, LENGTH) + np.uint64(1)), second, at
+    return mix(second) >> np.uint64(24), mix(h.of(at, LENGTH) + np.uint64(1)) >> np.uint64(16), second >> np.uint64(16), at
 
 
 def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crowds: np.ndarray | None = None):
@@ -192,9 +215,9 @@ def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crowds:
         left = np.repeat(size, cuts) - nth * LONGEST
         first, piece = np.repeat(first, cuts) + nth * LONGEST, np.repeat(piece, cuts)
         size = np.minimum(left, LONGEST)
-    key = mix(least[first]) >> np.uint64(16)
+    key = mix(least[first]) >> np.uint64(24)
     other = OtherHashes(data)
-    block, second = (mix(x.of(first, size + (LENGTH - 1)) + size.astype(np.uint64)) for x in (h, other))
+    block, second = (mix(x.of(first, size + (LENGTH - 1)) + size.astype(np.uint64)) >> np.uint64(16) for x in (h, other))
     if crowds is not None and len(crowds):
         crowded = crowds[np.minimum(np.searchsorted(crowds, key), len(crowds) - 1)] == key
         if crowded.any():
@@ -232,10 +255,10 @@ def _send(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     key, block, second, rank, tag, chunk, place, size = (np.concatenate(x) for x in zip(*held))
     copies = later_copies(key, block, second, rank)
     if len(copies):
-        yield dealt(COVERS, COVER, chunk[copies].astype(np.int64), [a[copies] for a in (rank, tag, place, size)])
+        yield covers(chunk[copies], [a[copies] for a in (rank, tag, place, size)])
     go = np.ones(len(key), bool)
     go[copies] = False
-    yield dealt(BLOCKS, BLOCK, (key[go] % np.uint64(buckets)).astype(np.int64), [a[go] for a in (key, block, second, rank, tag, chunk, place, size)])
+    yield dealt(BLOCKS, pack_blocks, (key[go] % np.uint64(buckets)).astype(np.int64), [a[go] for a in (key, block, second, rank, tag, chunk, place, size)])
 
 
 def _batches_of_blocks(batches: Iterator[pa.RecordBatch], crowds: np.ndarray | None = None) -> Iterator[list]:
@@ -330,7 +353,7 @@ def _gather(batches: Iterator[pa.RecordBatch], kind: int) -> tuple[list[bytes],
 def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     datas, others = _gather(batches, BLOCKS)
     yield from others
-    parts = [unpack(BLOCK, d) for d in datas]
+    parts = [unpack_blocks(d) for d in datas]
     if not parts:
         return
     shared = repeated(np.concatenate([p[0] for p in parts]))
@@ -339,7 +362,7 @@ def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     del parts
     copies = later_copies(key, block, second, rank)
     if len(copies):
-        yield dealt(COVERS, COVER, chunk[copies].astype(np.int64), [a[copies] for a in (rank, tag, place, size)])
+        yield covers(chunk[copies], [a[copies] for a in (rank, tag, place, size)])
     go = np.ones(len(key), bool)
     go[copies] = False
     left = np.flatnonzero(go)
@@ -353,7 +376,7 @@ def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     asked = order[np.repeat(unlike, n)]
     if len(asked):
         asked = asked[np.lexsort((place[asked], rank[asked]))]
-        yield dealt(WANTS, WANTED, chunk[asked].astype(np.int64), [a[asked] for a in (rank, tag, place, size, key)])
+        yield dealt(WANTS, partial(pack, WANTED), chunk[asked].astype(np.int64), [a[asked] for a in (rank, tag, place, size, key)])
 
 
 def _by_document(rank, tag):
@@ -523,7 +546,7 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append((chunk[p], rank[p], tag[p], place[p] + first, count))
     if found:
         part, *arrays = (np.concatenate(x) for x in zip(*found))
-        yield dealt(COVERS, COVER, part.astype(np.int64), arrays)
+        yield covers(part, arrays)
 
 
 def repeated_windows(data: np.ndarray, size: np.ndarray, key: np.ndarray, rank: np.ndarray):

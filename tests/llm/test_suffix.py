@@ -174,3 +174,14 @@ def test_chunks_beyond_32_bit_offsets(monkeypatch):
     monkeypatch.setattr(columns, "MOST_BYTES", 3)
     for got in (whole, columns.utf8(col)):
         assert bytes(got[0]) == "abéxyz".encode() and got[1].tolist() == [0, 2, 2, 4, 4, 7]
+
+
+def test_blocks_survive_packing():
+    rng = np.random.default_rng(2)
+    n = 500
+    owner = np.sort(rng.integers(0, 60, n))
+    arrays = [rng.integers(0, 1 << bits, n, dtype=np.uint64) for bits in (40, 48, 48)]
+    arrays += [rng.integers(-(1 << 62), 1 << 62, 60)[owner], rng.integers(-(1 << 62), 1 << 62, 60)[owner], rng.integers(0, 99, 60)[owner]]
+    arrays += [rng.integers(0, 1 << 31, n), rng.integers(1, suffix.LONGEST + 1, n)]
+    assert all((a == b).all() for a, b in zip(arrays, suffix.unpack_blocks(suffix.pack_blocks(arrays))))
+    assert all(len(a) == 0 for a in suffix.unpack_blocks(suffix.pack_blocks([a[:0] for a in arrays])))
