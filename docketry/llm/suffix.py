@@ -19,10 +19,11 @@ once however often it meets it.
    that the hashes call equal are verified byte by byte.
 5. cut: each document drops the union of its repeated windows.
 
-Equality of whole blocks, and of the windows of crowded keys, rests on two hashes of 48
-bits each, of unlike bases and values, and not on a check of their bytes: with 6e12 blocks,
-as 100 TB have, all pairs together would hold 2e-4 false ones. Equality of suffixes rests
-on bytes.
+Equality of whole blocks, and of the windows of crowded keys, rests on the key, a hash of
+48 bits and one of 32 of another base and other values, and not on a check of their bytes.
+Only blocks of one key are compared, and crowds bound these: with 6e12 blocks, as 100 TB
+have, at most 2e19 pairs, of which 80 bits call 2e-5 falsely equal. Equality of suffixes
+rests on bytes.
 """
 
 from __future__ import annotations
@@ -47,17 +48,17 @@ PIECE, FLUSH, LONGEST, HEAD, SORTED = 1 << 19, 500_000, 1024, 8, 1 << 21
 #: if it has more than CROWDED, or than a millionth of all blocks where these are so many
 #: that MOST_CROWDS keys might. A key that is not has fewer than that, and at most one
 #: block more of each lot sent at once.
-CROWD, CROWDED, MOST_CROWDS = 2, 1000, 1_000_000
+CROWD, CROWDED, MOST_CROWDS = 2, 10_000, 1_000_000
 #: Bytes of text that a part should hold.
 PART = 512 << 20
 #: Rank of a document without an id: after all others.
 LAST = (1 << 63) - 1
 
 #: Kinds of numbers and the bytes kept of each.
-BLOCK = (("u8", 5), ("u8", 6), ("u8", 6), ("u4", 4), ("u4", 2))  # key, two hashes, step from the place before, windows
-OWNER = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4))  # rank, tag, chunk, blocks
-COVER = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4))  # rank, tag, first window, windows
-WANTED = (("i8", 8), ("i8", 8), ("u4", 4), ("u4", 4), ("u8", 5))  # rank, tag, first window, windows, key
+BLOCK = (("u8", 5), ("u8", 6), ("u4", 4), ("u4", 4), ("u4", 2))  # key, two hashes, step from the place before, windows
+OWNER = (("u8", 8), ("i8", 6), ("u4", 4), ("u4", 4))  # step from the rank before, tag, chunk, blocks
+COVER = (("i8", 8), ("i8", 6), ("u4", 4), ("u4", 4))  # rank, tag, first window, windows
+WANTED = (("i8", 8), ("i8", 6), ("u4", 4), ("u4", 4), ("u8", 5))  # rank, tag, first window, windows, key
 ROW = "kind int, part int, data binary"
 BLOCKS, COVERS, WANTS, PASSAGES = 0, 1, 2, 3
 
@@ -89,13 +90,15 @@ def pack_blocks(arrays) -> bytes:
     key, block, second, rank, tag, chunk, place, size = arrays
     new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (tag[1:] != tag[:-1]) | (chunk[1:] != chunk[:-1])])[: len(key)]
     first = np.flatnonzero(new)
-    owners = pack(OWNER, (rank[first], tag[first], chunk[first], np.diff(np.append(first, len(key)))))
+    steps = np.diff(rank[first].view(np.uint64), prepend=np.uint64(0))
+    owners = pack(OWNER, (steps, tag[first], chunk[first], np.diff(np.append(first, len(key)))))
     return len(owners).to_bytes(4, "little") + owners + pack(BLOCK, (key, block, second, np.diff(place.astype(np.uint32), prepend=np.uint32(0)), size))
 
 
 def unpack_blocks(data: bytes) -> list[np.ndarray]:
     n = int.from_bytes(data[:4], "little")
-    rank, tag, chunk, count = unpack(OWNER, data[4 : 4 + n])
+    steps, tag, chunk, count = unpack(OWNER, data[4 : 4 + n])
+    rank = np.cumsum(steps, dtype=np.uint64).view(np.int64)
     key, block, second, step, size = unpack(BLOCK, data[4 + n :])
     return [key, block, second, *(np.repeat(x, count) for x in (rank, tag, chunk)), np.cumsum(step, dtype=np.uint32), size]
 
@@ -178,7 +181,7 @@ def single_windows(h: Hashes, other: Hashes, first: np.ndarray, size: np.ndarray
     """Key, two hashes and place of each window of some blocks; the key is a part of a hash of its bytes."""
     at = ragged(first, size)
     second = mix(other.of(at, LENGTH) + np.uint64(1))
-    return mix(second) >> np.uint64(24), mix(h.of(at, LENGTH) + np.uint64(1)) >> np.uint64(16), second >> np.uint64(16), at
+    return mix(second) >> np.uint64(24), mix(h.of(at, LENGTH) + np.uint64(1)) >> np.uint64(16), second & np.uint64(0xFFFFFFFF), at
 
 
 def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crowds: np.ndarray | None = None):
@@ -217,7 +220,7 @@ def find_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, crowds:
         size = np.minimum(left, LONGEST)
     key = mix(least[first]) >> np.uint64(24)
     other = OtherHashes(data)
-    block, second = (mix(x.of(first, size + (LENGTH - 1)) + size.astype(np.uint64)) >> np.uint64(16) for x in (h, other))
+    block, second = (mix(x.of(first, size + (LENGTH - 1)) + size.astype(np.uint64)) >> np.uint64(bits) for x, bits in ((h, 16), (other, 32)))
     if crowds is not None and len(crowds):
         crowded = crowds[np.minimum(np.searchsorted(crowds, key), len(crowds) - 1)] == key
         if crowded.any():
@@ -637,7 +640,7 @@ def remove_repeats(
     """
     carried = [c for c in carry or [] if c != id_col and c.lower() not in ("n_bytes", "n_removed", "spans", "kept")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rank, tag = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(text)
+    rank, tag = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.shiftrightunsigned(F.xxhash64(text), 16)
     crowds, n_bytes = crowded_keys(docs.select(rank.alias("_rank"), tag.alias("_tag"), F.lit(0).alias("_chunk"), text.alias("_text")), crowd, crowded)
     buckets = max(partitions(docs.sparkSession), -(-n_bytes // PART))
     prepared = docs.select(
