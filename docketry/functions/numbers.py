@@ -103,3 +103,8 @@ def date_range(first: Column, last: Column) -> Column:
     """Two dates as one phrase; a missing one leaves the other alone."""
     a, b = F.date_format(first, "yyyy-MM-dd"), F.date_format(last, "yyyy-MM-dd")
     return F.when(a.isNull() & b.isNull(), "not stated").otherwise(F.concat_ws(" to ", a, b))
+
+
+def dates_in_order(first: Column, last: Column) -> Column:
+    """Whether a period does not end before it begins; a missing date is no fault."""
+    return F.coalesce(first <= last, F.lit(True))

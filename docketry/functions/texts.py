@@ -21,21 +21,49 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
 
+#: What cleaning, HTML and regulations in XML are rewritten by, each in the order in which it is applied.
+CLEANING = [(r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{4,}", "\n\n\n")]
+HTML_RULES = [
+    (r"(?is)<script\b.*?</script>", ""),
+    (r"(?is)<style\b.*?</style>", ""),
+    (r"(?i)</(?:p|div|section|article|li|tr|h[1-6]|blockquote)>", "\n\n"),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"<[^>]+>", ""),
+    ("&nbsp;", " "),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+]
+XML_RULES = [
+    (r"(?s)<\?xml.*?\?>", ""),
+    (r"(?is)<HEAD>(.*?)</HEAD>", "\n\n$1\n\n"),
+    (r"(?i)</(?:P|DIV\d?|SECTION|HEAD)>", "\n\n"),
+    (r"<[^>]+>", ""),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+]
+
+
 def clean_text(raw: Column) -> Column:
     """One kind of line end, no blanks before it, at most two empty lines in a row, no white space around."""
-    return strip(_replace_all(raw, [(r"\r\n?", "\n"), (r"[ \t]+\n", "\n"), (r"\n{4,}", "\n\n\n")]))
+    return strip(_replace_all(raw, CLEANING))
 
 
 def decode_numeric_entities(c: Column) -> Column:
     """&#233; as its character; code points beyond Unicode stay as they are.
 
-    The text is cut at its entities, so the work is in proportion to its length.
+    The text is cut at its entities, each of which is decoded once, so the work is in
+    proportion to its length.
     """
-    entity = r"&#(\d{1,7});"
+    entity = r"&#(\d+);"
     gaps, codes = F.split(c, entity), F.regexp_extract_all(c, F.lit(entity), 1)
+    beyond = "1114112"
+    digits = F.transform(codes, lambda code: F.regexp_replace(code, r"^0+(?=\d)", ""))
+    numbers = F.transform(digits, lambda d: F.when(F.length(d) <= 7, d).otherwise(beyond).cast("int"))
 
-    def char(code: Column) -> Column:
-        n = code.cast("int")
+    def char(n: Column, code: Column) -> Column:
         octet = lambda x: F.lpad(F.hex(x), 2, "0")
         low = lambda shift: octet(F.lit(0x80) + F.shiftright(n, shift).bitwiseAND(F.lit(0x3F)))
         utf8 = (
@@ -47,45 +75,22 @@ def decode_numeric_entities(c: Column) -> Column:
         known = (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
         return F.when(known, F.unhex(utf8).cast("string")).otherwise(F.concat(F.lit("&#"), code, F.lit(";")))
 
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.transform(codes, char), i), F.lit(""))))
-    return F.when(F.size(codes) > 0, F.array_join(pieces, "")).otherwise(c)
+    return F.when(c.contains("&#"), _woven(gaps, F.zip_with(numbers, codes, char))).otherwise(c)
+
+
+def _woven(gaps: Column, between: Column) -> Column:
+    """The gaps of a text with what stands between them."""
+    return F.array_join(F.zip_with(gaps, between, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
 
 
 def html_to_text(html: Column) -> Column:
     """Markup gone, the ends of blocks as empty lines, entities decoded; not yet cleaned."""
-    bare = _replace_all(
-        html,
-        [
-            (r"(?is)<script\b.*?</script>", ""),
-            (r"(?is)<style\b.*?</style>", ""),
-            (r"(?i)</(?:p|div|section|article|li|tr|h[1-6]|blockquote)>", "\n\n"),
-            (r"(?i)<br\s*/?>", "\n"),
-            (r"<[^>]+>", ""),
-            ("&nbsp;", " "),
-            ("&amp;", "&"),
-            ("&lt;", "<"),
-            ("&gt;", ">"),
-            ("&quot;", '"'),
-        ],
-    )
-    return decode_numeric_entities(bare)
+    return decode_numeric_entities(_replace_all(html, HTML_RULES))
 
 
 def regulation_xml_to_text(xml: Column) -> Column:
     """Like HTML, for regulations in XML: headings stand alone, fewer entities are known."""
-    bare = _replace_all(
-        xml,
-        [
-            (r"(?s)<\?xml.*?\?>", ""),
-            (r"(?is)<HEAD>(.*?)</HEAD>", "\n\n$1\n\n"),
-            (r"(?i)</(?:P|DIV\d?|SECTION|HEAD)>", "\n\n"),
-            (r"<[^>]+>", ""),
-            ("&amp;", "&"),
-            ("&lt;", "<"),
-            ("&gt;", ">"),
-        ],
-    )
-    return decode_numeric_entities(bare)
+    return decode_numeric_entities(_replace_all(xml, XML_RULES))
 
 
 def text_format(source_type: Column, url: Column, text: Column) -> Column:
@@ -108,17 +113,22 @@ def upload_format(name: Column, content: Column) -> Column:
     return F.when(F.lower(name).endswith(".pdf") | (F.substring(content, 1, 5) == F.lit(b"%PDF-")), "pdf").otherwise("text")
 
 
+LONGEST_HEADING = 120
+#: What reads as a heading, with its level; the first form that fits decides.
+HEADINGS = [
+    (1, r"\d{1,3}(?:\.\d{1,3})?\s*[-–—]\s*\S.{0,110}"),
+    (1, r"§+\s*\d+\.\d+.{0,110}"),
+    (1, r"[IVXLC]{1,6}\.\s+\S.{0,110}"),
+    (2, r"[A-Z]\.\s+\S.{0,110}"),
+    (1, r"[A-Z][A-Z\s,'()-]{3,60}"),
+]
+
+
 def heading_level(line: Column) -> Column:
-    """1 or 2 for lines that read as headings, else null; the first form that fits decides."""
+    """1 or 2 for lines that read as headings, else null."""
     line = strip(line)
-    found = (
-        F.when(line.rlike(r"^\d{1,3}(\.\d{1,3})?\s*[-–—]\s*\S.{0,110}$"), 1)
-        .when(line.rlike(r"^§+\s*\d+\.\d+.{0,110}$"), 1)
-        .when(line.rlike(r"^[IVXLC]{1,6}\.\s+\S.{0,110}$"), 1)
-        .when(line.rlike(r"^[A-Z]\.\s+\S.{0,110}$"), 2)
-        .when(line.rlike(r"^[A-Z][A-Z\s,'()-]{3,60}$"), 1)
-    )
-    return F.when(F.length(line).between(1, 120), found)
+    forms = [F.when(line.rlike(f"^{form}$"), level) for level, form in HEADINGS]
+    return F.when(F.length(line).between(1, LONGEST_HEADING), F.coalesce(*forms))
 
 
 #: What identifies a person, by label, in the order in which it is masked.
@@ -131,20 +141,40 @@ PERSONAL = {
     "date": r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}\b",
     "dob": r"(?i)\bDOB[:\s]*\S+",
 }
+#: What every match of a mask holds; cheap to look for.
+CORE = {
+    "ssn": r"\d-\d{2}-\d", "mrn": "(?i)mrn", "medicare-id": r"[1-9][A-Z][0-9A-Z]\d[A-Z]", "email": "@",
+    "phone": r"\d{3}[\s.-]\d{4}", "date": r"[/-](?:19|20)\d{2}", "dob": "(?i)dob",
+}
 LONG_TEXT = 160
 #: An edge between ASCII letters, digits or underscores and anything else; Java's own edge
 #: also knows other letters on some versions.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def _masked(lines: Column) -> Column:
+    """Personal data of each line masked; a mask's costly edges are looked for only where its core is."""
+
+    def mask(lines: Column, name: str) -> Column:
+        whole = PERSONAL[name].replace(r"\b", EDGE)
+        return F.transform(lines, lambda x: F.when(x.rlike(CORE[name]), F.regexp_replace(x, whole, f"[redacted:{name}]")).otherwise(x))
+
+    return reduce(mask, PERSONAL, lines)
+
+
 def mask_personal(c: Column) -> Column:
-    return reduce(lambda x, rule: F.regexp_replace(x, rule[1].replace(r"\b", EDGE), f"[redacted:{rule[0]}]"), PERSONAL.items(), c)
+    return F.get(_masked(F.array(c)), 0)
+
+
+def redact_lines(lines: Column) -> Column:
+    """Personal data masked in place; lines that are still long are replaced by their lengths."""
+    short = lambda m: F.when(F.length(m) > LONG_TEXT, F.concat(F.lit("[redacted:"), F.length(m).cast("string"), F.lit(" chars]"))).otherwise(m)
+    return F.transform(_masked(lines), short)
 
 
 def redact(c: Column) -> Column:
-    """Personal data masked in place; what is still long is replaced by its length."""
-    masked = mask_personal(c)
-    return F.when(F.length(masked) > LONG_TEXT, F.concat(F.lit("[redacted:"), F.length(masked).cast("string"), F.lit(" chars]"))).otherwise(masked)
+    """One text, redacted as a line is."""
+    return F.get(redact_lines(F.array(c)), 0)
 
 
 PLACEHOLDER = r"\{\{\s*([a-z_]+)\s*\}\}"
@@ -156,19 +186,18 @@ def substitute(template: Column, values: Mapping[str, Column]) -> Column:
     whole = F.regexp_extract_all(template, F.lit(PLACEHOLDER), 0)
     known = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))])
     filled = F.zip_with(names, whole, lambda name, as_is: F.coalesce(F.element_at(known, name), as_is))
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(filled, i), F.lit("")))), "")
+    return _woven(gaps, filled)
+
+
+#: What stands in a message for what is not known of its reader, and its last lines.
+UNKNOWN = {"first_name": "there", "last_name": "", "title": "your role", "org_name": "your organisation"}
+FOOTER_RULE, FOOTER_LINK, FOOTER_PATH = "\n\n---\n", "To stop receiving these, unsubscribe here: ", "/unsubscribe/"
 
 
 def contact_values(first_name: Column, last_name: Column, title: Column, org_name: Column, email: Column) -> dict[str, Column]:
     """The values of campaign templates, with neutral words for what is missing."""
-    given = lambda c, other: F.coalesce(F.nullif(strip(c), F.lit("")), F.lit(other))
-    return {
-        "first_name": given(first_name, "there"),
-        "last_name": given(last_name, ""),
-        "title": given(title, "your role"),
-        "org_name": given(org_name, "your organisation"),
-        "email": email,
-    }
+    known = {"first_name": first_name, "last_name": last_name, "title": title, "org_name": org_name}
+    return {k: F.coalesce(F.nullif(strip(c), F.lit("")), F.lit(UNKNOWN[k])) for k, c in known.items()} | {"email": email}
 
 
 def placeholders(template: Column) -> Column:
@@ -178,8 +207,8 @@ def placeholders(template: Column) -> Column:
 
 def campaign_footer(base_url: Column, token: Column, address: Column) -> Column:
     """The lines every campaign message ends with."""
-    link = F.concat(F.lit("To stop receiving these, unsubscribe here: "), base_url, F.lit("/unsubscribe/"), token)
-    return F.concat(F.lit("\n\n---\n"), link, F.lit("\n"), F.coalesce(address, F.lit("")))
+    link = F.concat(F.lit(FOOTER_RULE + FOOTER_LINK), base_url, F.lit(FOOTER_PATH), token)
+    return F.concat(link, F.lit("\n"), F.coalesce(address, F.lit("")))
 
 
 def wrap(c: Column, width: int = 76) -> Column:
@@ -224,6 +253,15 @@ def is_email(c: Column) -> Column:
     return c.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
 
 
+#: Domains of mail for everybody, from which no request for a demonstration is taken.
+CONSUMER_MAIL = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "aol.com", "icloud.com", "proton.me", "protonmail.com", "live.com", "msn.com")
+
+
+def is_work_email(c: Column) -> Column:
+    """An address whose domain is not one of mail for everybody, whatever its case."""
+    return is_email(c) & ~F.lower(F.regexp_extract(c, "@([^@]*)$", 1)).isin(*CONSUMER_MAIL)
+
+
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
     """How many of the terms a text holds, whatever their case."""
     low = F.lower(text)

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from docketry.functions.numbers import fee_cents, invoice_number
 
 
+#: Why an outcome is not billed.
+EXCLUDED = {
+    "billed": "already billed on an earlier invoice",
+    "outside": "decided outside this period",
+    "nothing": ", so nothing was recovered and nothing is owed",
+    "no dollars": "no dollars recovered",
+}
+
+
 def exclusion_reason(result: Column, recovered_cents: Column, decided_at: Column, invoice_id: Column, start: Column, end: Column) -> Column:
     """Why an outcome is not billed in a period, null if it is; both ends of the period belong to it."""
     return (
-        F.when(invoice_id.isNotNull(), "already billed on an earlier invoice")
-        .when((decided_at < start) | (decided_at > end), "decided outside this period")
-        .when(result.isin("lost", "withdrawn"), F.concat(result, F.lit(", so nothing was recovered and nothing is owed")))
-        .when(recovered_cents <= 0, "no dollars recovered")
+        F.when(invoice_id.isNotNull(), EXCLUDED["billed"])
+        .when((decided_at < start) | (decided_at > end), EXCLUDED["outside"])
+        .when(result.isin("lost", "withdrawn"), F.concat(result, F.lit(EXCLUDED["nothing"])))
+        .when(recovered_cents <= 0, EXCLUDED["no dollars"])
     )
 
 

@@ -9,30 +9,53 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.runtime import checkpoint
+
 
 def insert_ignore(target: DataFrame, new: DataFrame, *unique: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """The rows of new that break none of the unique keys, neither against target nor among themselves.
+    """The rows of new that are there after they are inserted one by one, each only if it breaks no unique key.
 
-    Of new rows that share a key the first by ``order`` stays. A key with a null in it
-    never conflicts, as in SQL.
+    Rows go in by ``order``, ties by all their columns. A row that loses blocks no other:
+    one that meets only losers goes in. A key with a null in it never conflicts, as in
+    SQL. Rows are decided in rounds, of which there are as many as the longest chain of
+    rows that each wait for the one before; a round compares only keys and first places.
     """
-    rows = new
-    for key in unique:
-        rows = rows.join(target.select(*key).distinct(), list(key), "left_anti").select(*new.columns)
+    columns = new.columns
+    whole = [reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key)) for key in unique]
+    keyed = reduce(lambda a, b: a | b, whole)
+    open_ = new.where(keyed).dropDuplicates()
     for key in unique:
-        place = F.row_number().over(Window.partitionBy(*key).orderBy(*(order or key)))
-        free = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in key))
-        rows = rows.withColumn("_n", place).where((F.col("_n") == 1) | free).drop("_n")
-    return rows
-
-
-def upsert(target: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    """target after new: rows of a known key take the new values that are not null, others are added."""
+        open_ = open_.join(target.select(*key).distinct(), list(key), "left_anti").select(*columns)
+    place = F.struct(*order, F.to_json(F.struct(*columns)))
+    open_ = checkpoint(open_.withColumn("_place", place))
+    taken = [new.where(~keyed)]
+    while not open_.isEmpty():
+        rows = open_
+        for i, key in enumerate(unique):
+            first = open_.where(whole[i]).groupBy(*key).agg(F.min("_place").alias(f"_first{i}"))
+            rows = rows.join(first, list(key), "left")
+        is_first = reduce(lambda a, b: a & b, (F.col(f"_first{i}").isNull() | (F.col(f"_first{i}") == F.col("_place")) for i in range(len(unique))))
+        won = checkpoint(rows.where(is_first).select(*columns, "_place"))
+        taken.append(won.select(*columns))
+        for key in unique:
+            open_ = open_.join(won.select(*key).distinct(), list(key), "left_anti").select(*columns, "_place")
+        open_ = checkpoint(open_)
+    return reduce(DataFrame.unionByName, taken)
+
+
+def upsert(target: DataFrame, new: DataFrame, *key: str, order: Sequence[str] = ()) -> DataFrame:
+    """target after new: rows of a known key take the new values that are not null, others are added.
+
+    Rows of new that repeat a key are applied by ``order``, ties by all their columns:
+    of each value the last that is not null counts.
+    """
     values = [c for c in target.columns if c not in key]
-    n = new.select(*key, *[F.col(c).alias(f"_{c}") for c in values if c in new.columns])
+    place = F.struct(*order, F.to_json(F.struct(*new.columns)))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_{c}") for c in values if c in new.columns]
+    n = new.groupBy(*key).agg(*last) if last else new.select(*key).distinct()
     merged = target.join(n, list(key), "full_outer")
     return merged.select(*[F.coalesce(f"_{c}", c).alias(c) if c in values and c in new.columns else F.col(c) for c in target.columns])
 
@@ -80,6 +103,16 @@ def erase(tables: dict[str, DataFrame], tree: Sequence[tuple[str, str, str | Non
     return names.join(found, [root, "table_name"], "left").select(root, "table_name", F.coalesce("n", F.lit(0)).alias("n")), left
 
 
+def receipts(counts: DataFrame, at: Column, reason: Column) -> DataFrame:
+    """What stays of an erasure: for each root when, why, how many rows of each table went, and how many in all.
+
+    counts are those of erase. The receipt is a row of its own and hangs off nothing that was erased.
+    """
+    root = counts.columns[0]
+    each = F.map_from_entries(F.array_sort(F.collect_list(F.struct("table_name", "n"))))
+    return counts.groupBy(root).agg(each.alias("tables"), F.sum("n").alias("total")).select(root, at.alias("erased_at"), reason.alias("reason"), "tables", "total")
+
+
 def violations(df: DataFrame, *unique: str) -> DataFrame:
     """Keys that are there more than once, with their counts; a check Spark does not make itself."""
     return df.groupBy(*unique).agg(F.count("*").alias("n")).where(F.col("n") > 1)

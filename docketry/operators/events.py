@@ -37,7 +37,8 @@ def rate_limit(hits: DataFrame, limit: int, window_seconds: int, key: str = "key
 
     The window is anchored at a key's first hit, so no tumbling or sliding window gives
     it: each key's hits are folded in order. A key's hits stream through in sorted
-    batches, so a hot key needs one task's time but no memory beyond a batch.
+    batches, so a hot key needs one task's time but no memory beyond a batch. Null keys
+    share one window.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
     n = max(1, int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -47,8 +48,8 @@ def rate_limit(hits: DataFrame, limit: int, window_seconds: int, key: str = "key
         for pdf in batches:
             out = []
             for k, t in zip(pdf[key], pdf["_micros"]):
-                if k != now:
-                    now, bucket = k, Bucket()
+                if not (k == now or (pd.isna(k) and now is None)):
+                    now, bucket = None if pd.isna(k) else k, Bucket()
                 out.append(bucket.hit(t, limit, window_seconds))
             cols = list(zip(*out)) if out else [[], [], []]
             yield pdf.drop(columns="_micros").assign(allowed=list(cols[0]), remaining=list(cols[1]), retry_after_seconds=list(cols[2]))

@@ -143,8 +143,11 @@ def audit_rows(events: DataFrame) -> DataFrame:
 def visible_to(rows: DataFrame, principals: DataFrame, key: str = "organization_id") -> DataFrame:
     """(user_id, rows): what each principal may see: superadmins all, others the organizations in scope.
 
-    principals: user_id, superadmin, scope (organization ids).
+    principals: user_id, superadmin, scope (organization ids). The organizations, some
+    thousands, are listed in one row for the superadmins.
     """
     scoped = principals.where(~F.col("superadmin")).select("user_id", F.explode(F.array_distinct("scope")).alias(key))
-    everywhere = rows.select(key).distinct().join(F.broadcast(principals.where("superadmin").select("user_id").withColumn("_all", F.lit(1))), F.lit(True))
+    # every superadmin meets every key: one row of few keys is handed out whole, key by key
+    keys = rows.select(key).distinct().select(F.struct(key).alias("_k")).agg(F.collect_set("_k").alias("_keys")).withColumn("_all", F.lit(True))
+    everywhere = principals.where("superadmin").withColumn("_all", F.lit(True)).join(keys, "_all").select("user_id", F.explode("_keys").alias("_k")).select("user_id", f"_k.{key}")
     return rows.join(scoped.unionByName(everywhere.select("user_id", key)), key)

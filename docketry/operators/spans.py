@@ -13,22 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST_SPAN, LONGEST_HEADING = 40, 120
+from docketry.functions.texts import HEADINGS, LONGEST_HEADING
+
+LEAST_SPAN = 40
 SEPARATOR = re.compile(r"\f|\n[ \t]*\n+")
-#: What reads as a heading, with its level; the first form that fits decides.
-HEADINGS = [
-    (1, re.compile(r"\d{1,3}(?:\.\d{1,3})?\s*[-–—]\s*\S.{0,110}\Z")),
-    (1, re.compile(r"§+\s*\d+\.\d+.{0,110}\Z")),
-    (1, re.compile(r"[IVXLC]{1,6}\.\s+\S.{0,110}\Z")),
-    (2, re.compile(r"[A-Z]\.\s+\S.{0,110}\Z")),
-    (1, re.compile(r"[A-Z][A-Z\s,'()-]{3,60}\Z")),
-]
+FORMS = [(level, re.compile(form + r"\Z")) for level, form in HEADINGS]
 SPAN = "array<struct<ordinal:int,page:int,char_start:int,char_end:int,text:string,heading_path:array<string>>>"
 
 
 def level_of(line: str) -> int | None:
     if len(line) <= LONGEST_HEADING:
-        for level, form in HEADINGS:
+        for level, form in FORMS:
             if form.match(line):
                 return level
     return None

@@ -10,11 +10,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from docketry.runtime import checkpoint
 
 LEAST_QUOTE = 24
 #: Characters that mean the same, by what they become.
@@ -72,7 +77,7 @@ def place_of(quote: str | None, source: str | None) -> tuple[str | None, int | N
         return "empty_quote", None, None
     if not source or not WHITE.sub(" ", source).strip(" "):
         return "source_missing", None, None
-    if len(WHITE.sub(lambda m: m[0], quote).strip()) < LEAST_QUOTE:
+    if len(quote.strip()) < LEAST_QUOTE:
         return "quote_too_short", None, None
     needle = fold(quote)
     if not needle:
@@ -133,33 +138,78 @@ def draft_verdicts(verified: DataFrame, key: str = "draft_id") -> DataFrame:
 
 
 ANCHOR = 3
-#: Up to so many quotes are broadcast.
-BROADCAST_QUOTES = 100_000
+#: Bytes of quotes that are looked for at once.
+QUOTE_BYTES = 32 << 20
+
+
+def _search(docs: DataFrame, quotes: list[tuple[object, str]], id_type: str, quote_type: str) -> DataFrame:
+    """(_id, _quote_id, char_start, char_end) by one automaton over each text's folded form, then a check of each hit."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        named: dict[str, list[int]] = {}
+        for i, (_, quote) in enumerate(quotes):
+            named.setdefault(fold(quote), []).append(i)
+        automaton = ahocorasick.Automaton()
+        for form, which in named.items():
+            if form:
+                automaton.add_word(form, which)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                hay = fold_each(text) if text and len(automaton) else ""
+                for i in sorted({i for _, which in automaton.iter(hay) for i in which} if hay else ()):
+                    reason, start, end = place_of(quotes[i][1], text)
+                    if reason is None:
+                        rows.append(row)
+                        hits.append((i, start, end))
+            which, starts, ends = zip(*hits) if hits else ((), (), ())
+            named_quotes = pa.array([quotes[i][0] for i in which], schema.field("_quote_id").type)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), named_quotes, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], schema=schema)
+
+    ddl = f"_id {id_type}, _quote_id {quote_type}, char_start int, char_end int"
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+    return docs.mapInArrow(search, ddl)
 
 
 def quoted_by(docs: DataFrame, quotes: DataFrame, id_col: str = "doc_id", quote_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, quote id, char_start, char_end) of the quotes that each document holds.
-
-    Candidates come from an equi-join on an anchor: the hash of the first words of a
-    quote that are whole in it, its second to fourth, in the forms that verified_quote
-    compares. Only quotes of fewer words, which have no such anchor, are compared with
-    every document.
+    """(id, quote id, char_start, char_end) of the quotes that each row of docs holds, at their first places.
+
+    Quotes of fewer than LEAST_QUOTE characters are not looked for. Where all quotes take
+    up to QUOTE_BYTES every task has them and reads each text once. Of more, the long ones
+    meet documents in an equi-join on an anchor, the hash of the first words that are whole
+    in a quote, its second to fourth, in the forms that verified_quote compares; those of
+    fewer words are looked for in lots of QUOTE_BYTES. Rows that repeat an id are searched
+    each, null ids and null texts are no error.
     """
-    words = lambda c, form: F.filter(F.split(normalized(c, form), " "), lambda w: w != "")
-    q = quotes.select(F.col(quote_id), F.col(text_col).alias("_quote"), words(F.col(text_col), fold).alias("_w")).where(F.length("_quote") >= LEAST_QUOTE)
-    long = q.where(F.size("_w") >= ANCHOR + 2).select(quote_id, "_quote", F.xxhash64(F.slice("_w", 2, ANCHOR)).alias("_anchor"))
-    short = q.where(F.size("_w") < ANCHOR + 2).select(quote_id, "_quote")
-    long = F.broadcast(long) if long.count() <= BROADCAST_QUOTES else long
-    d = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    w = d.select(id_col, words(F.col("_text"), fold_each).alias("_w"))
-    starts = F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1)
-    anchors = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, F.lit(ANCHOR)))))
-    met = w.where(F.size("_w") >= ANCHOR).select(id_col, F.explode(anchors).alias("_anchor")).join(long, "_anchor").select(id_col, quote_id, "_quote")
-    pairs = met.join(d, id_col)
-    if not short.isEmpty():
-        pairs = pairs.unionByName(d.crossJoin(short).select(*pairs.columns))
-    found = pairs.withColumn("_v", verified_quote(F.col("_quote"), F.col("_text"))).where("_v.reason is null")
-    return found.select(id_col, quote_id, "_v.char_start", "_v.char_end")
+    q = quotes.select(F.col(quote_id).alias("_quote_id"), F.col(text_col).alias("_quote")).where(F.length("_quote") >= LEAST_QUOTE)
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    types = docs.schema[id_col].dataType.simpleString(), quotes.schema[quote_id].dataType.simpleString()
+    size = lambda rows: rows.agg(F.coalesce(F.sum(F.octet_length("_quote") + 64), F.lit(0))).first()[0]
+    listed = lambda rows: [(r["_quote_id"], r["_quote"]) for r in rows.collect()]
+    if size(q) <= QUOTE_BYTES:
+        found = _search(d, listed(q), *types)
+    else:
+        words = lambda c, form: F.filter(F.split(normalized(c, form), " "), lambda w: w != "")
+        q = checkpoint(q.withColumn("_w", words(F.col("_quote"), fold)))
+        long = q.where(F.size("_w") >= ANCHOR + 2).select("_quote_id", "_quote", F.xxhash64(F.slice("_w", 2, ANCHOR)).alias("_anchor"))
+        # rows alike in id and text are searched once and given back as often as they are there
+        d = d.groupBy("_id", "_text").agg(F.count("*").alias("_n")).withColumn("_key", F.xxhash64("_id", "_text"))
+        w = d.select("_key", words(F.col("_text"), fold_each).alias("_w")).where(F.size("_w") >= ANCHOR)
+        starts = F.sequence(F.lit(1), F.size("_w") - ANCHOR + 1)
+        anchors = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, F.lit(ANCHOR)))))
+        met = w.select("_key", F.explode(anchors).alias("_anchor")).join(long, "_anchor").select("_key", "_quote_id", "_quote").distinct()
+        v = met.join(d, "_key").withColumn("_v", verified_quote(F.col("_quote"), F.col("_text"))).where("_v.reason is null")
+        again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))
+        found = v.select("_id", "_quote_id", "_v.char_start", "_v.char_end", again.alias("_again")).drop("_again")
+        short = q.where(F.size("_w") < ANCHOR + 2)
+        lots = -(-size(short) // QUOTE_BYTES)
+        rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+        for n in range(lots):
+            found = found.unionByName(_search(rows, listed(short.where(F.pmod(F.xxhash64("_quote_id", "_quote"), F.lit(lots)) == n)), *types))
+    return found.select(F.col("_id").alias(id_col), F.col("_quote_id").alias(quote_id), "char_start", "char_end")
 
 
 def assertion_errors() -> Column:

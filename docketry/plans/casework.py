@@ -76,7 +76,7 @@ def resolved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letters_of_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letter of every ready draft, as its digest and number of lines."""
     drafts = view(spark, sf_dir, "draft").where("status = 'ready'").select("draft_id", "denial_id")
-    org = F.broadcast(view(spark, sf_dir, "organization").select("organization_id", F.col("name").alias("organization_name")))
+    org = view(spark, sf_dir, "organization").select("organization_id", F.col("name").alias("organization_name"))
     head = drafts.join(view(spark, sf_dir, "denial"), "denial_id").join(org, "organization_id").select(
         "draft_id", "organization_name", F.lit("1998-01-01").alias("today"), "payer_name", "internal_ref", "service_type", F.lit("not stated").alias("service_dates"),
         F.col("claim_cents").cast("string").alias("claim_amount"), F.date_format("deadline", "yyyy-MM-dd").alias("deadline"),

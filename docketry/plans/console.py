@@ -58,7 +58,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with their memberships and review assignments as text, in order of names."""
     names = view(spark, sf_dir, "organization").select("organization_id", "name")
     listed = lambda rows, item, out: (
-        rows.join(F.broadcast(names.withColumnRenamed("name", "org")), "organization_id")
+        rows.join(names.withColumnRenamed("name", "org"), "organization_id")
         .groupBy("user_id")
         .agg(F.array_join(F.array_sort(F.collect_list(item)), ", ").alias(out))
     )
@@ -88,7 +88,7 @@ def contact_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_cases(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
     cases = view(spark, sf_dir, "denial")
     cases = cases.where(F.col("status") == status) if status else cases
-    rows = cases.join(F.broadcast(view(spark, sf_dir, "organization").select("organization_id", "name")), "organization_id")
+    rows = cases.join(view(spark, sf_dir, "organization").select("organization_id", "name"), "organization_id")
     rows = rows.join(view(spark, sf_dir, "outcome").select("denial_id", "result", "recovered_cents"), "denial_id", "left")
     rows = rows.orderBy(F.desc("created_at"), "denial_id").limit(500)
     return rows.select("denial_id", F.col("name").alias("organization_name"), "status", "claim_cents", format_cents(F.col("claim_cents")).alias("claim"), "result", "recovered_cents")
@@ -119,7 +119,7 @@ def bootstrap_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active users with the organizations that they belong to (active ones, known roles) and may review."""
-    active = F.broadcast(view(spark, sf_dir, "organization").where("status = 'active'").select("organization_id"))
+    active = view(spark, sf_dir, "organization").where("status = 'active'").select("organization_id")
     ids = lambda rows, out: rows.groupBy("user_id").agg(F.array_sort(F.collect_set("organization_id")).alias(out))
     member = ids(view(spark, sf_dir, "member").where(F.col("role").isin(*ORG_ROLES)).join(active, "organization_id"), "m")
     reviews = ids(view(spark, sf_dir, "reviewer_assignment"), "r")

@@ -11,6 +11,7 @@ from docketry.operators import retrieval, workflow
 from docketry.plans.adapters import BASES, PAYERS, SERVICES, text, view, with_views
 from docketry.runtime import table
 
+SPREAD = 32
 TERMS = ("skilled", "the", "and", "care", "ou", "sch")
 
 
@@ -21,10 +22,10 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten retrieval requests: facets by number, some of them open, and the vector of a holding."""
-    k = F.col("vec_id")
+    """A retrieval request for every hundredth vector: facets by number, some of them open, and the vector."""
+    k = F.expr("vec_id div 100")
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
-    return table(spark, sf_dir, "embeddings").where(k < 10).select(
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(
         k.alias("query_id"), F.when(k % 3 != 0, pick(BASES, k % 7)).alias("q_denial_basis"), F.when(k % 4 != 0, pick(PAYERS, k % 5)).alias("q_payer_type"),
         F.when(k % 5 != 0, pick(SERVICES, k % 8)).alias("q_service_type"), F.col("embedding").alias("q_embedding"),
     )
@@ -37,13 +38,15 @@ def retrieved_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest holdings of the same label for each of the first ten.
+    """The three nearest holdings of the same label for every hundredth vector.
 
-    The query set is fixed and broadcast; a task keeps its three best of each query before anything is shuffled.
+    Requests meet the holdings of a label in as many parts as SPREAD, so a frequent label
+    is no single task's; a task keeps its three best of each before these are shuffled.
     """
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    pairs = e.join(F.broadcast(q), "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    part = F.pmod("vec_id", F.lit(SPREAD))
+    e = table(spark, sf_dir, "embeddings").withColumn("part", part)
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"))
+    pairs = e.join(q, ["label", "part"]).where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "rank", "vec_id", "similarity")
 
@@ -102,9 +105,9 @@ g as (select conv_id, turn, unnest(list_transform(range(1, greatest(length(n) -
 h as (select conv_id, turn, {_HASH} as h from g), s as (select conv_id, turn, (h % 384)::integer as bucket, sum(case when {_fnv("h", "35")} % 2 = 0 then 1 else -1 end) as s from h group by all),
 m as (select *, sqrt(sum(s * s) over (partition by conv_id, turn)) as m from s)
 select conv_id, turn, bucket, round(s::double / m, 6) as weight from m where s <> 0""",
-    "retrieved_authority": f"""{with_views("holding")}, q as (select vec_id as query_id, case when vec_id % 3 <> 0 then ([{text(BASES)}])[vec_id % 7 + 1] end as q_denial_basis,
-  case when vec_id % 4 <> 0 then ([{text(PAYERS)}])[vec_id % 5 + 1] end as q_payer_type, case when vec_id % 5 <> 0 then ([{text(SERVICES)}])[vec_id % 8 + 1] end as q_service_type, embedding as q_embedding
-  from embeddings where vec_id < 10),
+    "retrieved_authority": f"""{with_views("holding")}, q as (select k as query_id, case when k % 3 <> 0 then ([{text(BASES)}])[k % 7 + 1] end as q_denial_basis,
+  case when k % 4 <> 0 then ([{text(PAYERS)}])[k % 5 + 1] end as q_payer_type, case when k % 5 <> 0 then ([{text(SERVICES)}])[k % 8 + 1] end as q_service_type, embedding as q_embedding
+  from (select *, vec_id // 100 as k from embeddings where vec_id % 100 = 0)),
 p as (select *, case when embedded then {_COS.format("q_embedding", "embedding")} else 0 end as sim from q, holding
   where verified and ({_SAME["denial_basis"]} or {_SAME["payer_type"]} or {_SAME["service_type"]} or coalesce(denial_basis = 'proprietary_criteria', false))),
 s as (select *, case when {_SAME["denial_basis"]} then 3.0 else 0 end + case when {_SAME["payer_type"]} then 2.0 else 0 end + case when {_SAME["service_type"]} then 1.5 else 0 end
@@ -116,7 +119,7 @@ select query_id, rank, holding_id, round(score, 5) as score, round(sim, 5) as si
   case when denial_basis = 'proprietary_criteria' and coalesce(q_denial_basis, '') <> 'proprietary_criteria' then 'addresses proprietary criteria, which travels across service types' end,
   case when sim > 0.2 then 'language closely matches the denial' end) as reasons from r where rank <= 12""",
     "similar_holdings": f"""with p as (select q.vec_id as query_id, e.vec_id, round({_COS.format("q.embedding", "e.embedding")}, 6) as similarity from embeddings q join embeddings e using (label)
-  where q.vec_id < 10 and e.vec_id <> q.vec_id)
+  where q.vec_id % 100 = 0 and e.vec_id <> q.vec_id)
 select query_id, row_number() over (partition by query_id order by similarity desc, vec_id)::integer as rank, vec_id, similarity from p qualify rank <= 3""",
     "controlling_spans": f"""{with_views("source_span", "source_document")}, t as (select span_id, citation, heading || ' ' || text as t from source_span join source_document using (source_document_id)
   where citation in ('42 CFR Part 409', '42 CFR Part 422')), h as (select span_id, citation, {_HITS} as hits from t)

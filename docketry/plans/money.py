@@ -18,7 +18,7 @@ def _moment(s: str) -> Column:
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = view(spark, sf_dir, "denial").select("denial_id", "organization_id")
-    org = F.broadcast(view(spark, sf_dir, "organization").select("organization_id", "rate_bps"))
+    org = view(spark, sf_dir, "organization").select("organization_id", "rate_bps")
     return view(spark, sf_dir, "outcome").join(cases, "denial_id").join(org, "organization_id")
 
 

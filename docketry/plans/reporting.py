@@ -99,7 +99,7 @@ def review_queue(spark: SparkSession, sf_dir: str, kind: str, scope: list[int] |
         cases = cases.where(F.col("organization_id").isin(*scope)) if scope else cases.where("false")
     drafts = view(spark, sf_dir, "draft").where(F.col("status") == "ready").drop("status", "created_at")
     n = view(spark, sf_dir, "assertion").groupBy("draft_id").agg(F.count("*").alias("n"))
-    rows = drafts.join(cases, "denial_id").join(F.broadcast(view(spark, sf_dir, "organization").select("organization_id", "name")), "organization_id")
+    rows = drafts.join(cases, "denial_id").join(view(spark, sf_dir, "organization").select("organization_id", "name"), "organization_id")
     rows = rows.join(n, "draft_id", "left").join(ever_approved(view(spark, sf_dir, "review_action")), "draft_id", "left")
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return rows.orderBy(F.col("deadline").asc_nulls_last(), "draft_id").select(

@@ -52,13 +52,13 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked documents line by line: how many labels of each kind, and a digest of the result."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    made = F.concat("line", F.lit(" SSN 123-45-6789, DOB: 1/2/1950, call (555) 123-4567 or a.b@c-d.org"))
-    masked = texts.redact(F.when(F.col("line_no") % 4 == 0, F.concat(F.substring("line", 1, 60), F.lit(" "), F.substring(made, -70, 70))).otherwise(F.col("line")))
-    return lines.select("doc_id", "line_no", masked.alias("m")).groupBy("doc_id").agg(
-        F.count_if(F.col("m").contains("[redacted:")).alias("masked_lines"), F.sum(F.length("m").cast("long")).alias("chars"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "m"))), lambda x: x["m"]), "\n"), 256).alias("sha256"),
+    """Masked documents, each with a last line of made personal data: lines with a label, and a digest of the result."""
+    made = "SSN 123-45-6789, DOB: 1/2/1950, call (555) 123-4567 or a.b@c-d.org"
+    lines = F.split(F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + made)), "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(texts.redact_lines(lines))).alias("m"))
+    return rows.select(
+        "doc_id", F.size(F.filter("m", lambda x: x.contains("[redacted:"))).cast("long").alias("masked_lines"),
+        F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"), F.sha2(F.array_join("m", "\n"), 256).alias("sha256"),
     )
 
 
@@ -84,6 +84,18 @@ def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", verify.verified_quote(F.col("quote"), F.col("source")).alias("v")).select("doc_id", "v.reason")
 
 
+def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document holds a quote from its middle; the source has curly quotes, dashes and hard spaces, the quote plain ones."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x5f\x61-\x7e\n]", "x"), r"\s+", " "))
+    plain = F.replace(F.replace(t, F.lit("an"), F.lit("a'n")), F.lit("er"), F.lit("e-r"))
+    source = F.translate(plain, "'-", "\u2019\u2013")
+    source = F.replace(source, F.lit(". "), F.lit(".\u00a0"))
+    middle = (F.length(plain) / 2).cast("int")
+    quote = F.when(F.col("doc_id") % 7 != 0, F.upper(F.substr(plain, middle, F.lit(90)))).otherwise(F.concat(F.substr(plain, middle, F.lit(60)), F.lit("~")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", source.alias("source"), quote.alias("quote"))
+    return rows.select("doc_id", verify.verified_quote(F.col("quote"), F.col("source")).alias("v")).select("doc_id", "v.*")
+
+
 def draft_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a language as drafts: accepted only if the quotes of all are verified."""
     checked = quote_checks(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("draft_id")), "doc_id")
@@ -108,12 +120,11 @@ def campaign_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapped_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How turns wrap at 76 characters: no line is longer unless it is one word, no word is lost."""
+    """How turns wrap at 76 characters: the lines, their digest, and the longest."""
     lines = texts.wrap(F.col("text"), 76)
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", "text", lines.alias("l"))
-    long = F.exists("l", lambda x: (F.length(x) > 76) & x.contains(" "))
-    whole = F.array_join("l", " ") == F.trim(F.regexp_replace("text", texts.SPACE + "+", " "))
-    return rows.select("conv_id", "turn", long.alias("too_long"), whole.alias("whole"))
+    longest = F.coalesce(F.array_max(F.transform("l", F.length)), F.lit(0))
+    return rows.select("conv_id", "turn", F.size("l").alias("lines"), longest.alias("longest"), F.sha2(F.array_join("l", "\n"), 256).alias("sha256"))
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +200,7 @@ QUERIES = {
     "content_hashes": content_hashes,
     "quotes_in_documents": quotes_in_documents,
     "quote_checks": quote_checks,
+    "quote_places": quote_places,
     "draft_verification": draft_verification,
     "normalized_conversations": normalized_conversations,
     "campaign_messages": campaign_messages,
@@ -218,6 +230,7 @@ def _clean(c: str) -> str:
     return f"regexp_replace({c}, '^[\\s\\x{{0B}}\\x{{A0}}\\x{{FEFF}}]+|[\\s\\x{{0B}}\\x{{A0}}\\x{{FEFF}}]+$', '', 'g')"
 
 
+# Fixed values, restated for DuckDB: the rules, masks and headings of functions/texts.py.
 _MASKS = [
     (r"\b\d{3}-\d{2}-\d{4}\b", "ssn"), (r"(?i)\bMRN[:#\s-]*[A-Z0-9-]{4,}\b", "mrn"), (r"\b[1-9][A-Z][0-9A-Z]\d[A-Z][0-9A-Z]\d[A-Z]{2}\d{2}\b", "medicare-id"),
     (r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "email"), (r"\b(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}\b", "phone"),
@@ -243,8 +256,8 @@ t as (select doc_id, regexp_replace(l, '^[\s\x{0B}\x{A0}\x{FEFF}]+|[\s\x{0B}\x{A
 v as (select doc_id, case when length(t) not between 1 and 120 then null when regexp_matches(t, '^\d{1,3}([.]\d{1,3})?\s*[-–—]\s*\S.{0,110}$') or regexp_matches(t, '^§+\s*\d+[.]\d+.{0,110}$')
   or regexp_matches(t, '^[IVXLC]{1,6}[.]\s+\S.{0,110}$') then 1 when regexp_matches(t, '^[A-Z][.]\s+\S.{0,110}$') then 2 when regexp_matches(t, '^[A-Z][A-Z\s,''()-]{3,60}$') then 1 end as level from t)
 select doc_id, count(*) filter (where level = 1) as first, count(*) filter (where level = 2) as second from v where level is not null group by doc_id""",
-    "redacted_documents": f"""with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents), u as (select doc_id, unnest(range(len(a))) as line_no, unnest(a) as line from s),
-m as (select doc_id, line_no, case when line_no % 4 = 0 then substr(line, 1, 60) || ' ' || right(line || ' SSN 123-45-6789, DOB: 1/2/1950, call (555) 123-4567 or a.b@c-d.org', 70) else line end as l from u),
+    "redacted_documents": f"""with s as (select doc_id, string_split(coalesce(text, '') || chr(10) || 'SSN 123-45-6789, DOB: 1/2/1950, call (555) 123-4567 or a.b@c-d.org', chr(10)) as a from documents), u as (select doc_id, unnest(range(len(a))) as line_no, unnest(a) as line from s),
+m as (select doc_id, line_no, line as l from u),
 r as (select doc_id, line_no, {_MASKED} as r from m), f as (select doc_id, line_no, case when length(r) > 160 then '[redacted:' || length(r) || ' chars]' else r end as r from r)
 select doc_id, count(*) filter (where contains(r, '[redacted:')) as masked_lines, sum(length(r))::bigint as chars, sha256(string_agg(r, chr(10) order by line_no)) as sha256 from f group by doc_id""",
     "content_hashes": """with h as (select doc_id, sha256(coalesce(text, '')) as content_hash from documents), f as (select *, min(doc_id) over (partition by content_hash) as first_id from h)
@@ -252,13 +265,20 @@ select doc_id, first_id, content_hash from f where doc_id <> first_id""",
     "quotes_in_documents": r"""with d as (select doc_id, lower(regexp_replace(text, '\s+', ' ', 'g')) as t from documents), b as (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as t from benchmark)
 select doc_id, item_id from b join d on contains(d.t, b.t) where length(b.t) >= 24""",
     "quote_checks": _CHECKS + " select doc_id, reason from v",
+    "quote_places": r"""with t as (select doc_id, replace(replace(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20-\x5f\x61-\x7e\n]', 'x', 'g'), '\s+', ' ', 'g')), 'an', 'a''n'), 'er', 'e-r') as s from documents),
+q as (select doc_id, lower(s) as s, lower(trim(case when doc_id % 7 <> 0 then substr(s, length(s) // 2, 90) else substr(s, length(s) // 2, 60) || '~' end)) as q from t),
+r as (select *, case when q = '' then 'empty_quote' when s = '' then 'source_missing' when length(q) < 24 then 'quote_too_short' when not contains(s, q) then 'not_found_in_source' end as reason from q)
+select doc_id, reason, case when reason is null then instr(s, q) - 1 end::integer as char_start, case when reason is null then instr(s, q) - 1 + length(q) end::integer as char_end from r""",
     "draft_verification": _CHECKS + """ select concat_ws('/', lang, source) as draft_id, count(reason) = 0 as ok, count(*) as total, count(reason) as rejected,
   round(count(reason) / count(*)::double, 9) as failure_rate from v group by 1""",
     "normalized_conversations": r"""select conv_id, turn, sha256(lower(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20-\x5f\x61-\x7e\n\t]', '', 'g'), '\s+', ' ', 'g')))) as sha256 from conversations""",
     "campaign_messages": """select c_custkey, 'Dear ' || case when c_custkey % 3 <> 0 then substr(c_name, 1, 8) else 'there' end || ' of ' || c_mktsegment || ', {{ unknown }} your role ' || lower(c_name)
   || case when c_custkey % 3 <> 0 then substr(c_name, 1, 8) else 'there' end as message, 'first_name,org_name,unknown,title,email' as names,
   sha256(chr(10) || chr(10) || '---' || chr(10) || 'To stop receiving these, unsubscribe here: https://example.org/unsubscribe/' || sha256(c_name) || chr(10) || case when c_custkey % 2 = 0 then '1 Main Street' else '' end) as footer_sha256 from customer""",
-    "wrapped_turns": "select conv_id, turn, false as too_long, true as whole from conversations where text is not null",
+    "wrapped_turns": r"""with w as (select conv_id, turn, list_filter(regexp_split_to_array(text, '[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+'), lambda x: x <> '') as w
+  from conversations where text is not null), j as (select conv_id, turn, case when len(w) = 0 then '' else list_reduce(w, lambda a, x:
+  case when length(string_split(a, chr(10))[-1]) + 1 + length(x) <= 76 then a || ' ' || x else a || chr(10) || x end) end as t from w)
+select conv_id, turn, case when t = '' then 0 else len(string_split(t, chr(10))) end::integer as lines, list_max(list_transform(string_split(t, chr(10)), lambda x: length(x)))::integer as longest, sha256(t) as sha256 from j""",
     "file_names": r"""with n as (select page_id, url, substr(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^A-Za-z0-9._-]', '_', 'g'), 1, 120) as n from pages), s as (select page_id, url, case when n = '' then 'document' else n end as name from n)
 select page_id, name, 'org/7/denial/' || page_id || '/eob/' || sha256(url) || '-' || name as storage_key from s""",
     "chatty_json": "select event_id, case when event_id % 4 < 3 then props end as json from events",

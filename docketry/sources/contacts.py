@@ -55,6 +55,16 @@ def export_lines(rows: DataFrame, key: str, id_col: str, line: Column, header: s
     return placed.select(key, (F.col("_before") + F.col("_i") + 1).cast("int").alias("line_no"), "line").unionByName(heads)
 
 
+#: Complaints about rows and files.
+COMPLAINTS = {
+    "row": "Row ",
+    "empty": "no email, skipped.",
+    "unlike": " is not an email address, skipped.",
+    "again": " appears more than once, kept the first.",
+    "file": "No email column. The header needs one called email.",
+}
+
+
 def parse_contacts(lines: DataFrame, key: str = "file") -> tuple[DataFrame, DataFrame]:
     """Contacts (key, line_no, email, names, ...) and errors (key, line_no, message).
 
@@ -73,13 +83,13 @@ def parse_contacts(lines: DataFrame, key: str = "file") -> tuple[DataFrame, Data
     good = F.coalesce(is_email(F.col("email")), F.lit(False))
     place = F.row_number().over(Window.partitionBy(key, "email").orderBy("line_no"))
     body = body.withColumn("_n", F.when(good, place))
-    row = F.concat(F.lit("Row "), F.col("line_no").cast("string"), F.lit(": "))
+    row = F.concat(F.lit(COMPLAINTS["row"]), F.col("line_no").cast("string"), F.lit(": "))
     message = (
-        F.when(F.col("email").isNull(), F.concat(row, F.lit("no email, skipped.")))
-        .when(F.col("_n").isNull(), F.concat(row, F.col("email"), F.lit(" is not an email address, skipped.")))
-        .when(F.col("_n") > 1, F.concat(row, F.col("email"), F.lit(" appears more than once, kept the first.")))
+        F.when(F.col("email").isNull(), F.concat(row, F.lit(COMPLAINTS["empty"])))
+        .when(F.col("_n").isNull(), F.concat(row, F.col("email"), F.lit(COMPLAINTS["unlike"])))
+        .when(F.col("_n") > 1, F.concat(row, F.col("email"), F.lit(COMPLAINTS["again"])))
     )
     errors = body.select(key, "line_no", message.alias("message")).where("message is not null")
-    missing = heads.where(F.col("_email").isNull()).select(key, F.lit(1).alias("line_no"), F.lit("No email column. The header needs one called email.").alias("message"))
+    missing = heads.where(F.col("_email").isNull()).select(key, F.lit(1).alias("line_no"), F.lit(COMPLAINTS["file"]).alias("message"))
     contacts = body.where("_n = 1").drop("_n").withColumn("source", F.lit("csv"))
     return contacts, errors.unionByName(missing)

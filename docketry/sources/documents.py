@@ -184,11 +184,23 @@ def robots_rules(files: DataFrame, agent: str, key: str = "host", body_col: str
     return rules.where(F.col("kind").isin("allow", "disallow", "crawl-delay") & (F.col("value") != "")).select(key, "kind", "value")
 
 
+def crawl_delays(rules: DataFrame, key: str = "host") -> DataFrame:
+    """(key, delay_ms) of the rules of robots_rules: the last crawl-delay that is a number of seconds, in milliseconds."""
+    seconds = F.expr("try_cast(value as double)")
+    delays = rules.where((F.col("kind") == "crawl-delay") & (seconds >= 0)).groupBy(key).agg(F.max(seconds).alias("_s"))
+    return delays.select(key, F.round(F.col("_s") * 1000).cast("long").alias("delay_ms"))
+
+
 def robots_permit(paths: DataFrame, rules: DataFrame, key: str = "host") -> DataFrame:
-    """paths with ``permitted``: the longest matching rule decides, and allowing wins a tie."""
-    longest = lambda kind: F.max(F.when((F.col("kind") == kind) & F.startswith(F.col("path"), F.col("value")), F.length("value")))
-    rows = paths.join(rules, key, "left").groupBy(*paths.columns).agg(longest("disallow").alias("_d"), longest("allow").alias("_a"))
-    return rows.select(*paths.columns, (F.col("_d").isNull() | (F.coalesce("_a", F.lit(-1)) >= F.col("_d"))).alias("permitted"))
+    """paths with ``permitted``: the longest matching rule decides, and allowing wins a tie.
+
+    The rules of a host meet each of its paths as one list, so equal rows stay apart.
+    """
+    listed = rules.where(F.col("kind").isin("allow", "disallow")).groupBy(key).agg(F.collect_set(F.struct("kind", "value")).alias("_rules"))
+    fits = lambda kind: F.filter("_rules", lambda r: (r["kind"] == kind) & F.startswith(F.col("path"), r["value"]))
+    longest = lambda kind: F.array_max(F.transform(fits(kind), lambda r: F.length(r["value"])))
+    d, a = longest("disallow"), F.coalesce(longest("allow"), F.lit(-1))
+    return paths.join(listed, key, "left").select(*paths.columns, (d.isNull() | (a >= d)).alias("permitted"))
 
 
 def new_documents(target: DataFrame, fetched: DataFrame, keep_changed: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Billing, sources, changes, streams and governance, case by case."""
 
 import datetime
+import random
 import zlib
 
 import pytest
@@ -200,3 +201,75 @@ def test_contact_imports_build_no_list_in_one_row(spark, monkeypatch):
     got = sorted(map(tuple, contacts.export_lines(df, "file", "id", F.col("l"), "head").select("line_no", "file", "line").collect()))
     want = {"a": ["head", *[f"l{i}" for i in range(1, 11)], "l12"], "b": ["head", "again", "only"]}
     assert got == sorted((n, f, line) for f, lines in want.items() for n, line in enumerate(lines, 1))
+
+
+def insert_one_by_one(target, new, keys):
+    """The definition: rows go in by id, each only if none that is there shares a whole key."""
+    there, taken = list(target), []
+    for row in sorted(new, key=lambda r: r[0]):
+        whole = [[row[i] for i in key] for key in keys]
+        if not any(None not in v and any([r[i] for i in key] == v for r in there) for v, key in zip(whole, keys)):
+            there.append(row)
+            taken.append(row)
+    return sorted(taken)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_insert_ignore_goes_row_by_row(spark, seed):
+    rng = random.Random(seed)
+    value = lambda n: rng.choice([None, *range(n)])
+    row = lambda i: (i, value(12), value(9), rng.randrange(2))
+    target, new = [row(-i) for i in range(1, 4)], [row(i) for i in range(40)]
+    schema = "id int, a int, b int, c int"
+    got = changes.insert_ignore(spark.createDataFrame(target, schema), spark.createDataFrame(new, schema).repartition(3), ["a"], ["b", "c"], order=["id"])
+    assert sorted(map(tuple, got.collect())) == insert_one_by_one(target, new, [(1,), (2, 3)])
+
+
+def test_a_row_that_loses_blocks_no_other(spark):
+    t = spark.createDataFrame([], "a int, b int")
+    new = spark.createDataFrame([(1, 5), (2, 5), (2, 6), (None, 5), (None, None), (None, None)], "a int, b int")
+    assert sorted(map(tuple, changes.insert_ignore(t, new, ["a"], ["b"]).collect()), key=str) == sorted([(1, 5), (2, 6), (None, None), (None, None)], key=str)
+
+
+def test_upsert_applies_repeated_keys_in_order(spark):
+    t = spark.createDataFrame([(1, "a", "b"), (2, "c", None)], "id int, x string, y string")
+    new = spark.createDataFrame([(1, "first", "kept", 1), (1, "last", None, 2), (3, None, "n", 1)], "id int, x string, y string, at int")
+    assert sorted(map(tuple, changes.upsert(t, new, "id", order=["at"]).collect())) == [(1, "last", "kept"), (2, "c", None), (3, None, "n")]
+
+
+def test_equal_paths_are_judged_each(spark):
+    paths = spark.createDataFrame([("h", "/a"), ("h", "/a"), ("h", "/ab"), ("other", "/a")], "host string, path string")
+    rules = spark.createDataFrame([("h", "disallow", "/a"), ("h", "allow", "/ab"), ("h", "crawl-delay", "1.5"), ("h", "crawl-delay", "x")], "host string, kind string, value string")
+    assert sorted(map(tuple, documents.robots_permit(paths, rules).collect())) == [("h", "/a", False), ("h", "/a", False), ("h", "/ab", True), ("other", "/a", True)]
+    assert list(map(tuple, documents.crawl_delays(rules).collect())) == [("h", 1500)]
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double"])
+def test_null_keys_share_a_window(spark, kind):
+    rows = [(None if i % 2 else "1", i, i) for i in range(10)]
+    hits = spark.createDataFrame(rows, "key string, s int, hit_id int").selectExpr(f"cast(key as {kind}) as key", "timestamp_seconds(s) as at", "hit_id")
+    got = {r.hit_id: r.allowed for r in events.rate_limit(hits, 3, 60).collect()}
+    assert got == {i: i < 6 for i in range(10)}
+
+
+def test_numeric_entities_of_any_length(spark):
+    import time
+
+    made = ["&#0000000233;", "&#233;&#128512;", "&#99999999999999;x", "&#55296;", "&#x41; &#; &#12", "", None, "a&#10;b&#0065;"]
+    want = ["é", "é😀", "&#99999999999999;x", "&#55296;", "&#x41; &#; &#12", "", None, "a\nbA"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, t string")
+    assert [r.t for r in df.orderBy("i").select(texts.decode_numeric_entities(F.col("t")).alias("t")).collect()] == want
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        long = spark.createDataFrame([("x&#233;y" * n,)], "t string").select(F.length(texts.decode_numeric_entities(F.col("t"))).alias("n"))
+        began = time.perf_counter()
+        assert long.first().n == 3 * n
+        took.append(time.perf_counter() - began)
+    assert took[2] < 10 * took[1] + 5
+
+
+def test_work_mail_and_dates(spark):
+    df = spark.createDataFrame([("a@Gmail.com",), ("a@gmail.com.org",), ("a@b@c.org",), ("nobody",), (None,)], "m string")
+    assert [r.w for r in df.select(texts.is_work_email(F.col("m")).alias("w")).collect()] == [False, True, False, False, None]
+    d = spark.sql("select * from values (date'2024-01-02', date'2024-01-01'), (date'2024-01-01', date'2024-01-01'), (null, date'2024-01-01'), (null, null) as t(a, b)")
+    assert [r.o for r in d.select(numbers.dates_in_order(F.col("a"), F.col("b")).alias("o")).collect()] == [False, True, True, True]

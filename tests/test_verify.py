@@ -1,5 +1,9 @@
 """Quotes, passages and text forms, case by case."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +30,24 @@ CASES = [
 ]
 
 
+def heading(block):
+    """Level of a block that reads as a heading, by hand: numbered parts, sections, Roman parts, capital letters, capitals."""
+    if not 1 <= len(block) <= 120 or "\n" in block and not block[:1].isupper():
+        return None
+    head, _, tail = block.partition(" ")
+    digits = head.replace(".", "", 1)
+    if digits.isdigit() and len(digits) <= 6 and tail[:1] in "-–—" and tail[1:].strip():
+        return 1
+    if head.endswith(".") and tail.strip() and "\n" not in tail:
+        if head[:-1] and set(head[:-1]) <= set("IVXLC") and len(head) <= 7:
+            return 1
+        if len(head) == 2 and "A" <= head[0] <= "Z":
+            return 2
+    if block[0].isalpha() and block[0].isascii() and 4 <= len(block) <= 61 and all(c in " \n\t,'()-" or "A" <= c <= "Z" for c in block):
+        return 1
+    return None
+
+
 def test_quotes(spark):
     df = spark.createDataFrame([(i, q, s) for i, (q, s, _) in enumerate(CASES)], "i int, quote string, source string")
     got = {r.i: r.v for r in df.select("i", verify.verified_quote(F.col("quote"), F.col("source")).alias("v")).collect()}
@@ -97,7 +119,7 @@ def test_passages_query_covers_its_texts(spark):
         by_doc.setdefault(r.doc_id, []).append(r)
     for i, t in source.items():
         blocks = [b.strip() for page in t.split("\f") for b in page.split("\n")]
-        want = [b for b in blocks if len(b) >= 40 and spans.level_of(b) is None]
+        want = [b for b in blocks if len(b) >= 40 and heading(b) is None]
         assert len(by_doc.get(i, [])) == len(want)
 
 
@@ -142,3 +164,27 @@ def test_quotes_meet_documents_that_differ_only_by_folding(spark):
     assert verify.quoted_by(greek, low).count() == 1
     for s in ("\u039f\u0394\u039f\u03a3 x\u00a0\ufeffy e\u0301 \ufb01\u2026 \u0130\u00ad", "", " \u3000", plain):
         assert verify.fold_each(s) == verify.fold_with_places(s)[0]
+
+
+@pytest.mark.parametrize("bound", [1 << 25, 400])
+def test_quotes_of_rows_that_repeat_an_id(spark, monkeypatch, bound):
+    monkeypatch.setattr(verify, "QUOTE_BYTES", bound)
+    quotes = [(1, "the standard is whether the care is needed"), (2, "Rehabilitationsmaßnahmen notwendigerweise"), (3, "too short"), (4, "\u201cmedically necessary\u201d means reasonable care"), (None, "the standard is whether the care is needed"), (5, None)]
+    texts = [(7, "So THE standard  is\nwhether the care is needed."), (7, "nothing at all"), (7, "So THE standard  is\nwhether the care is needed."), (None, 'x "medically necessary" means reasonable care y'), (8, None), (9, ""), (10, "der Rehabilitationsmaßnahmen notwendigerweise wegen")]
+    docs = spark.createDataFrame([(*r, "clash") for r in texts], "doc_id long, text string, _text string").repartition(2)
+    got = verify.quoted_by(docs, spark.createDataFrame(quotes, "item_id int, text string")).collect()
+    want = []
+    for i, t in texts:
+        for q, quote in quotes:
+            reason, a, b = verify.place_of(quote, t)
+            if reason is None:
+                want.append((i, q, a, b))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) == 6
+
+
+def test_entry_without_a_library(tmp_path):
+    """The other queries are there when a library of the training-data operators is not."""
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op1_') for k in e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 100 and out[1] == "False"
