@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.columns import field
-from docketry.llm.sampling import held_out, per_class
+from docketry.llm.sampling import held_out, per_class, sized
 from docketry.runtime import checkpoint, table
 
 BUCKETS, PREFIXES = 1 << 17, (4, 5)
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
     if set(counts) != {0, 1}:
         return None
-    chosen = per_class(marked, "y", DOCS_EACH, "id")
+    chosen = sized(per_class(marked, "y", DOCS_EACH, "id"))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "y")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
