@@ -65,7 +65,8 @@ class FactorizationMachine:
 
     def margins(self, rows: list[np.ndarray], pairs: bool = True) -> np.ndarray:
         """Of rows that list the places of their features, each once."""
-        return _margins(rows, self.w, self.v if pairs else None, self.bias)[0]
+        some = range(0, max(1, len(rows)), 4 * BATCH)
+        return np.concatenate([_margins(rows[at : at + 4 * BATCH], self.w, self.v if pairs else None, self.bias)[0] for at in some])
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> FactorizationMachine:
         """Weights and vectors after the round in which the deciding rows lose least."""
