@@ -8,6 +8,12 @@ fingerprints are split by their distance to a vantage point; by the triangle bou
 query within r of the boundary visits both sides, any other only its own, down to
 leaves that are compared bit by bit. A shard gives back a spanning forest of its links,
 not its pairs, and components join the forests.
+
+Removing near copies (``keep_first``) asks for more than these links: sets of five-word
+shingles of similarity 0.8 differ in a seventh of all bits, a radius at which neither
+blocks that must agree nor triangle bounds leave anything out. There fingerprints have
+128 bits and are dealt into shards by bits drawn at random, as often as it takes to
+meet; the nearest earlier one is looked for and the shingles of both texts decide.
 """
 
 from __future__ import annotations
@@ -23,11 +29,35 @@ from pyspark.sql import functions as F
 
 from docketry.llm.columns import field, fresh
 from docketry.llm.graph import components
+from docketry.llm.sampling import sized
 from docketry.runtime import checkpoint, partitions, table
 
 WORDS, SEED, RADIUS = 4, 42, 4
 #: Fingerprints a shard should hold, pairs compared at once in a leaf, pairs held.
 SHARD, LEAF_PAIRS, PAIRS = 512, 1 << 14, 1 << 21
+#: Removal of near copies: words of a shingle and least similarity of two sets of them.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of 128 within which a pair is checked (19 are expected at the similarity) and
+#: within which a text is no leader; chance to meet in no shard; rows compared at once.
+APART, CLOSE, MISSED, BLOCK = 27, 12, 0.01, 512
+
+
+def shingles(words: list[bytes], size: int) -> list[bytes]:
+    """The runs of ``size`` words, repeats included, space-joined; of fewer words, all of them."""
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return [joined]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = [0, *(ends[: len(words) - size] + 1).tolist()]
+    return [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist())]
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """For each bit whether over half the rows of bytes have it, packed."""
+    ones = np.zeros(8 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
 def fingerprint(text: bytes) -> bytes:
@@ -35,18 +65,7 @@ def fingerprint(text: bytes) -> bytes:
     words = text.lower().split()
     if not words:
         return bytes(8)
-    joined = b" ".join(words)
-    if len(words) <= WORDS:
-        shingles = [joined]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[: len(words) - WORDS] + 1).tolist()]
-        shingles = [joined[a:b] for a, b in zip(starts, ends[WORDS - 1 :].tolist())]
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(hashes[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+    return majority(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(words, WORDS), repeat(SEED))), np.uint8).reshape(-1, 8))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
@@ -191,22 +210,182 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(component, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit hashes; none for no words."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(words, size), repeat(SEED))), ">u8").astype(np.uint64))
+
+
+def sketch(text: bytes, size: int) -> bytes:
+    """32 bytes: a hash of the words, which tells texts apart, and a fingerprint of 128 bits of the set of shingles."""
+    words = text.lower().split()
+    first = shingle_set(words, size)
+    second = (first ^ first >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    second ^= second >> np.uint64(32)
+    return xxhash.xxh3_128_digest(b" ".join(words)) + majority(np.stack([first, second], 1).view(np.uint8).reshape(-1, 16))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, tag: Column, size: int) -> DataFrame:
+    """``id``, ``tag``, the hash of the words ``c0``, ``c1`` and the long fingerprint ``f0``, ``f1``."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longs = np.frombuffer(b"".join(sketch((t.as_py() or "").encode(), size) for t in batch.column(1)), np.int64).reshape(-1, 4)
+            columns = [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "c0", "c1", "f0", "f1"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tag.alias("tag")).mapInArrow(
+        apply, f"{field(docs.schema, id_col, 'id')}, tag long, c0 long, c1 long, f0 long, f1 long"
+    )
+
+
+def bit_masks(n: int, similarity: float) -> list[tuple[int, int]]:
+    """For each way to deal n long fingerprints into shards of about SHARD: masks of the bits that name the shard.
+
+    A bit of two sets of one size and Jaccard similarity s differs with probability
+    acos(2s / (1 + s)) / pi. There are as many ways, each with bits drawn anew, as it
+    takes to deal two such sets into no common shard with probability MISSED at most.
+    """
+    want = min(60, max(0, int(np.ceil(np.log2(max(1, n) / SHARD)))))
+    agree = (1 - np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi) ** want
+    rng = np.random.default_rng(SEED)
+    masks = []
+    for _ in range(int(np.ceil(np.log(MISSED) / np.log1p(-agree))) if agree < 1 else 1):
+        bits = rng.choice(128, want, replace=False).tolist()
+        both = np.array([sum(1 << b for b in bits if b < 64), sum(1 << b - 64 for b in bits if b >= 64)], np.uint64).view(np.int64)
+        masks.append((int(both[0]), int(both[1])))
+    return masks
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bits in which each fingerprint of x differs from each of y."""
+    return np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+
+
+class Leaders:
+    """The leaders of one shard, which rows join in order: a row is one unless an earlier one is within CLOSE."""
+
+    def __init__(self) -> None:
+        self.no, self.fps = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+
+    def join(self, no: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the nearest leader before it, the first of equals, and how far off it is (255: none)."""
+        best, before = np.full(len(no), 255, np.uint8), np.zeros(len(no), np.int64)
+
+        def improve(d: np.ndarray, of: np.ndarray) -> None:
+            at = d.argmin(1)
+            low = d[np.arange(len(d)), at]
+            nearer = low < best
+            best[nearer], before[nearer] = low[nearer], of[at[nearer]]
+
+        for at in range(0, len(self.no), BLOCK):
+            improve(apart(fps, self.fps[at : at + BLOCK]), self.no[at : at + BLOCK])
+        d = apart(fps, fps)
+        d[np.triu_indices(len(d))] = 255
+        close, leads = d <= CLOSE, best > CLOSE
+        for i in np.flatnonzero(close.any(1) & leads):
+            leads[i] = not (close[i] & leads).any()
+        d[:, ~leads] = 255
+        improve(d, no)
+        self.no, self.fps = np.concatenate([self.no, no[leads]]), np.concatenate([self.fps, fps[leads]])
+        return best, before
+
+
+def nearest_earlier(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``no`` and ``before``: for rows of texts (``no``, ``f0``, ``f1``) the nearest leader before them within APART bits.
+
+    A shard is read in order and in blocks; only its leaders are held, so a large group
+    of close copies costs one comparison a row.
+    """
+    keys = [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(a)), F.col("f1").bitwiseAND(F.lit(b))) for k, (a, b) in enumerate(bit_masks(n, similarity))]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, leaders = None, Leaders()
+        for batch in batches:
+            s, no = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            fps = np.stack([np.asarray(batch.column(2)), np.asarray(batch.column(3))], 1).view(np.uint64)
+            cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])).tolist() if len(s) else []
+            found = []
+            for a, b in zip(cuts, [*cuts[1:], len(s)]):
+                if s[a] != shard:
+                    shard, leaders = s[a], Leaders()
+                for at in range(a, b, BLOCK):
+                    rows = slice(at, min(b, at + BLOCK))
+                    best, before = leaders.join(no[rows], fps[rows])
+                    near = best <= APART
+                    if near.any():
+                        found.append((no[rows][near], before[near], best[near]))
+            if found:
+                x, y, d = map(np.concatenate, zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d.astype(np.int32))], ["no", "before", "d"])
+
+    return (
+        texts.select(F.explode(F.array(*keys)).alias("shard"), "no", "f0", "f1")
+        .repartition(partitions(texts.sparkSession), "shard")
+        .sortWithinPartitions("shard", "no")
+        .mapInArrow(scan, "no long, before long, d int")
+        .groupBy("no")
+        .agg(F.min(F.struct("d", "before")).alias("nearest"))
+        .select("no", F.col("nearest.before").alias("before"))
+    )
+
+
+def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``no`` of those pairs (``no``, ``text``, ``other``) whose sets of shingles have the Jaccard similarity."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for text, other in zip(batch.column(1), batch.column(2)):
+                own, other = shingle_set((text.as_py() or "").encode().lower().split(), size), other.as_py() or ""
+                if other != last:
+                    last, held = other, shingle_set(other.encode().lower().split(), size)
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                keep.append(both >= similarity * (len(own) + len(held) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["no"])
+
+    return pairs.select("no", "text", "other").mapInArrow(check, "no long")
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
     """One row of docs of each group of near-duplicates, with all its columns: that of the smallest id.
 
-    A null id counts as larger than any other. Of several rows of one id in a group, one stays.
+    Texts are compared as words, split and lower-cased as for the fingerprint. Of texts
+    of the same words the first stays. Of the others, a text goes if its set of shingles
+    of ``words`` words has Jaccard ``similarity`` or more with that of the earlier text
+    whose long fingerprint is nearest among the leaders it meets in its shards. Every
+    removal is checked on the shingles; a near copy is missed if its fingerprint is too
+    far off or if it meets the other in no shard. Null and empty texts are alike. A null
+    id counts as larger than any other. Of several rows of one id, those come first
+    whose hash is smaller; of repeated rows one stays. An empty table stays empty.
     """
     tag = F.xxhash64(*docs.columns)
-    rows = checkpoint(fingerprints(docs, id_col, text_col, tag))
-    _, roots = linked_nodes(rows, id_col, radius)
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("tag").alias("tag"))
-    each = rows.groupBy("fp").agg(F.min(order).alias("first"))
-    best = each.join(roots, each.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    own_id, own_tag = fresh(docs.columns, "_id"), fresh(docs.columns, "_tag")
-    best = checkpoint(best.select(F.col("first.id").alias(own_id), F.col("first.tag").alias(own_tag)))
-    kept = docs.join(best, F.col(id_col).eqNullSafe(F.col(own_id)) & (tag == F.col(own_tag)), "left_semi")
-    again = rows.join(best, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col("tag") == F.col(own_tag)), "left_semi").groupBy(id_col, "tag").count()
-    return kept.dropDuplicates() if not again.where("count > 1").isEmpty() else kept
+    rows = checkpoint(sketches(docs, id_col, text_col, tag, words))
+    if not rows.groupBy("id", "tag").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates()
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
+    first = rows.groupBy("c0", "c1", "f0", "f1").agg(F.min(order).alias("first")).orderBy("first")
+    texts = checkpoint(first.select(F.monotonically_increasing_id().alias("no"), "f0", "f1", "first.id", "first.tag"))
+    links = checkpoint(nearest_earlier(texts.select("no", "f0", "f1"), texts.count(), similarity))
+
+    own_id, own_tag, no = (fresh(docs.columns, c) for c in ("_id", "_tag", "_no"))
+    named = texts.select(F.col("no").alias(no), F.col("id").alias(own_id), F.col("tag").alias(own_tag))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (tag == F.col(own_tag))
+
+    def of(numbers: DataFrame) -> DataFrame:
+        return docs.join(sized(named.join(numbers, no, "left_semi")), same).select(F.col(no).alias("no"), F.col(text_col).alias("text"))
+
+    own = of(links.select(F.col("no").alias(no))).join(sized(links), "no")
+    other = of(links.select(F.col("before").alias(no)).distinct()).select(F.col("no").alias("before"), F.col("text").alias("other"))
+    gone = checkpoint(similar(own.join(other, "before"), words, similarity))
+    stay = named.join(gone.select(F.col("no").alias(no)), no, "left_anti").drop(no)
+    keys = rows.select(F.col("id").alias("left_id"), F.col("tag").alias("left_tag")).distinct()
+    left = keys.join(stay, F.col("left_id").eqNullSafe(F.col(own_id)) & (F.col("left_tag") == F.col(own_tag)), "left_anti")
+    return docs.join(sized(left.toDF(own_id, own_tag)), same, "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

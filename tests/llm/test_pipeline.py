@@ -2,13 +2,14 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from docketry.llm import bpe, mixing, simhash, suffix, toxicity
-from tests.llm.test_simhash import brute_fingerprint
 from tests.llm.test_suffix import corpus
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,23 +41,79 @@ def scorer(machine, text):
     return 1 / (1 + np.exp(-machine.margins([np.array(at, np.int64)])[0]))
 
 
+def shingle_texts(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", words)
+    return tuple(words), {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def long_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingle_texts(text)[1]]
+    mask = (1 << 64) - 1
+    mixed = [(h ^ h >> 29) * 0x9E3779B97F4A7C15 & mask for h in hashes]
+    both = [h | (m ^ m >> 32) << 64 for h, m in zip(hashes, mixed)]
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in both) > len(both))
+
+
+def brute_kept(rows):
+    """Ids that stay where all rows meet in one shard; ids are distinct or rows repeat."""
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(shingle_texts(r[1])[0], r)
+    leaders, kept = [], []
+    for i, t, *_ in first.values():
+        fp, own = long_fingerprint(t), shingle_texts(t)[1]
+        d, _, other = min([((fp ^ f).bit_count(), n, o) for n, (f, o) in enumerate(leaders)], default=(255, 0, set()), key=lambda x: x[:2])
+        if d > simhash.CLOSE:
+            leaders.append((fp, own))
+        if d > simhash.APART or len(own & other) < 0.8 * len(own | other) - 1e-9:
+            kept.append(i)
+    return sorted(kept, key=str)
+
+
+def changed(rng, words, share):
+    return [f"new{rng.random()}" if rng.random() < share else w for w in words]
+
+
 def test_one_document_of_each_group_stays(spark):
-    rows = [(i, None if i == 3 else " ".join(f"w{(i * 7 + j) % 41}" for j in range(60)), "en", None, i) for i in range(1, 30)]
-    rows += [(100 + i, rows[i][1], "de", "s", 1) for i in range(5)] + [rows[6], rows[6], (None, rows[6][1], "en", "s", 1), (None, "nobody else", None, None, None), (40, "", None, None, 0)]
-    rows += [(41, "tie", "a", "s", 1), (41, "tie", "b", "s", 1)]
-    got = sorted(map(tuple, simhash.keep_first(frame(spark, rows)).collect()), key=str)
-    group = list(range(len(rows)))
-    fps = [brute_fingerprint(r[1]) for r in rows]
-    for _ in rows:
-        for i in range(len(rows)):
-            group[i] = min(group[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= 4)
-    groups = collections.defaultdict(list)
-    for g, r in zip(group, rows):
-        groups[g].append(r)
-    assert len(got) == len(groups)
-    for members in groups.values():
-        least = min((r[0] is None, r[0] or 0) for r in members)
-        assert sum(r in got for r in {*members}) == 1 and any((r[0] is None, r[0] or 0) == least and r in got for r in members)
+    rng = random.Random(8)
+    rows = [(i, None if i == 3 else " ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([3, 30, 200]))), "en", None, i) for i in range(1, 60)]
+    for i in range(200):
+        rows.append((1000 + i, " ".join(changed(rng, (rows[i % 59][1] or "").split(" "), rng.choice([0, 0.01, 0.03, 0.1]))), "de", "s", 1))
+    rows += [rows[6], rows[6], (None, rows[6][1], "en", "s", 1), (None, "nobody else", None, None, None), (40_000, " \t", None, None, 0), (39_999, rows[9][1].upper(), "x", "s", 1)]
+    got = [r.doc_id for r in simhash.keep_first(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_kept(rows) and len(got) < len(rows) - 60
+    ties = [(41, "tie", "a", "s", 1), (41, "tie", "b", "s", 1), (41, "tie", "a", "s", 1)]
+    assert len(simhash.keep_first(frame(spark, ties)).collect()) == 1
+
+
+@pytest.mark.parametrize("low, high, least", [(0.8, 0.85, 0.9), (0.85, 0.95, 0.95), (0.95, 1.0, 0.98), (0.3, 0.8, 0.0)])
+def test_near_copies_go_and_others_stay(spark, monkeypatch, low, high, least):
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    rng = random.Random(5)
+    rows, copies = [], []
+    while len(copies) < 300:
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 150, 400]))]
+        near = changed(rng, words, rng.choice([0.005, 0.02, 0.03, 0.05]))
+        a, b = shingle_texts(" ".join(words))[1], shingle_texts(" ".join(near))[1]
+        if a != b and low <= len(a & b) / len(a | b) < high:
+            copies.append(100_000 + len(copies))
+            rows += [(len(copies), " ".join(words), "en", "s", 1), (copies[-1], " ".join(near), "en", "s", 1)]
+    kept = {r.doc_id for r in simhash.keep_first(frame(spark, rows)).collect()}
+    gone = len(copies) - len(kept & set(copies))
+    print(low, high, gone / len(copies))
+    assert kept >= set(range(1, 301)) and (gone >= least * len(copies) if least else gone == 0)
+
+
+def test_a_shard_of_close_copies_keeps_few_leaders():
+    rng = np.random.default_rng(4)
+    fps = np.repeat(rng.integers(0, 1 << 62, (1, 2), dtype=np.uint64), 5000, 0)
+    for _ in range(3):
+        fps[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 5000, dtype=np.uint64)
+    leaders, far = simhash.Leaders(), []
+    for at in range(0, 5000, simhash.BLOCK):
+        far.append(leaders.join(np.arange(at, min(5000, at + simhash.BLOCK)), fps[at : at + simhash.BLOCK])[0])
+    assert len(leaders.no) == 1 and (np.concatenate(far)[1:] <= 6).all()
 
 
 def test_repeats_are_cut(spark):
@@ -104,8 +161,7 @@ def test_whole_run(spark):
         if name != "bpe":
             assert docs.columns == before.columns
         if name == "simhash_near_dedup":
-            ids = {r.component_id for r in simhash.near_duplicates(before).collect()}
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(ids)
+            assert [r.doc_id for r in docs.orderBy("doc_id").collect()] == sorted(brute_kept([(r.doc_id, r.text) for r in before.collect()]))
         if name == "mixing":
             copies = {r.doc_id: r.copies for r in mixing.mixture(before).collect() if r.copies}
             assert dict(collections.Counter(r.doc_id for r in docs.collect())) == copies
