@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.columns import field, ragged
+from docketry.llm.columns import field, ragged, released
 from docketry.runtime import table
 
 #: Fixed value: how byte-level BPE of this family cuts a text into pieces. Its white
@@ -33,7 +33,9 @@ from docketry.runtime import table
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Pieces kept with their ids in a worker, pieces of more characters are not kept.
-KEPT_PIECES, KEPT_CHARS = 250_000, 48
+KEPT_PIECES, KEPT_CHARS = 1 << 16, 48
+#: Pairs of tokens whose compatibility is kept.
+KEPT_PAIRS = 1 << 18
 #: Documents in a batch that is given back.
 ROWS = 256
 
@@ -175,7 +177,7 @@ class ByteBpe:
                 before, right = right + 1, self.split[right][0]
             else:
                 before, left = left, self.split[left][1]
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > KEPT_PAIRS:
             self._pairs.clear()
         self._pairs[(a, b)] = ok
         return ok
@@ -264,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(encode, f"{field(docs.schema, id_col, 'id')}, ids array<int>")
+        .mapInArrow(released(encode), f"{field(docs.schema, id_col, 'id')}, ids array<int>")
         .withColumnRenamed("id", id_col)
     )
 
@@ -285,7 +287,7 @@ def decode_documents(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_c
 
     return (
         tokens.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-        .mapInArrow(decode, f"{field(tokens.schema, id_col, 'id')}, ids array<int>, decoded string")
+        .mapInArrow(released(decode), f"{field(tokens.schema, id_col, 'id')}, ids array<int>, decoded string")
         .withColumnRenamed("id", id_col)
         .withColumnRenamed("ids", ids_col)
     )
@@ -327,7 +329,7 @@ def tokenized(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], _string_list(ids), n, pa.array(same, pa.bool_())], [*others, "ids", "n_tokens", "same"])
 
     kept = ", ".join(field(docs.schema, c) for c in others)
-    return docs.mapInArrow(apply, ", ".join(x for x in (kept, "ids array<int>, n_tokens long, same boolean") if x))
+    return docs.mapInArrow(released(apply), ", ".join(x for x in (kept, "ids array<int>, n_tokens long, same boolean") if x))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.columns import field, fresh
+from docketry.llm.columns import field, fresh, released
 from docketry.llm.graph import components
 from docketry.llm.sampling import sized
 from docketry.runtime import checkpoint, partitions, table
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
-        .mapInArrow(apply, f"{field(docs.schema, id_col, 'id')}, fp long, tag long")
+        .mapInArrow(released(apply), f"{field(docs.schema, id_col, 'id')}, fp long, tag long")
         .withColumnRenamed("id", id_col)
     )
 
@@ -236,7 +236,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, tag: Column, size: int
             yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "c0", "c1", "f0", "f1"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tag.alias("tag")).mapInArrow(
-        apply, f"{field(docs.schema, id_col, 'id')}, tag long, c0 long, c1 long, f0 long, f1 long"
+        released(apply), f"{field(docs.schema, id_col, 'id')}, tag long, c0 long, c1 long, f0 long, f1 long"
     )
 
 
@@ -324,7 +324,7 @@ def nearest_earlier(texts: DataFrame, n: int, similarity: float) -> DataFrame:
         texts.select(F.explode(F.array(*keys)).alias("shard"), "no", "f0", "f1")
         .repartition(partitions(texts.sparkSession), "shard")
         .sortWithinPartitions("shard", "no")
-        .mapInArrow(scan, "no long, before long, d int")
+        .mapInArrow(released(scan), "no long, before long, d int")
         .groupBy("no")
         .agg(F.min(F.struct("d", "before")).alias("nearest"))
         .select("no", F.col("nearest.before").alias("before"))
@@ -346,7 +346,7 @@ def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(own) + len(held) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["no"])
 
-    return pairs.select("no", "text", "other").mapInArrow(check, "no long")
+    return pairs.select("no", "text", "other").mapInArrow(released(check), "no long")
 
 
 def keep_first(

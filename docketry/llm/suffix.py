@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.columns import ragged, utf8
+from docketry.llm.columns import ragged, released, utf8
 from docketry.runtime import checkpoint, partitions, table
 
 LENGTH, GRAM = 50, 20
@@ -335,7 +335,7 @@ def _crowds(crowd: int):
 
 def crowded_keys(sent: DataFrame, crowd: int, crowded: int) -> tuple[np.ndarray, int]:
     """The keys whose unlike blocks are more than crowded and than a part of all, sorted, and the bytes of all texts."""
-    counts = checkpoint(sent.mapInArrow(_crowds(crowd), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    counts = checkpoint(sent.mapInArrow(released(_crowds(crowd)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     totals = {r.key: r.n for r in counts.where("key < 0").collect()}
     least = max(crowded, totals.get(-1, 0) // MOST_CROWDS)
     found = counts.where((F.col("key") >= 0) & (F.col("n") > least)).select("key").collect()  # at most MOST_CROWDS
@@ -651,12 +651,12 @@ def remove_repeats(
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(2 * buckets)).cast("int").alias("_chunk"),
         text.alias("_text"),
     )
-    sent = prepared.select("_rank", "_tag", "_chunk", "_text").mapInArrow(_blocks(buckets, crowds), ROW)
-    matched = checkpoint(sent.repartitionById(buckets, F.pmod("part", F.lit(buckets)).cast("int")).mapInArrow(match, ROW))
+    sent = prepared.select("_rank", "_tag", "_chunk", "_text").mapInArrow(released(_blocks(buckets, crowds)), ROW)
+    matched = checkpoint(sent.repartitionById(buckets, F.pmod("part", F.lit(buckets)).cast("int")).mapInArrow(released(match), ROW))
     by_chunk = prepared.groupBy("_chunk")
     of_chunk = lambda df, kind: df.where(F.col("kind") == kind).select(F.col("part").alias("_chunk"), "data").groupBy("_chunk")
     passages = by_chunk.cogroup(of_chunk(matched, WANTS)).applyInArrow(_fetch(buckets), ROW)
-    resolved = passages.repartitionById(buckets, F.col("part")).mapInArrow(resolve, ROW)
+    resolved = passages.repartitionById(buckets, F.col("part")).mapInArrow(released(resolve), ROW)
     names = [id_col, *carried]
     out = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return by_chunk.cogroup(of_chunk(matched.union(resolved), COVERS)).applyInArrow(

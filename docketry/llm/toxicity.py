@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.columns import field
+from docketry.llm.columns import field, released
 from docketry.llm.sampling import held_out, per_class, sized
 from docketry.runtime import checkpoint, table
 
@@ -255,7 +255,7 @@ def keep_clean(docs: DataFrame, machine: FactorizationMachine | None, text_col:
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(text_col)) < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(released(clean), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
