@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,14 +42,34 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def give_back() -> None:
+    """Give the memory that Arrow and the C library hold unused back to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim:
+        trim(0)
+
+
 def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work, which at its end gives the memory that Arrow holds unused back to the system: a worker outlives its tasks."""
+    """work, with unused memory given back at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
+
+    return run
+
+
+def released_groups(work: Callable[[tuple, pa.Table, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """work on a pair of groups, with unused memory given back at its end."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(key, left, right)
+        finally:
+            give_back()
 
     return run
 

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.columns import ragged, released, utf8
+from docketry.llm.columns import ragged, released, released_groups, utf8
 from docketry.runtime import checkpoint, partitions, table
 
 LENGTH, GRAM = 50, 20
@@ -256,6 +256,7 @@ def later_copies(key, block, second, rank) -> np.ndarray:
 def _send(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks dealt by key; copies within the task are decided here, so each block goes once."""
     key, block, second, rank, tag, chunk, place, size = (np.concatenate(x) for x in zip(*held))
+    held.clear()
     copies = later_copies(key, block, second, rank)
     if len(copies):
         yield covers(chunk[copies], [a[copies] for a in (rank, tag, place, size)])
@@ -655,12 +656,12 @@ def remove_repeats(
     matched = checkpoint(sent.repartitionById(buckets, F.pmod("part", F.lit(buckets)).cast("int")).mapInArrow(released(match), ROW))
     by_chunk = prepared.groupBy("_chunk")
     of_chunk = lambda df, kind: df.where(F.col("kind") == kind).select(F.col("part").alias("_chunk"), "data").groupBy("_chunk")
-    passages = by_chunk.cogroup(of_chunk(matched, WANTS)).applyInArrow(_fetch(buckets), ROW)
+    passages = by_chunk.cogroup(of_chunk(matched, WANTS)).applyInArrow(released_groups(_fetch(buckets)), ROW)
     resolved = passages.repartitionById(buckets, F.col("part")).mapInArrow(released(resolve), ROW)
     names = [id_col, *carried]
     out = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return by_chunk.cogroup(of_chunk(matched.union(resolved), COVERS)).applyInArrow(
-        _cut(names, as_text), f"{out}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}"
+        released_groups(_cut(names, as_text)), f"{out}, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept {'string' if as_text else 'binary'}"
     )
 
 
