@@ -32,8 +32,8 @@ from docketry.runtime import table
 #: space is Unicode's White_Space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Pieces kept with their ids in a worker, pieces of more characters are not kept.
-KEPT_PIECES, KEPT_CHARS = 1 << 16, 48
+#: Pieces kept with their ids in a worker, twice, pieces of more characters are not kept.
+KEPT_PIECES, KEPT_CHARS = 1 << 17, 48
 #: Pairs of tokens whose compatibility is kept.
 KEPT_PAIRS = 1 << 18
 #: Documents in a batch that is given back.
@@ -222,16 +222,19 @@ class ByteBpe:
 
 
 class _Kept(dict):
-    """Piece to the bytes of its ids; emptied when full."""
+    """Piece to the bytes of its ids. When full, what it held is kept aside until it is full again, so that frequent pieces stay."""
 
     def __init__(self, bpe: ByteBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.aside = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.bpe.ids[self.bpe.encode_piece(piece.encode("utf-8").decode("latin-1"))].tobytes()
+        found = self.aside.get(piece)
+        if found is None:
+            found = self.bpe.ids[self.bpe.encode_piece(piece.encode("utf-8").decode("latin-1"))].tobytes()
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
+                self.aside = dict(self)
                 self.clear()
             self[piece] = found
         return found

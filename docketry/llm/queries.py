@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("suffix", "bpe", "simhash", "langid", "urlfilter", "quality", "tokencount", "topk", "toxicity", "mixing")
+MODULES = ("suffix", "bpe", "simhash", "langid", "urlfilter", "quality", "tokencount", "topk", "toxicity", "mixing", "fim", "spelling", "packing")
 
 
 def _modules():
