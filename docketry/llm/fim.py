@@ -92,7 +92,7 @@ def in_duckdb(df: DataFrame, sql: str, schema: str, texts: int = 1) -> DataFrame
             for batch in batches:
                 for lot in lots(batch, texts):
                     con.register("batch", pa.Table.from_batches([lot]))
-                    yield from con.execute(sql).to_arrow_table().to_batches()
+                    yield from con.sql(sql).to_arrow_table().to_batches()
                     con.unregister("batch")
 
     return df.mapInArrow(released(run), schema)
