@@ -8,27 +8,125 @@ the rooms left finds the tightest group in logarithmic time. The plan has some t
 runs (so many pieces of a length, into these sequences, from this offset) at any number
 of documents and is that of packing all documents on one machine. Pieces get their
 number among those of their length from counts by task, and their places from the plan.
+
+The ids are made in lots: the pieces of text that a lot has anew are merged together in
+one ragged array, by the rounds of ``tokencount``.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.bpe import ROWS, load, tokenizer_path
+from docketry.llm.bpe import PIECES, LibrarySplit, byte_letters, is_plain, tokenizer_path
 from docketry.llm.columns import field, fresh, released
 from docketry.llm.sampling import sized
+from docketry.llm.tokencount import NONE, RankMerger, groups
 from docketry.runtime import checkpoint, table
 
 #: Tokens of a sequence, and the id behind each document.
 ROOM, END = 1024, 2
+#: Pieces kept with their ids in a worker; pieces of more characters are not kept.
+KEPT_PIECES, KEPT_CHARS = 1 << 18, 48
+
+
+class LotEncoder(RankMerger):
+    """Ids of whole texts by a byte-level vocabulary file, many texts at once."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        self.size = np.int64(len(vocab))
+        letters = {b: c for c, b in byte_letters().items()}
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        pairs: dict[int, tuple[int, int]] = {}
+        for n, m in enumerate(merges):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            pairs.setdefault(vocab[a] * len(vocab) + vocab[b], (n, vocab[a + b]))
+        self._table(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
+        self.pieces = regex.compile(PIECES)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t: np.uint32(i).tobytes() for t, i in special.items()}
+        self.specials = regex.compile("|".join(map(regex.escape, special)) or r"(?!)")
+        self.library_split = LibrarySplit(path)
+        self.kept: dict[str, bytes] = {}
+
+    def merge(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as the bytes of 32-bit numbers; no piece is empty."""
+        raw = [p.encode() for p in pieces]
+        symbol = self.inner[np.frombuffer(b"".join(raw), np.uint8)]
+        owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            inside = owner[1:] == owner[:-1]
+            place = np.full(len(symbol), len(self.slots) - 1, np.int64)  # of the pair that starts here
+            at = np.flatnonzero(inside)
+            place[at] = self.find(symbol[at] * self.size + symbol[at + 1])
+            rank = self.rank[place]
+            first = np.flatnonzero(np.concatenate([[True], ~inside]))
+            lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(symbol))))
+            over = lowest == NONE
+            ended.append((owner[over], symbol[over]))
+            hit = (rank == lowest) & ~over
+            where = np.flatnonzero(hit)
+            # of pairs that overlap, as in aaa, every other one merges, from the left
+            run = np.flatnonzero(np.diff(where, prepend=-2) != 1)
+            odd = (np.arange(len(where)) - np.repeat(run, np.diff(np.append(run, len(where))))) % 2 == 1
+            where = where[~odd]
+            symbol[where] = self.result[place[where]]
+            stay = ~over
+            stay[where + 1] = False
+            symbol, owner = symbol[stay], owner[stay]
+        owner, symbol = (np.concatenate(c) for c in zip(*ended))
+        order = np.argsort(owner, kind="stable")
+        flat, ends = symbol[order].astype("<u4").tobytes(), 4 * np.cumsum(np.bincount(owner, minlength=len(raw)))
+        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text; strings of special tokens are pieces of their own."""
+        cut = self.pieces.findall if is_plain(text) else self.library_split
+        if not any(t in text for t in self.special):
+            return cut(text)
+        parts, at = [], 0
+        for m in self.specials.finditer(text):
+            parts += [*cut(text[at : m.start()]), m[0]]
+            at = m.end()
+        return parts + cut(text[at:])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of 32-bit numbers."""
+        split = [self.split(t) for t in texts]
+        there = set().union(*split)
+        kept = self.kept
+        new = [p for p in there if p not in kept and p not in self.special]
+        if len(kept) + len(new) > KEPT_PIECES:
+            kept = {p: kept[p] for p in there if p in kept}
+        kept |= self.special
+        if new:
+            kept.update(zip(new, self.merge(new)))
+        out = [b"".join(map(kept.__getitem__, pieces)) for pieces in split]
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del kept[p]
+        self.kept = kept
+        return out
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> LotEncoder:
+    return LotEncoder(path)
 
 
 class OpenSequences:
@@ -137,13 +235,14 @@ def cut_documents(docs: DataFrame, path: str, room: int = ROOM, end: int = END,
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end_ids = load(path), np.array([end], np.uint32)
+        encoder, end_id = load(path), np.array([end], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
+            for at, to in groups(sizes):
+                part = batch.slice(at, to - at)
                 owner, piece, start, length, crc, kept = [], [], [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.concatenate([bpe.encode(text or ""), end_ids]).astype("<u4", copy=False)
+                for row, raw in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
+                    ids = np.frombuffer(raw + end_id, "<u4")
                     cuts = [0, *range(len(ids) % room or room, len(ids) + 1, room)]
                     for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         owner.append(row), piece.append(n), start.append(a), length.append(b - a)

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from docketry.llm import packing
 from docketry.llm.bpe import tokenizer_path
+from tests.llm.test_tokens import texts as odd_texts
 
 PATH = tokenizer_path("byte_bpe_50k.json")
 
@@ -68,6 +69,16 @@ def test_tightest(need, want):
     assert open_.tightest(need) == want
 
 
+def test_lots_are_encoded_as_the_library_does(monkeypatch):
+    lib, lot = Tokenizer.from_file(PATH), packing.LotEncoder(PATH)
+    odd = odd_texts()
+    want = [lib.encode(t, add_special_tokens=False).ids for t in odd]
+    assert [np.frombuffer(b, np.uint32).tolist() for b in lot.encode(odd)] == want
+    monkeypatch.setattr(packing, "KEPT_PIECES", 50)
+    assert [np.frombuffer(lot.encode([t])[0], np.uint32).tolist() for t in odd] == want
+    assert lot.encode([]) == []
+
+
 def texts():
     return ["", None, "a", "word " * 3000, "x" * 9000, "tail " * 1023, "tail " * 1022, "é日本 😀 <|endoftext|> a"] + [f"text {i} " * (i % 300) for i in range(400)]
 
