@@ -212,20 +212,13 @@ def campaign_footer(base_url: Column, token: Column, address: Column) -> Column:
 
 
 def wrap(c: Column, width: int = 76) -> Column:
-    """Lines of at most width characters, broken between words; longer words stand alone."""
-    words = F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
-    empty = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
-
-    def add(state: Column, word: Column) -> Column:
-        line = state["line"]
-        fits = F.length(line) + 1 + F.length(word) <= width
-        return (
-            F.when(line == "", F.struct(state["lines"].alias("lines"), word.alias("line")))
-            .when(fits, F.struct(state["lines"].alias("lines"), F.concat(line, F.lit(" "), word).alias("line")))
-            .otherwise(F.struct(F.concat(state["lines"], F.array(line)).alias("lines"), word.alias("line")))
-        )
+    """Lines of at most width characters, broken between words; longer words stand alone.
 
-    return F.aggregate(words, empty, add, lambda s: F.when(s["line"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"]))))
+    Words are put one space apart; then each line is the longest stretch of at most width
+    characters that ends with a word, found by one pass of a pattern that looks back no further than a line.
+    """
+    words = F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    return F.regexp_extract_all(words, F.lit(rf"(?s)[^ ].{{0,{width - 1}}}(?= |\z)|[^ ]+"), F.lit(0))
 
 
 def safe_filename(name: Column) -> Column:

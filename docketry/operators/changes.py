@@ -6,58 +6,129 @@ it is afterwards, or the rows to append. Keys are compared null-safe only where
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from docketry.runtime import checkpoint
+from docketry.operators.graph import components
+from docketry.runtime import checkpoint, fresh, partitions
+
+
+def _ordered(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """The columns that order rows: those asked for, then all; maps by their sorted entries, since Spark does not order maps."""
+    rest = [f.name for f in df.schema if f.name not in order]
+    return [F.array_sort(F.map_entries(F.col(f"`{c}`"))) if isinstance(df.schema[c].dataType, MapType) else F.col(f"`{c}`") for c in [*order, *rest]]
+
+
+def _whole(key: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in key))
+
+
+def _fold(open_: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
+    """The places of rows that go in, of rows (place and key columns) that may all wait for one another.
+
+    Rows that share a value of a key are linked to the first that has it. A component of
+    links is read in order by one task, which holds the values that the component's
+    inserted rows have taken, as 128-bit hashes. Components stream one after the other.
+    """
+    links = []
+    for key in keys:
+        of = open_.where(_whole(key))
+        links.append(of.join(of.groupBy(*key).agg(F.min("place").alias("v")), list(key)).select(F.col("place").alias("u"), "v"))
+    root = components(reduce(DataFrame.union, links)).withColumnRenamed("node", "place")
+    marks = [F.when(_whole(key), F.concat(*[F.hex(F.xxhash64(F.lit(f"{seed}{i}"), *key)) for seed in "ab"])) for i, key in enumerate(keys)]
+    rows = open_.select("place", F.array_compact(F.array(*marks)).alias("marks")).join(root, "place", "left")
+    rows = rows.select(F.coalesce("root", "place").alias("root"), "place", "marks").repartition("root").sortWithinPartitions("root", "place")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, set()
+        for batch in batches:
+            won = []
+            for root_, place, marks_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if root_ != now:
+                    now, taken = root_, set()
+                if taken.isdisjoint(marks_):
+                    taken.update(marks_)
+                    won.append(place)
+            yield pa.RecordBatch.from_arrays([pa.array(won, pa.int64())], ["place"])
+
+    return rows.mapInArrow(go, "place long")
 
 
 def insert_ignore(target: DataFrame, new: DataFrame, *unique: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The rows of new that are there after they are inserted one by one, each only if it breaks no unique key.
 
-    Rows go in by ``order``, ties by all their columns. A row that loses blocks no other:
-    one that meets only losers goes in. A key with a null in it never conflicts, as in
-    SQL. Rows are decided in rounds, of which there are as many as the longest chain of
-    rows that each wait for the one before; a round compares only keys and first places.
+    Rows go in by ``order``, then by all their columns as they are typed, nulls last; of
+    equal rows with a key one goes in. A row that loses blocks no other: one that meets only losers
+    goes in. A key with a null in it never conflicts, as in SQL, so rows without a whole
+    key all go in. Empty tables give what is left.
+
+    Rows are decided in parallel rounds as long as a round settles half of those that are
+    open: those that come first in all their keys go in, those that then conflict are
+    out. So there are at most the logarithm of the rows. What is left waits in chains;
+    each component of those is folded once, in order.
     """
     columns = new.columns
-    whole = [reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key)) for key in unique]
-    keyed = reduce(lambda a, b: a | b, whole)
-    open_ = new.where(keyed).dropDuplicates()
-    for key in unique:
-        open_ = open_.join(target.select(*key).distinct(), list(key), "left_anti").select(*columns)
-    place = F.struct(*order, F.to_json(F.struct(*columns)))
-    open_ = checkpoint(open_.withColumn("_place", place))
+    place = fresh(columns, "_place")
+    keyed = reduce(lambda a, b: a | b, map(_whole, unique))
     taken = [new.where(~keyed)]
-    while not open_.isEmpty():
-        rows = open_
-        for i, key in enumerate(unique):
-            first = open_.where(whole[i]).groupBy(*key).agg(F.min("_place").alias(f"_first{i}"))
-            rows = rows.join(first, list(key), "left")
-        is_first = reduce(lambda a, b: a & b, (F.col(f"_first{i}").isNull() | (F.col(f"_first{i}") == F.col("_place")) for i in range(len(unique))))
-        won = checkpoint(rows.where(is_first).select(*columns, "_place"))
-        taken.append(won.select(*columns))
-        for key in unique:
-            open_ = open_.join(won.select(*key).distinct(), list(key), "left_anti").select(*columns, "_place")
-        open_ = checkpoint(open_)
+    rows = new.where(keyed)
+    for key in unique:
+        theirs = [fresh(columns, f"_its_{c}") for c in key]
+        there = target.where(_whole(key)).select(*[F.col(f"`{c}`").alias(t) for c, t in zip(key, theirs)]).distinct()
+        rows = rows.join(there, reduce(lambda a, b: a & b, (F.col(f"`{c}`") == F.col(f"`{t}`") for c, t in zip(key, theirs))), "left_anti")
+    by = [c if i < len(order) else c.asc_nulls_last() for i, c in enumerate(_ordered(new, order))]
+    rows = rows.repartitionByRange(partitions(new.sparkSession), *by).sortWithinPartitions(*by)
+    rows = checkpoint(rows.withColumn(place, F.monotonically_increasing_id()))
+
+    def inserted(places: DataFrame) -> DataFrame:
+        return rows.join(places.select(F.col("place").alias(place)), place, "left_semi").select(*columns)
+
+    named = {c: f"k{i}" for i, c in enumerate(sorted({c for key in unique for c in key}))}  # beside these nothing but places travels
+    keys = [[named[c] for c in key] for key in unique]
+    open_ = rows.select(F.col(place).alias("place"), *[F.col(f"`{c}`").alias(k) for c, k in named.items()])
+    count = open_.count()
+    while count:
+        firsts = open_.select("place")
+        for key in keys:
+            of = open_.where(_whole(key))
+            first = of.groupBy(*key).agg(F.min("place").alias("first"))
+            firsts = firsts.join(of.join(first, key).where("place > first").select("place"), "place", "left_anti")
+        won = checkpoint(open_.join(firsts, "place"))
+        left = open_.join(won.select("place"), "place", "left_anti")
+        for key in keys:
+            left = left.join(won.where(_whole(key)).select(*key).distinct(), key, "left_anti").select(*open_.columns)
+        taken.append(inserted(won))
+        open_, before = checkpoint(left), count
+        count = open_.count()
+        if count and 2 * count > before:
+            taken.append(inserted(checkpoint(_fold(open_, keys))))
+            break
     return reduce(DataFrame.unionByName, taken)
 
 
 def upsert(target: DataFrame, new: DataFrame, *key: str, order: Sequence[str] = ()) -> DataFrame:
     """target after new: rows of a known key take the new values that are not null, others are added.
 
-    Rows of new that repeat a key are applied by ``order``, ties by all their columns:
-    of each value the last that is not null counts.
+    Rows of new that repeat a key are applied by ``order``, then by all their columns as
+    they are typed: of each value the last that is not null counts. A key with a null in
+    it is no key: such rows of target stay as they are, such rows of new are added each.
+    Columns that target lacks are left out.
     """
-    values = [c for c in target.columns if c not in key]
-    place = F.struct(*order, F.to_json(F.struct(*new.columns)))
-    last = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_{c}") for c in values if c in new.columns]
-    n = new.groupBy(*key).agg(*last) if last else new.select(*key).distinct()
-    merged = target.join(n, list(key), "full_outer")
-    return merged.select(*[F.coalesce(f"_{c}", c).alias(c) if c in values and c in new.columns else F.col(c) for c in target.columns])
+    values = [c for c in target.columns if c not in key and c in new.columns]
+    named = {c: fresh([*target.columns, *new.columns], f"_new_{c}") for c in values}
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_ordered(new, order))])
+    last = [F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), place)).alias(named[c]) for c in values]
+    known = new.where(_whole(key))
+    known = known.groupBy(*key).agg(*last) if last else known.select(*key).distinct()
+    merged = target.join(known, list(key), "full_outer")
+    merged = merged.select(*[F.coalesce(f"`{named[c]}`", f"`{c}`").alias(c) if c in named else F.col(f"`{c}`") for c in target.columns])
+    unkeyed = new.where(~_whole(key)).select(*key, *values)
+    return merged.unionByName(unkeyed, allowMissingColumns=True)
 
 
 def update_where(target: DataFrame, when: Column, **values: Column) -> DataFrame:

@@ -1,11 +1,7 @@
-"""Decisions over event streams: rate limits, job drains, deadline warnings, send schedules."""
+"""Decisions over event streams: job drains, deadline warnings, send schedules, what rate limits keep."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,48 +12,6 @@ STAGGER_MINUTES = 2
 JOB_BATCH, HANDLED = 20, ("campaign_send",)
 
 
-class Bucket:
-    """A hit-anchored window of one key: the first hit opens it, later ones count until it is over."""
-
-    def __init__(self, opened: int | None = None, hits: int = 0):
-        self.opened, self.hits = opened, hits
-
-    def hit(self, at: int, limit: int, window: int) -> tuple[bool, int, int]:
-        """allowed, remaining and seconds to wait, for a hit at a time in microseconds."""
-        if self.opened is None or at - self.opened > window * 1_000_000:
-            self.opened, self.hits = at, 0
-        self.hits += 1
-        if self.hits <= limit:
-            return True, limit - self.hits, 0
-        return False, 0, max(1, int(np.ceil(window - (at - self.opened) / 1e6)))
-
-
-def rate_limit(hits: DataFrame, limit: int, window_seconds: int, key: str = "key", at: str = "at", order: str = "hit_id") -> DataFrame:
-    """hits with allowed, remaining and retry_after_seconds.
-
-    The window is anchored at a key's first hit, so no tumbling or sliding window gives
-    it: each key's hits are folded in order. A key's hits stream through in sorted
-    batches, so a hot key needs one task's time but no memory beyond a batch. Null keys
-    share one window.
-    """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
-    n = max(1, int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, bucket = object(), Bucket()
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf["_micros"]):
-                if not (k == now or (pd.isna(k) and now is None)):
-                    now, bucket = None if pd.isna(k) else k, Bucket()
-                out.append(bucket.hit(t, limit, window_seconds))
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pdf.drop(columns="_micros").assign(allowed=list(cols[0]), remaining=list(cols[1]), retry_after_seconds=list(cols[2]))
-
-    sorted_ = hits.withColumn("_micros", F.unix_micros(at)).repartition(n, key).sortWithinPartitions(key, at, order)
-    return sorted_.mapInPandas(fold, f"{schema}, allowed boolean, remaining int, retry_after_seconds int")
-
-
 def prune_buckets(hits: DataFrame, as_of: Column, at: str = "at", hours: int = 24) -> DataFrame:
     """Hits young enough to matter to any limit."""
     return hits.where(F.col(at) >= as_of - F.make_dt_interval(hours=F.lit(hours)))

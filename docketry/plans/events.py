@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.numbers import backoff_minutes
 from docketry.functions.texts import first_name
-from docketry.operators import events, governance
+from docketry.operators import events, governance, limits
 from docketry.plans.adapters import AS_OF, EVENTS_AS_OF, LIVE_STAGES, text, view, with_views
 from docketry.plans.reporting import moment
 from docketry.runtime import table
@@ -26,7 +26,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each event is within its user's limit, in windows that the first hit opens."""
-    return events.rate_limit(_hits(spark, sf_dir), LIMIT, WINDOW).select("key", "hit_id", "allowed", "remaining", "retry_after_seconds")
+    return limits.rate_limit(_hits(spark, sf_dir), LIMIT, WINDOW).select("key", "hit_id", "allowed", "remaining", "retry_after_seconds")
 
 
 def kept_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,14 +56,14 @@ def crawl_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("host")).distinct()
     k = F.length("host") % 4
     delay = F.when(k == 0, "2").when(k == 1, "0.75 # slowly").when(k == 2, "soon").otherwise("-1")
-    files = hosts.select("host", F.concat(F.lit("User-agent: *\nCrawl-delay: "), delay, F.lit("\nDisallow: /x\nUser-agent: other\nCrawl-delay: 9")).alias("body"))
+    files = hosts.select("host", F.concat(F.lit("User-agent: *\nCrawl-delay: "), delay, F.lit("\nDisallow: /x\nUser-agent: other\nCrawl-delay: 9\nUser-agent: *\nCrawl-delay: Infinity"), F.when(k == 0, F.lit("\nCrawl-delay: 1.5")).otherwise("")).alias("body"))
     return documents.crawl_delays(documents.robots_rules(files, "reader"))
 
 
 def holding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that each holding's vector is made from, by its digest, and the vector's first dimension that is not zero."""
     rows = view(spark, sf_dir, "holding").join(view(spark, sf_dir, "source_span"), "span_id")
-    t = vectors.holding_text(F.col("denial_basis"), F.col("service_type"), F.substring("text", 1, 400))
+    t = vectors.holding_text(F.col("denial_basis"), F.col("service_type"), F.col("text"))
     return rows.select("holding_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("text_sha256"))
 
 
@@ -116,8 +116,8 @@ select organization_id, '2024-02-01' as erased_on, 'end of contract' as reason,
   coalesce(x.n, 0) + coalesce(y.n, 0) + coalesce(z.n, 0) as total from r left join (select organization_id, count(*) as n from d group by 1) x using (organization_id)
   left join (select organization_id, count(*) as n from f group by 1) y using (organization_id) left join (select organization_id, count(*) as n from a group by 1) z using (organization_id)""",
     "crawl_delays": """with h as (select distinct regexp_extract(url, '://([^/]+)', 1) as host from pages)
-select host, case length(host) % 4 when 0 then 2000 else 750 end::bigint as delay_ms from h where length(host) % 4 < 2""",
-    "holding_texts": f"""{with_views("holding", "source_span")}, t as (select holding_id, concat_ws(' ', denial_basis, service_type, substr(text, 1, 400)) as t from holding join source_span using (span_id))
+select host, case length(host) % 4 when 0 then 1500 else 750 end::bigint as delay_ms from h where length(host) % 4 < 2""",
+    "holding_texts": f"""{with_views("holding", "source_span")}, t as (select holding_id, concat_ws(' ', denial_basis, service_type, text) as t from holding join source_span using (span_id))
 select holding_id, length(t) as chars, sha256(t) as text_sha256 from t""",
     "document_pages": "select doc_id, case when doc_id % 3 <> 0 and contains(text, chr(10)) then length(text) - length(replace(text, chr(10), '')) + 1 end as pages from documents",
     "draft_sections": f"""{with_views("assertion")}, s as (select draft_id, section, section || ':' || string_agg(ordinal::varchar, ',' order by ordinal) as s from assertion group by draft_id, section)

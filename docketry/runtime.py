@@ -59,3 +59,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partitions: the one knob that follows the input's size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or the name behind as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -167,7 +167,7 @@ def pdf_text(content: Column) -> Column:
 
 
 def robots_rules(files: DataFrame, agent: str, key: str = "host", body_col: str = "body") -> DataFrame:
-    """(key, kind, value) of the rules that hold for an agent: those of groups that name it, else of *.
+    """(key, kind, value, line) of the rules that hold for an agent: those of groups that name it, else of *.
 
     The group of a line is the last user-agent line before it, found by a running maximum.
     """
@@ -181,14 +181,20 @@ def robots_rules(files: DataFrame, agent: str, key: str = "host", body_col: str
     rules = lines.withColumn("_group", group)
     own = F.max(F.coalesce(F.col("_group") == "own", F.lit(False))).over(Window.partitionBy(key))
     rules = rules.withColumn("_own", own).where(F.col("_group") == F.when(F.col("_own"), "own").otherwise("any"))
-    return rules.where(F.col("kind").isin("allow", "disallow", "crawl-delay") & (F.col("value") != "")).select(key, "kind", "value")
+    return rules.where(F.col("kind").isin("allow", "disallow", "crawl-delay") & (F.col("value") != "")).select(key, "kind", "value", F.col("_i").alias("line"))
 
 
 def crawl_delays(rules: DataFrame, key: str = "host") -> DataFrame:
-    """(key, delay_ms) of the rules of robots_rules: the last crawl-delay that is a number of seconds, in milliseconds."""
-    seconds = F.expr("try_cast(value as double)")
-    delays = rules.where((F.col("kind") == "crawl-delay") & (seconds >= 0)).groupBy(key).agg(F.max(seconds).alias("_s"))
-    return delays.select(key, F.round(F.col("_s") * 1000).cast("long").alias("delay_ms"))
+    """(key, delay_ms) of the rules of robots_rules: the last crawl-delay that is a number of seconds, in milliseconds.
+
+    What is no finite number, is negative, or is more milliseconds than 64 bits hold is no
+    delay; a host without any is left out. Rules without a ``line`` count in the order of their delays.
+    """
+    number = F.when(F.rlike("value", F.lit(r"^[+]?(\d+[.]?\d*|[.]\d+)([eE][+-]?\d+)?$")), F.expr("try_cast(value as double)"))
+    millis = F.round(number * 1000).try_cast("long")
+    delays = rules.where(F.col("kind") == "crawl-delay").withColumn("_ms", millis).where(F.col("_ms").isNotNull())
+    place = F.struct("line", "_ms") if "line" in rules.columns else F.col("_ms")
+    return delays.groupBy(key).agg(F.max_by("_ms", place).alias("delay_ms"))
 
 
 def robots_permit(paths: DataFrame, rules: DataFrame, key: str = "host") -> DataFrame:

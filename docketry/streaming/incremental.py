@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docketry.operators.events import Bucket
+from docketry.operators.limits import Bucket
 
 
 def run_stage(

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from docketry.functions import access, numbers, texts, vectors
-from docketry.operators import billing, changes, events, governance, workflow
+from docketry.operators import billing, changes, events, governance, limits, workflow
 from docketry.sources import contacts, documents
 
 FEES = [(1842000, 1500, 276300), (100000, 1250, 12500), (1, 1500, 0), (7, 1500, 1), (3, 5000, 1), (100000, 10000, 100000), (1842000, 0, 0), (0, 1500, 0), (-50000, 1500, 0),
@@ -111,7 +111,7 @@ def test_workflow(spark):
 def test_rate_limit_is_anchored_at_the_first_hit(spark):
     base = datetime.datetime(2024, 1, 1)
     hits = [("k", base + datetime.timedelta(seconds=s), i) for i, s in enumerate((0, 3599, 3600, 3601, 3602))] + [("j", base + datetime.timedelta(seconds=s), 10 + s) for s in range(6)]
-    got = {r.hit_id: r for r in events.rate_limit(spark.createDataFrame(hits, "key string, at timestamp, hit_id int"), 2, 3600).collect()}
+    got = {r.hit_id: r for r in limits.rate_limit(spark.createDataFrame(hits, "key string, at timestamp, hit_id int"), 2, 3600).collect()}
     assert [got[i].allowed for i in range(5)] == [True, True, False, True, True] and got[2].retry_after_seconds == 1
     assert [got[10 + i].allowed for i in range(6)] == [True, True, False, False, False, False] and got[12].retry_after_seconds == 3598
 
@@ -133,7 +133,7 @@ def test_streams(spark, tmp_path):
     hits = spark.readStream.schema(schema).parquet(src)
     q = incremental.rate_limit_stream(hits, 3, 3600).writeStream.format("memory").queryName("limited").option("checkpointLocation", cp + "2").trigger(availableNow=True).start()
     q.awaitTermination()
-    want = {r.hit_id: r.allowed for r in events.rate_limit(spark.read.parquet(src), 3, 3600).collect()}
+    want = {r.hit_id: r.allowed for r in limits.rate_limit(spark.read.parquet(src), 3, 3600).collect()}
     assert {r.hit_id: r.allowed for r in spark.table("limited").collect()} == want
     incremental.drain_jobs_stream(spark, src, schema, out + "3", cp + "3", stage).awaitTermination()
     assert spark.read.parquet(out + "3").count() == 6
@@ -248,7 +248,7 @@ def test_equal_paths_are_judged_each(spark):
 def test_null_keys_share_a_window(spark, kind):
     rows = [(None if i % 2 else "1", i, i) for i in range(10)]
     hits = spark.createDataFrame(rows, "key string, s int, hit_id int").selectExpr(f"cast(key as {kind}) as key", "timestamp_seconds(s) as at", "hit_id")
-    got = {r.hit_id: r.allowed for r in events.rate_limit(hits, 3, 60).collect()}
+    got = {r.hit_id: r.allowed for r in limits.rate_limit(hits, 3, 60).collect()}
     assert got == {i: i < 6 for i in range(10)}
 
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docketry.functions.vectors import DIMENSIONS, hash_trigrams
-from docketry.operators.events import Bucket
+from docketry.operators.limits import Bucket
 from docketry.operators.spans import LEAST_SPAN, spans_of
 from docketry.operators.verify import LEAST_QUOTE, fold, fold_with_places, place_of
 
