@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reporting", "console", "casework", "money", "text", "evidence", "events", "governance", "located")
+MODULES = ("reporting", "console", "casework", "money", "text", "evidence", "events", "governance", "located", "stored")
 
 
 def _modules():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import texts
-from docketry.operators import spans, verify
+from docketry.operators import quotes, spans, verify
 from docketry.runtime import table
 from docketry.sources import contacts, documents
 
@@ -71,7 +71,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotes_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark passages each document quotes, whatever its case and spacing."""
-    return verify.quoted_by(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
+    return quotes.quoted_by(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id")
 
 
 def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import texts
 from docketry.operators import spans, verify
+from docketry.operators.quotes import quoted_by
 
 DECISION = "The plan may not deny coverage based on internal criteria.\nIt applied a stricter standard than Medicare’s own rules allow. We find the services were reasonable."
 NOTE = "01/14 Patient required skilled nursing daily. Wound care was per­formed by the nurse twice each day. No falls."
@@ -87,7 +88,7 @@ def test_malformed_assertions(spark):
 def test_quoted_by_finds_long_and_short_quotes(spark):
     docs = spark.createDataFrame([(1, DECISION), (2, NOTE), (3, None), (4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa b")], "doc_id int, text string")
     quotes = spark.createDataFrame([(7, "not deny coverage based on internal"), (8, "a" * 26), (9, "short"), (10, "Patient required  skilled nursing daily.")], "item_id int, text string")
-    assert sorted((r.doc_id, r.item_id) for r in verify.quoted_by(docs, quotes).collect()) == [(1, 7), (2, 10), (4, 8)]
+    assert sorted((r.doc_id, r.item_id) for r in quoted_by(docs, quotes).collect()) == [(1, 7), (2, 10), (4, 8)]
 
 
 LONG = "This paragraph is long enough to be a passage of its own."
@@ -157,22 +158,21 @@ def test_quotes_meet_documents_that_differ_only_by_folding(spark):
     texts = [plain] + [plain.replace("file's re-entry", f) for f in forms]
     docs = spark.createDataFrame([(i, f"Before. {t}, and after \u00e9.") for i, t in enumerate(texts)] + [(99, "An official file re-entry into the Office was late"), (98, None)], "doc_id long, text string")
     quotes = spark.createDataFrame(list(enumerate([*texts, plain.replace("file's", "wait\u2026 file's")])), "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in verify.quoted_by(docs, quotes).collect()}
+    got = {(r.doc_id, r.item_id) for r in quoted_by(docs, quotes).collect()}
     assert got == {(d, q) for d in range(len(texts)) for q in range(len(texts))}
     greek = spark.createDataFrame([(1, "\u03a4\u0391 \u039f\u0394\u039f\u03a3 \u039f\u0394\u039f\u03a3 \u039f\u0394\u039f\u03a3 and more words here")], "doc_id long, text string")
     low = spark.createDataFrame([(1, "\u03c4\u03b1 \u03bf\u03b4\u03bf\u03c3 \u03bf\u03b4\u03bf\u03c3 \u03bf\u03b4\u03bf\u03c3 and more words here")], "item_id long, text string")
-    assert verify.quoted_by(greek, low).count() == 1
+    assert quoted_by(greek, low).count() == 1
     for s in ("\u039f\u0394\u039f\u03a3 x\u00a0\ufeffy e\u0301 \ufb01\u2026 \u0130\u00ad", "", " \u3000", plain):
         assert verify.fold_each(s) == verify.fold_with_places(s)[0]
 
 
-@pytest.mark.parametrize("bound", [1 << 25, 400])
-def test_quotes_of_rows_that_repeat_an_id(spark, monkeypatch, bound):
-    monkeypatch.setattr(verify, "QUOTE_BYTES", bound)
+@pytest.mark.parametrize("bits", [15, 27])
+def test_quotes_of_rows_that_repeat_an_id(spark, bits):
     quotes = [(1, "the standard is whether the care is needed"), (2, "Rehabilitationsmaßnahmen notwendigerweise"), (3, "too short"), (4, "\u201cmedically necessary\u201d means reasonable care"), (None, "the standard is whether the care is needed"), (5, None)]
     texts = [(7, "So THE standard  is\nwhether the care is needed."), (7, "nothing at all"), (7, "So THE standard  is\nwhether the care is needed."), (None, 'x "medically necessary" means reasonable care y'), (8, None), (9, ""), (10, "der Rehabilitationsmaßnahmen notwendigerweise wegen")]
     docs = spark.createDataFrame([(*r, "clash") for r in texts], "doc_id long, text string, _text string").repartition(2)
-    got = verify.quoted_by(docs, spark.createDataFrame(quotes, "item_id int, text string")).collect()
+    got = quoted_by(docs, spark.createDataFrame(quotes, "item_id int, text string"), bits=bits).collect()
     want = []
     for i, t in texts:
         for q, quote in quotes:
