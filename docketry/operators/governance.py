@@ -74,6 +74,8 @@ def _redacted(c: Column, kind: T.DataType, depth: int, sensitive: bool) -> Colum
         plain = F.transform_values(c, lambda k, v: _redacted(v, kind.valueType, depth + 1, False))
         if isinstance(kind.keyType, T.StringType) and isinstance(kind.valueType, T.StringType):
             return F.transform_values(plain, lambda k, v: F.when(sensitive_key(k), F.lit("[redacted]")).otherwise(v))
+        if isinstance(kind.keyType, T.StringType):  # a value that is no text has no room for a mark
+            return F.transform_values(plain, lambda k, v: F.when(~sensitive_key(k), v))
         return plain
     kept = F.transform(F.slice(c, 1, MOST_ITEMS), lambda x: _redacted(x, kind.elementType, depth + 1, False))
     if isinstance(kind.elementType, T.StringType):

@@ -17,7 +17,18 @@ from docketry.functions.texts import HEADINGS, LONGEST_HEADING
 
 LEAST_SPAN = 40
 SEPARATOR = re.compile(r"\f|\n[ \t]*\n+")
-FORMS = [(level, re.compile(form + r"\Z")) for level, form in HEADINGS]
+#: What counts as white space at the ends of a passage and in headings, and what ends a line.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+LINE_ENDS = "\n\r\u2028\u2029"
+
+
+def exact(form: str) -> str:
+    """A heading's form with its classes spelt out, so that engines whose classes differ read it alike."""
+    form = form.replace(r"[A-Z\s", f"[A-Z{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]").replace(r"\d", "[0-9]")
+    return form.replace(".{0,", f"[^{LINE_ENDS}]{{0,")
+
+
+FORMS = [(level, re.compile(exact(form) + r"\Z")) for level, form in HEADINGS]
 SPAN = "array<struct<ordinal:int,page:int,char_start:int,char_end:int,text:string,heading_path:array<string>>>"
 
 
@@ -36,13 +47,13 @@ def spans_of(text: str) -> list[dict]:
     cuts = [(m.start(), m.end(), m[0] == "\f") for m in SEPARATOR.finditer(text)]
     for end, then, breaks in [*cuts, (len(text), len(text), False)]:
         block = text[at:end]
-        body = block.strip()
+        body = block.strip(WHITE)
         level = level_of(body) if body else None
         if level is not None:
             # level 2 keeps the first entry, or leaves a hole where there is none
             trail = [body] if level == 1 else [*(trail[:1] or [None]), body]
         elif len(body) >= LEAST_SPAN:
-            start = at + len(block) - len(block.lstrip())
+            start = at + len(block) - len(block.lstrip(WHITE))
             spans.append(
                 {"ordinal": len(spans) + 1, "page": page, "char_start": start, "char_end": start + len(body), "text": body, "heading_path": list(trail)}
             )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.texts import term_hits
 from docketry.functions.vectors import cosine, embed
-from docketry.operators import retrieval, workflow
+from docketry.operators import retrieval, verify, workflow
 from docketry.plans.adapters import BASES, PAYERS, SERVICES, text, view, with_views
 from docketry.runtime import table
 
@@ -80,7 +80,29 @@ def documentation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.documentation_gaps(criteria, facts, verified_only=True).select("denial_id", "place", "criterion")
 
 
+def assertion_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps drafted assertions, some of them incomplete, from being assertions."""
+    k = F.col("assertion_id")
+    rows = view(spark, sf_dir, "assertion").select(
+        k, F.when(k % 7 != 0, F.col("source_id")).alias("source_id"), F.when(k % 11 != 0, F.col("body")).otherwise("  ").alias("verbatim_quote"),
+        F.when(k % 13 != 0, F.col("body")).alias("text"), F.when(k % 17 != 0, F.col("ordinal")).when(k % 2 == 0, 0).alias("ordinal"),
+    )
+    return rows.select("assertion_id", verify.assertion_errors().alias("error"))
+
+
+def accepted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each draft taken as a case, the first of four attempts, one of them too many, whose assertions all hold."""
+    k = F.col("assertion_id")
+    tries = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt")
+    rows = view(spark, sf_dir, "assertion").select(F.col("draft_id").alias("denial_id"), "kind", "source_kind", k, tries)
+    kind = F.when(F.col("attempt") >= 2, F.when(F.col("source_kind") == "clinical_fact", "clinical").otherwise("legal")).otherwise(F.col("kind"))
+    rows = rows.withColumn("kind", kind).withColumn("reason", F.when((k + F.col("attempt")) % 5 == 0, "not_found_in_source"))
+    return verify.first_accepted_attempts(rows)
+
+
 QUERIES = {
+    "assertion_checks": assertion_checks,
+    "accepted_attempts": accepted_attempts,
     "document_vectors": document_vectors,
     "retrieved_authority": retrieved_authority,
     "similar_holdings": similar_holdings,
@@ -100,6 +122,11 @@ _HITS = " + ".join(f"contains(lower(t), '{t}')::integer" for t in TERMS)
 _COS = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::double * p[2]::double))"
 _SAME = {f: f"coalesce(q_{f} = {f}, false)" for f in ("denial_basis", "payer_type", "service_type")}
 ORACLE = {
+    "assertion_checks": f"""{with_views("assertion")} select assertion_id, case when assertion_id % 7 = 0 then 'no source' when assertion_id % 11 = 0 then 'no quote' when assertion_id % 13 = 0 then 'no text'
+  when assertion_id % 17 = 0 or ordinal < 1 then 'ordinals start at 1' end as error from assertion""",
+    "accepted_attempts": f"""{with_views("assertion")}, a as (select draft_id, assertion_id, kind, source_kind, unnest([1, 2, 3]) as attempt from assertion),
+g as (select draft_id, attempt, bool_and((assertion_id + attempt) % 5 <> 0 and (attempt >= 2 or (kind = 'legal') = (source_kind <> 'clinical_fact'))) as ok from a group by all)
+select draft_id as denial_id, min(case when ok then attempt end) as accepted, max(attempt) as tried from g group by draft_id""",
     "document_vectors": f"""with n as (select conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as n from conversations),
 g as (select conv_id, turn, unnest(list_transform(range(1, greatest(length(n) - 1, 1)), lambda i: substr(n, i, 3))) as g from n),
 h as (select conv_id, turn, {_HASH} as h from g), s as (select conv_id, turn, (h % 384)::integer as bucket, sum(case when {_fnv("h", "35")} % 2 = 0 then 1 else -1 end) as s from h group by all),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import texts
@@ -164,6 +164,19 @@ def open_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.open_data_rows(rows).withColumn("decided_at", F.date_format("decided_at", "yyyy-MM-dd"))
 
 
+def uploaded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of uploaded files: documents as they are, and every third one's words as a PDF of one line each."""
+    pdf = F.col("doc_id") % 3 == 0
+    shown = F.concat(F.lit("BT ("), F.array_join(F.split(_words(), " "), ") Tj T* ("), F.lit(") Tj ET"))
+    body = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Length 9 >> stream\n"), shown, F.lit("\nendstream endobj"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.when(pdf, body).otherwise(_words()).cast("binary").alias("content"))
+    return documents.uploaded_text(files).select("doc_id", "format", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _words() -> Column:
+    return F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+
+
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the path of each page is open to an agent under its host's rules."""
     host, path = F.regexp_extract("url", "://([^/]+)", 1), F.concat(F.lit("/"), F.regexp_extract("url", "://[^/]+/([^?]*)", 1))
@@ -210,6 +223,7 @@ QUERIES = {
     "contact_imports": contact_imports,
     "open_data": open_data,
     "robots": robots,
+    "uploaded_texts": uploaded_texts,
     "fetched_documents": latest_of_hash,
     "speaker_order": speaker_order,
 }
@@ -245,7 +259,24 @@ q as (select *, case doc_id % 5 when 0 then substr(s, 5, 60) when 1 then upper(s
 n as (select *, lower(trim(regexp_replace(q, '\s+', ' ', 'g'))) as nq, lower(trim(regexp_replace(s, '\s+', ' ', 'g'))) as ns, regexp_replace(q, '^\s+|\s+$', '', 'g') as tq from q),
 v as (select doc_id, lang, source, case when nq = '' then 'empty_quote' when ns = '' then 'source_missing' when length(tq) < 24 then 'quote_too_short'
   when contains(ns, nq) then null else 'not_found_in_source' end as reason from n)"""
+#: Passages by windows over blocks: where each begins, its page, and the last headings above it.
+_PASSAGES = f"""with d as (select doc_id, 'II. Part ' || doc_id || e'\\n\\nB. About ' || lang || e'\\n\\n' as head, replace(coalesce(text, ''), chr(10), e'\\n \\n') as body from documents),
+t as (select doc_id, head || body || case when doc_id % 3 = 0 then chr(12) || body else '' end as t from d),
+s as (select doc_id, contains(t, chr(12)) as paged, string_split_regex(t, '\\f|\\n[ \\t]*\\n+') as blocks, regexp_extract_all(t, '\\f|\\n[ \\t]*\\n+') as seps from t),
+b as (select doc_id, paged, i, blocks[i] as block, seps[i] as sep from (select *, unnest(range(1, len(blocks) + 1)) as i from s)),
+p as (select doc_id, i, block, regexp_replace(regexp_replace(block, '^[{spans.WHITE}]+', ''), '[{spans.WHITE}]+$', '') as body, length(block) - length(regexp_replace(block, '^[{spans.WHITE}]+', '')) as lead,
+  coalesce(sum(length(block) + coalesce(length(sep), 0)) over above, 0) as pos, case when paged then 1 + coalesce(count_if(sep = chr(12)) over above, 0) end as page
+  from b window above as (partition by doc_id order by i rows between unbounded preceding and 1 preceding)),
+l as (select *, case when length(body) between 1 and {texts.LONGEST_HEADING} then case {" ".join(f"when regexp_full_match(body, '{spans.exact(form).replace(chr(39), chr(39) * 2)}') then {level}" for level, form in texts.HEADINGS)} end end as level from p),
+h as (select *, max(case when level = 1 then i end) over above as i1, max(case when level = 2 then i end) over above as i2, last_value(case when level = 1 then body end ignore nulls) over above as h1,
+  last_value(case when level = 2 then body end ignore nulls) over above as h2 from l window above as (partition by doc_id order by i rows between unbounded preceding and current row)),
+n as (select *, row_number() over (partition by doc_id order by i) as ordinal from h where level is null and length(body) >= {spans.LEAST_SPAN})
+select doc_id, ordinal::integer as ordinal, page::integer as page, (pos + lead)::integer as char_start, (pos + lead + length(body))::integer as char_end, sha256(body) as text_sha256,
+  concat_ws(' > ', h1, case when i2 > coalesce(i1, 0) then h2 end) as headings, ((ordinal - 1) // 25)::integer as chunk from n"""
 ORACLE = {
+    "uploaded_texts": r"""with w as (select doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) as w from documents)
+select doc_id, case when doc_id % 3 = 0 then 'pdf' else 'text' end as format, sha256(case when doc_id % 3 = 0 then replace(w, ' ', chr(10)) else w end) as text_sha256 from w""",
+    "passages": _PASSAGES,
     "html_text": f"with t as (select page_id, {_clean(_HTML)} as t from pages) select page_id, length(t) as chars, sha256(t) as text_sha256 from t",
     "clean_documents": "select doc_id, sha256(coalesce("
     + _clean("chr(13) || chr(10) || replace(text, '. ', '. ' || chr(9) || chr(13) || chr(10) || chr(10) || chr(10) || chr(10)) || '  '")

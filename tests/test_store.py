@@ -80,3 +80,10 @@ def test_pages_stop_at_a_gap_an_empty_and_a_short_page(spark, tmp_path):
     put2 = str(tmp_path / "empty")
     store.put_objects(spark.createDataFrame([("0000000000-0.json", "[]"), ("0000000200-1.json", '[{"n":1}]')], "key string, content string"), put2)
     assert store.read_pages(spark, put2).collect() == []
+
+
+def test_sensitive_keys_of_any_map(spark):
+    from docketry.operators.governance import redact_record
+
+    df = spark.createDataFrame([({"ssn": 1, "k": 2}, {"Patient Name": ["x"], "k": ["a@b.org"]}, {"ssn": "1"})], "a map<string,int>, b map<string,array<string>>, c map<string,string>")
+    assert tuple(redact_record(df).first()) == ({"ssn": None, "k": 2}, {"Patient Name": None, "k": ["[redacted:email]"]}, {"ssn": "[redacted]"})
