@@ -3,7 +3,8 @@
 Three data sources in Python run on Spark's write and read protocols. Every task of a
 write stages files of its own below the folder and tells the driver their names; the
 driver moves them into place if all tasks are done, and deletes what is staged if one
-fails. Reading is planned from names and manifests and runs in tasks. Folders are paths or
+fails. What a task that was still running then leaves behind is in the staging folder,
+which no reader looks into, until ``clear_staging``. Reading is planned from names and manifests and runs in tasks. Folders are paths or
 URIs that driver and executors both reach.
 """
 
@@ -14,6 +15,7 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyarrow import fs
@@ -253,6 +255,17 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+def clear_staging(path: str, hours: float = 24) -> int:
+    """Delete what writes that failed have left staged, if it is older than the longest write may take; the number of writes."""
+    where, base = folder(path)
+    old = datetime.now(UTC) - timedelta(hours=hours)
+    staged = where.get_file_info(fs.FileSelector(f"{base}/{STAGING}", allow_not_found=True))
+    gone = [i for i in staged if i.type == fs.FileType.Directory and i.mtime <= old]
+    for info in gone:
+        where.delete_dir(info.path)
+    return len(gone)
+
+
 def append_lines(lines: DataFrame, path: str, overwrite: bool = False) -> None:
     """Add lines (one text column) to a folder: all of them, or none if a task fails. Nulls and line breaks are errors."""
     register(lines.sparkSession)
