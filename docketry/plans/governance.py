@@ -92,6 +92,12 @@ def ignored_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.insert_ignore(pages.where("page_id < 20"), pages.where("page_id >= 20"), ["content"], ["citation"], order=["page_id"])
 
 
+def inserted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents go in, in the order of their ids, if both their content and their source with their length are unique."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("content"))
+    return changes.insert_ignore(docs.limit(0), docs, ["content"], ["source", "n_chars"], order=["doc_id"])
+
+
 def replaced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages per document after every fourth document was parsed anew into two, every eighth into none."""
     old = view(spark, sf_dir, "source_span").select("span_id", "source_document_id", "heading")
@@ -119,6 +125,7 @@ QUERIES = {
     "fees_by_organization": fees_by_organization,
     "contact_upsert": contact_upsert,
     "ignored_inserts": ignored_inserts,
+    "inserted_documents": inserted_documents,
     "replaced_spans": replaced_spans,
     "pruned_jobs": pruned_jobs,
 }
@@ -147,6 +154,11 @@ r as (select 0::bigint as n, (select list(content) from p where page_id < 20) as
   union all select n.n, case when v.ok then list_append(contents, content) else contents end, case when v.ok then list_append(citations, citation) else citations end, v.ok
   from r join n on n.n = r.n + 1, lateral (select not list_contains(coalesce(contents, []), content) and not coalesce(list_contains(citations, citation), false) as ok) v)
 select page_id, content, citation from n join r using (n) where ok""",
+    "inserted_documents": """with recursive d as (select doc_id, source, n_chars, sha256(text) as content, source || ':' || n_chars as named, row_number() over (order by doc_id) as n from documents),
+r as (select 0::bigint as n, []::varchar[] as contents, []::varchar[] as names, false as ok
+  union all select d.n, case when v.ok then list_append(contents, content) else contents end, case when v.ok then list_append(names, named) else names end, v.ok
+  from r join d on d.n = r.n + 1, lateral (select not coalesce(list_contains(contents, content), false) and not coalesce(list_contains(names, named), false) as ok) v)
+select doc_id, source, n_chars, content from d join r using (n) where ok""",
     "replaced_spans": f"""{with_views("source_span")}, s as (select source_document_id, span_id from source_span where source_document_id % 4 <> 0
   union all select source_document_id, unnest([-1, -2]) from (select distinct source_document_id from source_span where source_document_id % 8 = 4))
 select source_document_id, count(*) as spans, min(span_id) as first from s group by source_document_id""",
