@@ -5,16 +5,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
-import json
 import re
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.access import PHI_TABLES, is_phi
-from docketry.functions.texts import LONG_TEXT, PERSONAL, redact
+from docketry.functions.texts import redact, redact_lines
+from docketry.runtime import fresh, partitions
 
 #: Names of fields that hold clinical or personal content, in small letters and digits.
 SENSITIVE = (
@@ -26,7 +26,7 @@ SENSITIVE = (
     "output", "buffer", "file", "password", "passwordhash", "secret", "token", "totpsecret", "apikey",
     "authorization", "cookie",
 )
-DEEPEST, MOST_ITEMS = 6, 32
+DEEPEST, MOST_ITEMS, STACK_LINES = 6, 32, 12
 
 
 class RestrictedTableError(Exception):
@@ -84,34 +84,70 @@ def _redacted(c: Column, kind: T.DataType, depth: int, sensitive: bool) -> Colum
     return kept
 
 
+def _quoted(c: Column) -> Column:
+    """A text as JSON, null for null."""
+    return F.get(F.transform(F.array(F.to_json(F.array(c))), lambda x: F.when(x != "[null]", F.substring(x, F.lit(2), F.length(x) - 2))), 0)
+
+
+def _members(v: Column, depth: int, one: Callable[[Column, Column], Column], leaf: Column) -> Column:
+    """JSON of a variant: of an object or array what ``one`` makes of (key, value) of each member, else ``leaf``.
+
+    Keys of array items are null; members of which nothing is made are left out. An array keeps its first items and says how many more there were.
+    """
+    fields, items = F.try_variant_get(v, "$", "map<string, variant>"), F.try_variant_get(v, "$", "array<variant>")
+    if depth >= DEEPEST:
+        return F.when(fields.isNotNull() | items.isNotNull(), F.lit('"[truncated:depth]"')).otherwise(leaf)
+    kept = F.transform(F.slice(items, 1, MOST_ITEMS), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
+    named = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    parts = F.transform(F.coalesce(named, kept), lambda e: F.concat(F.coalesce(F.concat(_quoted(e["key"]), F.lit(":")), F.lit("")), one(e["key"], e["value"])))
+    more = F.when(F.size(items) > MOST_ITEMS, F.concat(F.lit('"[+'), (F.size(items) - MOST_ITEMS).cast("string"), F.lit(' more]"')))
+    inside = F.array_join(F.array_compact(F.concat(parts, F.array(more))), ",")
+    # one mention of what is inside: with two, the expression would double at every level
+    ends = lambda a, b: F.when(fields.isNotNull(), F.lit(a)).otherwise(F.lit(b))
+    return F.coalesce(F.concat(ends("{", "["), inside, ends("}", "]")), leaf)
+
+
+def _walked(v: Column, depth: int) -> Column:
+    """Redacted JSON of a variant that lies so deep; null if there is none."""
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    leaf = F.coalesce(_quoted(redact(text)), F.to_json(v))
+    return _members(v, depth, lambda k, x: F.when(sensitive_key(k), F.lit('"[redacted]"')).otherwise(_walked(x, depth + 1)), leaf)
+
+
 def redact_json(c: Column) -> Column:
-    """Free JSON redacted at any depth; null if it is no JSON. Its shape is unknown, so this is Python."""
-    rules = [(re.compile(p, re.ASCII), f"[redacted:{k}]") for k, p in PERSONAL.items()]
-
-    def clean(v, depth):
-        if isinstance(v, str):
-            for p, label in rules:
-                v = p.sub(label, v)
-            return f"[redacted:{len(v)} chars]" if len(v) > LONG_TEXT else v
-        if not isinstance(v, (list, dict)):
-            return v
-        if depth >= DEEPEST:
-            return "[truncated:depth]"
-        if isinstance(v, list):
-            return [clean(x, depth + 1) for x in v[:MOST_ITEMS]] + ([f"[+{len(v) - MOST_ITEMS} more]"] if len(v) > MOST_ITEMS else [])
-        return {k: "[redacted]" if is_sensitive(k) else clean(x, depth + 1) for k, x in v.items()}
-
-    @F.pandas_udf("string")
-    def apply(values: pd.Series) -> pd.Series:
-        def one(v):
-            try:
-                return None if v is None else json.dumps(clean(json.loads(v), 0), ensure_ascii=False, separators=(",", ":"))
-            except ValueError:
-                return None
-
-        return values.map(one)
-
-    return apply(c)
+    """Free JSON redacted to the depth of DEEPEST, what lies deeper truncated; null if it is no JSON.
+
+    A walk over a variant by Spark's own functions, unrolled level by level. Keys of an object
+    come in the order of their characters. An object that names a key twice is no JSON.
+    """
+    return _walked(F.try_parse_json(c), 0)
+
+
+def redact_error(c: Column) -> Column:
+    """JSON of an error, {name, message, stack, cause and whatever else}, redacted; null if it is no JSON.
+
+    Its name stays, its message is redacted as a text, of its stack the first STACK_LINES
+    lines, each as a text. A cause that has a message is an error as well, up to DEEPEST of
+    them, and comes last; all else is redacted as any JSON is.
+    """
+    v = F.try_parse_json(c)
+    at = lambda n, more="": F.try_variant_get(v, "$" + ".cause" * n + more, "variant")
+    is_error = [F.schema_of_variant(at(n, ".message")) == "STRING" for n in range(1, DEEPEST + 2)]
+    # errors from the outermost on: so many of the causes that each holds the next
+    causes = F.array_position(F.array(*[F.coalesce(e, F.lit(False)) for e in is_error], F.lit(False)), False).cast("int") - 1
+    chain = F.slice(F.array(*map(at, range(DEEPEST + 1))), 1, causes + 1)
+
+    def own(key: Column, value: Column) -> Column:
+        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+        lines = F.array_join(redact_lines(F.slice(F.split(text, "\n"), 1, STACK_LINES)), "\n")
+        said = F.when(key == "name", _quoted(text)).when(key == "message", _quoted(redact(text))).when(key == "stack", _quoted(lines))
+        return F.coalesce(said, F.when(sensitive_key(key), F.lit('"[redacted]"')).otherwise(_walked(value, 1)))
+
+    caused = lambda x: F.coalesce(F.schema_of_variant(F.try_variant_get(x, "$.cause.message", "variant")) == "STRING", F.lit(False))
+    levels = F.transform(chain, lambda x: _members(x, 0, lambda k, y: F.when(~((k == "cause") & caused(x)), own(k, y)), _walked(x, DEEPEST)))
+    inner = F.when(causes > DEEPEST, F.lit('"[truncated:depth]"'))
+    opened = lambda t: F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.when(t == "{}", F.lit("")).otherwise(F.lit(",")))
+    return F.aggregate(F.reverse(levels), inner, lambda found, t: F.when(found.isNull(), t).otherwise(F.concat(opened(t), F.lit('"cause":'), found, F.lit("}"))))
 
 
 def encryption_key(secret: str, info: str = "column-encryption") -> bytes:
@@ -145,11 +181,33 @@ def audit_rows(events: DataFrame) -> DataFrame:
 def visible_to(rows: DataFrame, principals: DataFrame, key: str = "organization_id") -> DataFrame:
     """(user_id, rows): what each principal may see: superadmins all, others the organizations in scope.
 
-    principals: user_id, superadmin, scope (organization ids). The organizations, some
-    thousands, are listed in one row for the superadmins.
+    principals: user_id, superadmin, scope (organization ids). Superadmins meet the keys in
+    as many lots as there are shuffle partitions, so no task holds all keys. Every row comes
+    once for each who sees it; for figures of what they see take ``totals_visible_to``.
     """
-    scoped = principals.where(~F.col("superadmin")).select("user_id", F.explode(F.array_distinct("scope")).alias(key))
-    # every superadmin meets every key: one row of few keys is handed out whole, key by key
-    keys = rows.select(key).distinct().select(F.struct(key).alias("_k")).agg(F.collect_set("_k").alias("_keys")).withColumn("_all", F.lit(True))
-    everywhere = principals.where("superadmin").withColumn("_all", F.lit(True)).join(keys, "_all").select("user_id", F.explode("_keys").alias("_k")).select("user_id", f"_k.{key}")
-    return rows.join(scoped.unionByName(everywhere.select("user_id", key)), key)
+    keys = rows.select(key).distinct()
+    lot, lots = fresh(keys.columns + ["user_id"], "lot"), partitions(rows.sparkSession)
+    everywhere = _superadmins(principals).withColumn(lot, F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    met = everywhere.join(keys.withColumn(lot, F.pmod(F.xxhash64(key), F.lit(lots)).cast("int")), lot).drop(lot)
+    return rows.join(_scoped(principals, key).unionByName(met.select("user_id", key)), key)
+
+
+def totals_visible_to(rows: DataFrame, principals: DataFrame, sums: Sequence[str], key: str = "organization_id") -> DataFrame:
+    """(user_id, sums): sums over all rows that each principal may see, see ``visible_to``.
+
+    Rows are summed by key first; superadmins get the one row of all sums, whatever the
+    number of keys. Principals who see no row have none; rows without a key are nobody's.
+    """
+    by_key = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("_n"))
+    whole = by_key.agg(*[F.sum(c).alias(c) for c in sums], F.sum("_n").alias("_n")).where("_n > 0").withColumn("_all", F.lit(True))
+    everywhere = _superadmins(principals).withColumn("_all", F.lit(True)).join(whole, "_all").select("user_id", *sums)
+    own = _scoped(principals, key).join(by_key, key).groupBy("user_id").agg(*[F.sum(c).alias(c) for c in sums])
+    return own.unionByName(everywhere)
+
+
+def _scoped(principals: DataFrame, key: str) -> DataFrame:
+    return principals.where(~F.coalesce("superadmin", F.lit(False))).select("user_id", F.explode(F.array_distinct("scope")).alias(key))
+
+
+def _superadmins(principals: DataFrame) -> DataFrame:
+    return principals.where("superadmin").select("user_id")

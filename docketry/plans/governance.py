@@ -39,7 +39,16 @@ def visible_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = view(spark, sf_dir, "app_user").where("status = 'active'").join(scope, "user_id", "left")
     principals = users.select("user_id", (F.col("platform_role") == "superadmin").alias("superadmin"), "scope")
     totals = view(spark, sf_dir, "denial").groupBy("organization_id").agg(F.count("*").alias("n"), F.sum("claim_cents").alias("c"))
-    return governance.visible_to(totals, principals).groupBy("user_id").agg(F.sum("n").alias("cases"), F.sum("c").alias("claim_cents"))
+    return governance.totals_visible_to(totals, principals, ["n", "c"]).select("user_id", F.col("n").alias("cases"), F.col("c").alias("claim_cents"))
+
+
+def visible_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The organizations with cases that each active user may see, row by row."""
+    scope = view(spark, sf_dir, "member").groupBy("user_id").agg(F.collect_set("organization_id").alias("scope"))
+    users = view(spark, sf_dir, "app_user").where("status = 'active'").join(scope, "user_id", "left")
+    principals = users.select("user_id", (F.col("platform_role") == "superadmin").alias("superadmin"), "scope")
+    cases = view(spark, sf_dir, "denial").groupBy("organization_id").agg(F.count("*").alias("cases"))
+    return governance.visible_to(cases, principals).select("user_id", "organization_id", "cases")
 
 
 def redacted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +67,17 @@ def redacted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", governance.redact_json(body).alias("json"))
 
 
+def redacted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors with stacks, causes and the row that a driver attached to them, redacted."""
+    k = F.col("event_id").cast("string")
+    stack = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("at line "), i.cast("string"), F.lit(" of a"), k, F.lit("@b.org"))), "\n")
+    row = F.struct(F.lit("Ann").alias("Patient_Name"), F.col("event_id").alias("n"), F.array(F.lit("on 1/2/1999")).alias("seen"))
+    root = F.struct(F.lit("TypeError").alias("name"), F.concat(F.lit("bad ssn 123-45-6789 in "), k).alias("message"))
+    error = F.struct(F.lit("DatabaseError").alias("name"), F.concat(F.lit("mail a"), k, F.lit("@b.org refused")).alias("message"), stack.alias("stack"), row.alias("row"),
+        F.when(F.col("event_id") % 3 == 0, root).alias("cause"))
+    return table(spark, sf_dir, "events").select("event_id", governance.redact_error(F.to_json(error)).alias("error"))
+
+
 def encrypted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that went through encryption and back; no two ciphertexts are alike."""
     key = governance.encryption_key("a secret that is no key")
@@ -119,8 +139,10 @@ QUERIES = {
     "two_factor": two_factor,
     "routes": routes,
     "visible_cases": visible_cases,
+    "visible_organizations": visible_organizations,
     "redacted_records": redacted_records,
     "redacted_json": redacted_json,
+    "redacted_errors": redacted_errors,
     "encrypted_names": encrypted_names,
     "fees_by_organization": fees_by_organization,
     "contact_upsert": contact_upsert,
@@ -140,10 +162,16 @@ select page_id, path, case when regexp_matches(path, '^/admin(/|$)') then 'admin
     "visible_cases": f"""{with_views("member", "reviewer_assignment", "app_user", "denial")}, s as (select user_id, organization_id from member union select user_id, organization_id from reviewer_assignment
   union select user_id, organization_id from app_user, (select distinct organization_id from denial) where platform_role = 'superadmin')
 select user_id, count(*) as cases, sum(claim_cents)::bigint as claim_cents from app_user u join s using (user_id) join denial using (organization_id) where u.status = 'active' group by user_id""",
+    "visible_organizations": f"""{with_views("member", "app_user", "denial")}, c as (select organization_id, count(*) as cases from denial group by organization_id),
+s as (select user_id, organization_id from member union select user_id, organization_id from app_user, c where platform_role = 'superadmin')
+select user_id, organization_id, cases from app_user u join s using (user_id) join c using (organization_id) where u.status = 'active'""",
     "redacted_records": """select c_custkey, '[redacted]' as name, 'call [redacted:phone] on [redacted:date], ' || c_mktsegment as remark, '[redacted]' as ssn, c_nationkey as nation,
   case when c_custkey % 4 < 2 then 33 else 34 - c_custkey % 4 end::integer as items, case when c_custkey % 4 < 2 then '[+' || (2 - c_custkey % 4) || ' more]' else (34 - c_custkey % 4)::varchar end as last_item,
   case when length(c_mktsegment) * 20 > 160 then '[redacted:' || length(c_mktsegment) * 20 || ' chars]' else repeat(c_mktsegment, 20) end as longish, '[binary:' || strlen(c_name) || ' bytes]' as raw from customer""",
     "redacted_json": """select event_id, '{"Patient-Name":"[redacted]","k":' || (props->>'$.k') || ',"list":["mail [redacted:email]",{"email":"[redacted]"}]}' as json from events""",
+    "redacted_errors": """select event_id, '{"message":"mail [redacted:email] refused","name":"DatabaseError","row":{"Patient_Name":"[redacted]","n":' || event_id || ',"seen":["on [redacted:date]"]},"stack":"'
+  || array_to_string(list_transform(range(1, 13), lambda i: 'at line ' || i || ' of [redacted:email]'), '\\n') || '"'
+  || case when event_id % 3 = 0 then ',"cause":{"message":"bad ssn [redacted:ssn] in ' || event_id || '","name":"TypeError"}' else '' end || '}' as error from events""",
     "encrypted_names": "select c_custkey, case when c_custkey % 5 <> 0 then c_name end as name, false as leaks, c_custkey % 5 <> 0 as sealed from customer",
     "fees_by_organization": f"{with_views('invoice')} select organization_id, sum(fee_cents)::bigint as fee_cents from invoice group by organization_id",
     "contact_upsert": f"""{with_views("contact")}, n as (select case when contact_id % 2 = 0 then contact_id + 1000000 else contact_id end as contact_id, case when contact_id % 9 <> 0 then 'renamed' end as full_name from contact where contact_id % 3 = 0)

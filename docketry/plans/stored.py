@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.plans import events
 from docketry.runtime import ensure_checkpoint_dir, table
 from docketry.sources import documents, store
+from docketry.streaming import incremental
 
 
 def _folder(spark: SparkSession) -> str:
@@ -59,8 +62,53 @@ def open_data_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(read.select(F.concat(F.lit("DAB No. "), F.col("decision_number")).alias("citation"), "place"), "citation")
 
 
-QUERIES = {"written_orders": written_orders, "log_written": log_written, "stored_objects": stored_objects, "open_data_pages": open_data_pages}
+def _sentences(text: str) -> list[dict]:
+    return [{"ordinal": n, "chars": len(s)} for n, s in enumerate(text.split(". ")) if s]
+
+
+def staged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by document, version and run of a resumable stage that is run three times.
+
+    Between the first two runs nothing lands, so the second makes nothing. Before the third
+    every other document lands again and every sixth of all has changed.
+    """
+    path, k = _folder(spark), F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(k, "text", F.lit(1).alias("at"))
+    again = docs.where(k % 2 == 0).withColumns({"text": F.when(k % 6 == 0, F.concat("text", F.lit(". Amended"))).otherwise(F.col("text")), "at": F.lit(2)})
+    for run, landed in enumerate((docs, None, again), 1):
+        if landed is not None:
+            landed.withColumn("at", F.timestamp_seconds("at")).write.mode("append").parquet(f"{path}/landed")
+        incremental.run_versions(
+            spark, f"{path}/landed", "doc_id long, text string, at timestamp", f"{path}/parts", f"{path}/state", _sentences, "ordinal int, chars int", run=F.lit(run)
+        ).awaitTermination()
+    made = spark.read.parquet(f"{path}/parts")
+    now = incremental.current(made).select("doc_id", "version").distinct().withColumn("current", F.lit(True))
+    counts = made.groupBy("doc_id", "version", "run").agg(F.count("*").alias("sentences"), F.sum("chars").alias("chars"))
+    return counts.join(now, ["doc_id", "version"], "left").withColumn("current", F.coalesce("current", F.lit(False)))
+
+
+def limited_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each event of a stream that arrives in two halves is within its user's limit, decided with the state of open windows."""
+    path = _folder(spark)
+    hits = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("hit_id"))
+    half = hits.agg(F.percentile_approx(F.unix_micros("at"), 0.5).alias("half"))
+    cut = hits.join(F.broadcast(half)).withColumn("late", F.unix_micros("at") > F.col("half")).drop("half")
+    for late in (False, True):
+        cut.where(F.col("late") == late).drop("late").write.mode("append").parquet(f"{path}/landed")
+        found = incremental.rate_limit_stream(spark.readStream.schema("key string, at timestamp, hit_id long").parquet(f"{path}/landed"), 3, 6 * 3600)
+        found.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/decided").awaitTermination()
+    return spark.read.parquet(f"{path}/decided")
+
+
+_LIMITED = re.sub(r"user_id as key", "user_id::varchar as key", events.ORACLE["rate_limits"])
+QUERIES = {"staged_documents": staged_documents, "limited_stream": limited_stream, "written_orders": written_orders, "log_written": log_written, "stored_objects": stored_objects, "open_data_pages": open_data_pages}
 ORACLE = {
+    "staged_documents": """with t as (select doc_id, coalesce(text, '') as text from documents), a as (select doc_id, list_filter(string_split(text, '. '), lambda s: s <> '') as s from t),
+b as (select doc_id, list_filter(string_split(case when doc_id % 6 = 0 then text || '. Amended' else text end, '. '), lambda s: s <> '') as s from documents where doc_id % 6 = 0 and text is not null),
+v as (select doc_id, 1 as version, 1 as run, s from a union all select doc_id, case when len(a.s) > 0 then 2 else 1 end, 3, b.s from b join a using (doc_id)),
+c as (select doc_id, version, run, len(s) as sentences, list_sum(list_transform(s, lambda x: length(x)))::bigint as chars from v where len(s) > 0)
+select *, run = max(run) over (partition by doc_id) as current from c""",
+    "limited_stream": _LIMITED,
     "written_orders": """select left(sha256('["' || o_orderkey || '"]'), 32) as order_id, o_orderkey, case when o_orderkey % 5 <> 0 then o_orderstatus end as status from orders""",
     "log_written": """select '{"level":"' || ['debug', 'info', 'warn', 'error'][event_id % 4 + 1] || '","at":"' || strftime(to_timestamp(event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') || '","msg":"mail [redacted:email]","event_id":' || event_id
   || ',"state":' || case when event_id % 3 = 0 then '"x"' else 'null' end || ',"ssn":"[redacted]"}' as value from events where event_id % 4 >= 2""",
