@@ -14,6 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def run_stage(
@@ -150,7 +151,15 @@ def run_versions(
     work = Versions(cut, made.names, None if forget_after is None else round(forget_after * 1000))
     found = rows.groupBy("document").transformWithStateInPandas(work, out, "append", "none" if forget_after is None else "processingTime")
     named = found.toDF(key, "version", *made.names).withColumns(constants)
-    return named.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    writer = named.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if forget_after is None:
+        return writer.start(target)
+    empty = spark.conf.get(EMPTY_BATCHES)
+    spark.conf.set(EMPTY_BATCHES, "false")  # by processing time another batch is always due, and the run would never end
+    try:
+        return writer.start(target)
+    finally:
+        spark.conf.set(EMPTY_BATCHES, empty)
 
 
 def current(parts: DataFrame, key: str = "doc_id") -> DataFrame:
