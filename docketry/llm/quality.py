@@ -3,17 +3,24 @@
 Every text gets its counts within its own row. Documents of one language and source
 form a group; their transformed counts are points. Each group's location and scatter are
 minimum-covariance-determinant estimates: from two starts, concentration steps keep the
-share H of points that are nearest by Mahalanobis distance and estimate anew, which never
-raises the determinant, until no determinant falls any more; the start that ends lower
-counts. Distances are scaled so that their median in a group is that of a chi-squared
-variable, which makes up for the points left out. A document far from its group is
-rejected. Groups are small tables of moments, so a step is one aggregation that is
-combined before it is shuffled, and a join with a table of counted rows.
+share H of points that are nearest by Mahalanobis distance and estimate anew, until a
+start's determinant falls no more; the start that ends lower counts. Scatter is scaled so
+that the median distance in a group is that of a chi-squared variable, which makes up for
+the points left out. The estimate of n points counts n squared against SHRINK squared of
+its language over all sources, whose own counts alike against that of all documents, so
+groups of any size have one, and a document more changes none by a leap. A document far
+from its group is rejected.
+
+A step is one aggregation, combined before it is shuffled: counts and moments of the
+points by fine bins of their distance, so shares and medians come from whole counts,
+however the rows are dealt, and groups stay small tables that rows meet by a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.runtime import checkpoint, table
@@ -21,15 +28,11 @@ from docketry.runtime import checkpoint, table
 #: Words are runs of other characters than these, symbols are these.
 SPACES, SYMBOLS = r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 FEW_WORDS = 50
-#: Share of points kept by a step, most steps, the fall of a log determinant that asks for
-#: another, and points below which a group is judged by a wider one.
-H, STEPS, FALL, LEAST = 0.75, 20, 1e-3, 50
+#: Share of points kept by a step, the fall of a log determinant that asks for another,
+#: bins of distance in a doubling, and the points that count as much as the wider group.
+H, FALL, BINS, SHRINK = 0.75, 1e-3, 32, 50
 #: Squared distance beyond which a document is an outlier, in units where the median is
-#: that of a chi-squared variable with as many degrees as there are dimensions. The cutoff
-#: is fitted on labelled documents: at scale 0.1 the farthest of those labelled good lies
-#: at 75, the nearest of those labelled bad that pass the base rules at 1,337. Lengths of
-#: texts have heavy tails, so that variable's 0.975 quantile, 11.1, would reject a seventh
-#: of the good ones.
+#: that of a chi-squared variable with as many degrees as there are dimensions.
 CUTOFF, MEDIAN = 250.0, 3.357
 #: Up to so many groups and starts are broadcast.
 BROADCAST_GROUPS = 100_000
@@ -116,74 +119,106 @@ def _squared_distance() -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _estimate(kept: DataFrame) -> DataFrame:
-    """Mean, Cholesky factor and log determinant of each group and start."""
-    cov = {(i, j): F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)}
-    e = kept.groupBy("grp", "start").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(P)], *cov.values())
-    for i in range(P):
-        for j in range(i + 1):
-            v = F.col(f"c{i}{j}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
-    return e.select("grp", "start", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00")).alias("det"))
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
+MEANS, FACTOR, COVS = [f"m{i}" for i in range(P)], [f"l{i}{j}" for i, j in LOWER], [f"c{i}{j}" for i, j in LOWER]
 
 
-def _met(rows: DataFrame, groups: DataFrame, on: str = "grp", how: str = "inner") -> DataFrame:
-    """rows with what is known of their groups; a counted few are broadcast, so a large group's rows stay where they are."""
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, on, how)
+def _factored(e: DataFrame) -> DataFrame:
+    """e with the Cholesky factor of its covariances and ``det``, the log of the factor's determinant."""
+    for i, j in LOWER:
+        v = F.col(f"c{i}{j}")
+        for k in range(j):
+            v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        e = e.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
+    return e.withColumn("det", sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00")))
 
 
-def minimum_determinants(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """The estimate of each ``grp`` of rows with coordinates x0..., and ``scale`` of its distances.
+def _met(rows: DataFrame, groups: DataFrame, n: int, on: str = "grp", how: str = "inner") -> DataFrame:
+    """rows with what is known of their n groups; a counted few are broadcast, so a large group's rows stay where they are."""
+    return rows.join(F.broadcast(groups) if n <= BROADCAST_GROUPS else groups, on, how)
 
-    Groups of fewer than ``least`` rows have none.
-    """
-    middle = rows.groupBy("grp").agg(
-        F.count("*").alias("n"),
-        *[F.percentile_approx(f"x{i}", 0.5).alias(f"a{i}") for i in range(P)],
-        *[F.avg(f"x{i}").alias(f"b{i}") for i in range(P)],
-        *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(P)],
-    )
-    middle = checkpoint(middle.where(F.col("n") >= least))
-    around = _met(rows, middle).groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"a{i}")), 0.5).alias(f"d{i}") for i in range(P)])
-    spread = checkpoint(around.join(middle, "grp"))
-    zeros = {f"l{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)}
-    first = lambda name, at, sd: spread.select(
-        "grp", F.lit(name).alias("start"), *[F.col(f"{at}{i}").alias(f"m{i}") for i in range(P)],
-        *[F.greatest(F.col(f"{sd}{i}"), F.lit(FLOOR[i])).alias(f"l{i}{i}") for i in range(P)],
-        *[v.alias(k) for k, v in zeros.items()], F.lit(None).cast("double").alias("det"),
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two starts of each ``grp``: median and median deviation, mean and standard deviation, from bins of each coordinate."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in range(P)]))
+    bins = rows.select("grp", each.alias("p")).select("grp", "p.*").groupBy("grp", "i", F.floor(64 * F.log1p("x")).alias("bin"))
+    bins = bins.agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).withColumn("x", F.col("s") / F.col("n"))
+    whole = Window.partitionBy("grp", "i")
+    half = lambda by: 2 * F.sum("n").over(whole.orderBy(by, "bin")) >= F.sum("n").over(whole)
+    bins = bins.withColumn("upper", half("x"))
+    bins = bins.withColumn("middle", F.min(F.when(F.col("upper"), F.col("x"))).over(whole))
+    bins = bins.withColumn("off", F.abs(F.col("x") - F.col("middle"))).withColumn("wide", half("off"))
+    mean = F.sum("s") / F.sum("n")
+    of = bins.groupBy("grp", "i").agg(
+        F.first("middle").alias("a"), F.min(F.when(F.col("wide"), F.col("off"))).alias("d"),
+        mean.alias("b"), F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0))).alias("s"),
     )
-    estimate = checkpoint(first("median", "a", "d").unionByName(first("mean", "b", "s")))
-    for _ in range(STEPS):
-        far = _met(rows, estimate).withColumn("d2", _squared_distance())
-        limit = checkpoint(far.groupBy("grp", "start").agg(F.percentile_approx("d2", H).alias("limit"), F.first("det").alias("before")))
-        near = _met(rows, estimate.drop("det").join(limit, ["grp", "start"])).withColumn("d2", _squared_distance()).where(F.col("d2") <= F.col("limit"))
-        estimate = checkpoint(_estimate(near))
-        fell = estimate.join(limit, ["grp", "start"]).where(F.col("before").isNull() | (F.col("det") < F.col("before") - FALL))
-        if fell.isEmpty():
-            break
-    lowest = estimate.groupBy("grp").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
-    best = checkpoint(estimate.join(lowest, ["grp", "start"]))
-    scale = _met(rows, best).groupBy("grp").agg(F.percentile_approx(_squared_distance(), 0.5).alias("scale"))
-    return best.join(scale, "grp")
+    at = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    of = of.groupBy("grp").agg(*[at(c, i).alias(f"{c}{i}") for c in "adbs" for i in range(P)])
+    first = lambda name, m, sd: of.select(
+        "grp", F.lit(name).alias("start"), *[F.col(f"{m}{i}").alias(f"m{i}") for i in range(P)],
+        *[(F.greatest(F.col(f"{sd}{i}"), F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in LOWER],
+        *[F.lit(None).cast("double").alias(c) for c in COVS], F.lit(None).cast("double").alias("det"),
+    )
+    return first("median", "a", "d").unionByName(first("mean", "b", "s"))
+
+
+def _step(rows: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
+    """estimate with ``n``, ``scale``, the median distance of its group's points, and ``next``, what the nearest of them give."""
+    y = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
+    met = _met(rows, estimate.select("grp", "start", *MEANS, *FACTOR), groups)
+    sums = {"n": F.count("*")} | {f"y{i}": F.sum(y[i]) for i in range(P)} | {f"y{i}{j}": F.sum(y[i] * y[j]) for i, j in LOWER}
+    bin_of = F.floor(BINS * F.log2(F.greatest(_squared_distance(), F.lit(2.0**-20))))
+    bins = met.groupBy("grp", "start", bin_of.alias("bin")).agg(*[v.alias(k) for k, v in sums.items()])
+    whole = Window.partitionBy("grp", "start")
+    bins = bins.withColumn("upto", F.sum("n").over(whole.orderBy("bin"))).withColumn("all", F.sum("n").over(whole))
+    near = F.col("upto") - F.col("n") < H * F.col("all")
+    of = bins.groupBy("grp", "start").agg(
+        F.first("all").alias("n"),
+        F.pow(F.lit(2.0), (F.min(F.when(2 * F.col("upto") >= F.col("all"), F.col("bin"))) + 0.5) / BINS).alias("scale"),
+        *[F.sum(F.when(near, F.col(k))).alias(f"near_{k}") for k in sums],
+    )
+    share = lambda k: F.col(f"near_{k}") / F.col("near_n")
+    of = estimate.select("grp", "start", *MEANS, F.col("det").alias("before"), *[F.col(c).alias(f"before_{c}") for c in COVS]).join(of, ["grp", "start"])
+    floor = lambda i, j: FLOOR[i] ** 2 if i == j else 0.0
+    of = of.withColumns({f"c{i}{j}": share(f"y{i}{j}") - share(f"y{i}") * share(f"y{j}") + F.lit(floor(i, j)) for i, j in LOWER})
+    of = _factored(of.withColumns({f"next_m{i}": F.col(f"m{i}") + share(f"y{i}") for i in range(P)}))
+    return of.withColumn("falls", F.col("before").isNull() | (F.col("det") < F.col("before") - FALL))
 
 
-def judges(rows: DataFrame) -> DataFrame:
-    """For each ``grp`` of rows: ``pool``, whose estimate judges it, and ``pools``, whose estimates it takes part in.
+def minimum_determinants(rows: DataFrame) -> DataFrame:
+    """The estimate of each ``grp`` of rows with coordinates x0...: ``n``, means and scaled covariances.
 
-    A group of fewer than LEAST documents that pass the base rules is judged by those of
-    its ``lng`` in all sources, and where they are too few as well by all of the corpus.
+    A start that falls no more is put aside. Every other falls by FALL, and FLOOR bounds
+    determinants from below, so all end.
     """
-    n = rows.groupBy("lng", "grp").agg(F.count_if(~F.col("base_failed")).alias("n"))
-    n = checkpoint(n.withColumn("small", F.col("n") < LEAST))
-    lng = n.groupBy("lng").agg(F.sum("n").alias("of_lng"), F.bool_or("small").alias("asked"))
-    own, wide, corpus = F.concat(F.lit("g"), "grp"), F.concat(F.lit("l"), "lng"), F.lit("c")
-    enough = F.col("of_lng") >= LEAST
-    of = checkpoint(n.join(lng, "lng"))
-    short = not of.where(F.col("small") & ~enough).isEmpty()
-    pools = F.array(F.when(~F.col("small"), own), F.when(F.col("asked") & enough, wide), F.when(F.lit(short), corpus))
-    return of.select("grp", F.when(~F.col("small"), own).when(enough, wide).otherwise(corpus).alias("pool"), F.array_compact(pools).alias("pools"))
+    estimate = checkpoint(_starts(rows))
+    groups, ended = estimate.count(), []
+    while True:
+        stepped = checkpoint(_step(rows, estimate, groups))
+        ended.append(stepped.where(~F.col("falls")).select("grp", "start", "n", "scale", "before", *MEANS, *[F.col(f"before_{c}").alias(c) for c in COVS]))
+        estimate = stepped.where("falls").select("grp", "start", *[F.col(f"next_{m}").alias(m) for m in MEANS], *FACTOR, *COVS, "det")
+        groups = estimate.count()
+        if not groups:
+            break
+    best = reduce(DataFrame.unionByName, ended).groupBy("grp").agg(F.min_by(F.struct("n", "scale", *MEANS, *COVS), F.struct("before", "start")).alias("e")).select("grp", "e.*")
+    return best.select("grp", "n", *MEANS, *[(F.col(c) * F.greatest("scale", F.lit(0.1)) / MEDIAN).alias(c) for c in COVS])
+
+
+def judges(groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """What judges each ``grp`` of ``lng``: its estimate joined with its language's and that with the corpus's, by SHRINK."""
+    own, wide, corpus = ("g", "grp"), ("l", "lng"), ("c", None)
+    out = groups
+    for k, column in (own, wide, corpus):
+        named = estimates.select(F.col("grp").alias("_pool"), *[F.col(c).alias(f"{k}_{c}") for c in ("n", *MEANS, *COVS)])
+        pool = F.lit(k) if column is None else F.concat(F.lit(k), column)
+        out = out.withColumn("_pool", pool).join(named, "_pool", "left").drop("_pool")
+
+    def joined(k: str, c: str, wider: Column) -> Column:
+        own = F.pow(F.coalesce(F.col(f"{k}_n"), F.lit(0)) / SHRINK, 2)
+        return (own * F.coalesce(F.col(f"{k}_{c}"), F.lit(0.0)) + wider) / (own + 1)
+
+    return _factored(out.select("grp", *[joined("g", c, joined("l", c, F.col(f"c_{c}"))).alias(c) for c in (*MEANS, *COVS)]))
 
 
 def quality_rules(
@@ -192,8 +227,8 @@ def quality_rules(
     """The id column, the five counts, ``base_failed``, ``distance2`` and ``kept``.
 
     A null text has no words and fails. Null languages and sources form groups of their
-    own. Documents that fail take no part in the estimates; groups of fewer than LEAST
-    others are judged by a wider one (see judges). The distance is null only if no
+    own. Documents that fail take no part in the estimates; those of groups in which all
+    fail are measured by their language and the corpus. The distance is null only if no
     document passes. Repeated rows and null ids are judged each, an empty table gives an
     empty result, further columns are not carried.
     """
@@ -201,11 +236,11 @@ def quality_rules(
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), mark(lang_col).alias("lng"), F.concat(mark(lang_col), F.lit("\n"), mark(source_col)).alias("grp"))
     rows = text_counts(named, "_id", "_text", ("lng", "grp")).withColumn("base_failed", base_failed())
     rows = checkpoint(rows.withColumns({f"x{i}": x for i, x in enumerate(points())}))
-    judge = checkpoint(judges(rows))
-    members = _met(rows.where(~F.col("base_failed")), judge).select(F.explode("pools").alias("grp"), *[f"x{i}" for i in range(P)])
-    estimate = checkpoint(minimum_determinants(members, 1)).withColumnRenamed("grp", "pool")
-    judge = checkpoint(judge.select("grp", "pool").join(estimate, "pool", "left"))
-    judged = _met(rows, judge, how="left").withColumn("distance2", _squared_distance() * MEDIAN / F.greatest("scale", F.lit(0.1)))
+    pools = F.array(F.concat(F.lit("g"), "grp"), F.concat(F.lit("l"), "lng"), F.lit("c"))
+    members = rows.where(~F.col("base_failed")).select(F.explode(pools).alias("grp"), *[f"x{i}" for i in range(P)])
+    estimates = checkpoint(minimum_determinants(members))
+    judge = checkpoint(judges(rows.select("grp", "lng").distinct(), estimates))
+    judged = _met(rows, judge, judge.count(), how="left").withColumn("distance2", _squared_distance())
     fine = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))
     return judged.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", fine.alias("kept")
