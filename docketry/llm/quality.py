@@ -206,13 +206,11 @@ def minimum_determinants(rows: DataFrame) -> DataFrame:
 
 
 def judges(groups: DataFrame, estimates: DataFrame) -> DataFrame:
-    """What judges each ``grp`` of ``lng``: its estimate joined with its language's and that with the corpus's, by SHRINK."""
-    own, wide, corpus = ("g", "grp"), ("l", "lng"), ("c", None)
+    """What judges each ``grp`` of ``lng`` and ``corpus``, an empty text: its estimate joined with its language's and that with the corpus's, by SHRINK."""
     out = groups
-    for k, column in (own, wide, corpus):
+    for k, column in (("g", "grp"), ("l", "lng"), ("c", "corpus")):
         named = estimates.select(F.col("grp").alias("_pool"), *[F.col(c).alias(f"{k}_{c}") for c in ("n", *MEANS, *COVS)])
-        pool = F.lit(k) if column is None else F.concat(F.lit(k), column)
-        out = out.withColumn("_pool", pool).join(named, "_pool", "left").drop("_pool")
+        out = out.withColumn("_pool", F.concat(F.lit(k), column)).join(named, "_pool", "left").drop("_pool")
 
     def joined(k: str, c: str, wider: Column) -> Column:
         own = F.pow(F.coalesce(F.col(f"{k}_n"), F.lit(0)) / SHRINK, 2)
@@ -239,7 +237,8 @@ def quality_rules(
     pools = F.array(F.concat(F.lit("g"), "grp"), F.concat(F.lit("l"), "lng"), F.lit("c"))
     members = rows.where(~F.col("base_failed")).select(F.explode(pools).alias("grp"), *[f"x{i}" for i in range(P)])
     estimates = checkpoint(minimum_determinants(members))
-    judge = checkpoint(judges(rows.select("grp", "lng").distinct(), estimates))
+    groups = checkpoint(rows.select("grp", "lng", F.lit("").alias("corpus")).distinct())
+    judge = checkpoint(judges(groups, estimates))
     judged = _met(rows, judge, judge.count(), how="left").withColumn("distance2", _squared_distance())
     fine = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(True))
     return judged.select(
