@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 #: What 32-bit offsets can address.
@@ -85,3 +88,22 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def has_map(kind: DataType) -> bool:
+    """Whether a type is or holds a map, which Spark neither hashes nor compares."""
+    if isinstance(kind, ArrayType):
+        return has_map(kind.elementType)
+    return isinstance(kind, MapType) or isinstance(kind, StructType) and any(has_map(f.dataType) for f in kind.fields)
+
+
+def comparable(value: Column, kind: DataType) -> Column:
+    """A column whose maps have become arrays of their entries in the order of their keys; others are as they are."""
+    if not has_map(kind):
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: comparable(x, kind.elementType))
+    if isinstance(kind, MapType):
+        entry = lambda k: F.struct(k.alias("key"), comparable(F.element_at(value, k), kind.valueType).alias("value"))
+        return F.transform(F.sort_array(F.map_keys(value)), entry)
+    return F.when(value.isNotNull(), F.struct(*[comparable(value[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]))

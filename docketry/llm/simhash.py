@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.columns import field, fresh, released
+from docketry.llm.columns import comparable, field, fresh, released
 from docketry.llm.graph import components
 from docketry.llm.sampling import sized
 from docketry.runtime import checkpoint, partitions, table
@@ -361,12 +361,15 @@ def keep_first(
     removal is checked on the shingles; a near copy is missed if its fingerprint is too
     far off or if it meets the other in no shard. Null and empty texts are alike. A null
     id counts as larger than any other. Of several rows of one id, those come first
-    whose hash is smaller; of repeated rows one stays. An empty table stays empty.
+    whose hash is smaller; of repeated rows one stays. Maps in other columns are compared
+    by their entries, in any order. An empty table stays empty.
     """
-    tag = F.xxhash64(*docs.columns)
+    whole = {f.name: comparable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields}
+    tag = F.xxhash64(*whole.values())
     rows = checkpoint(sketches(docs, id_col, text_col, tag, words))
     if not rows.groupBy("id", "tag").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates()
+        row = fresh(docs.columns, "_row")
+        docs = docs.withColumn(row, F.struct(*[v.alias(k) for k, v in whole.items()])).dropDuplicates([row]).drop(row)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
     first = rows.groupBy("c0", "c1", "f0", "f1").agg(F.min(order).alias("first")).orderBy("first")
     texts = checkpoint(first.select(F.monotonically_increasing_id().alias("no"), "f0", "f1", "first.id", "first.tag"))

@@ -90,3 +90,14 @@ def test_components_of_a_long_chain(spark):
     links = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (1001, 1000), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert found == {**{i: 0 for i in range(n)}, 1000: 1000, 1001: 1000}
+
+
+def test_keep_first_of_rows_with_maps(spark):
+    """Rows that differ in the order of a map's entries are one row; rows of one id whose maps differ are not."""
+    text = " ".join(f"w{i}" for i in range(40))
+    kind = "doc_id long, text string, m map<string, int>, deep struct<a: array<map<int, map<string, string>>>>, _row int"
+    one, turned = [{2: {"x": "y", "z": None}, 1: None}], [{1: None, 2: {"z": None, "x": "y"}}]
+    rows = [(1, text, {"a": 1, "b": None}, (one,), 0), (1, text, {"b": None, "a": 1}, (turned,), 0), (2, text, None, None, 0), (3, "other words", {}, ([None],), 1), (3, None, {"a": 2}, (None,), 1)]
+    got = simhash.keep_first(spark.createDataFrame(rows, kind))
+    assert got.columns == ["doc_id", "text", "m", "deep", "_row"]
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == [(1, text), (3, "other words")] and got.count() == 3
