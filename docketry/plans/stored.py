@@ -100,8 +100,24 @@ def limited_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/decided")
 
 
+def claimed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by the run that claimed them: half land, are claimed, are offered again with nothing new, then the others land.
+
+    A run takes what no run of the same checkpoint took, so each job is claimed once.
+    """
+    path, k = _folder(spark), F.col("event_id")
+    jobs = table(spark, sf_dir, "events").select(k.alias("job_id"), F.col("event_type").alias("kind"), (k % 2).alias("half"))
+    for run, half in enumerate((0, None, 1), 1):
+        if half is not None:
+            jobs.where(F.col("half") == half).drop("half").write.mode("append").parquet(f"{path}/landed")
+        incremental.drain_jobs_stream(
+            spark, f"{path}/landed", "job_id long, kind string", f"{path}/claimed/run={run}", f"{path}/state", lambda batch: batch.withColumn("claim", F.concat("kind", F.lit(" claimed")))
+        ).awaitTermination()
+    return spark.read.option("basePath", f"{path}/claimed").parquet(f"{path}/claimed").select("job_id", "claim", F.col("run").cast("int").alias("run"))
+
+
 _LIMITED = re.sub(r"user_id as key", "user_id::varchar as key", events.ORACLE["rate_limits"])
-QUERIES = {"staged_documents": staged_documents, "limited_stream": limited_stream, "written_orders": written_orders, "log_written": log_written, "stored_objects": stored_objects, "open_data_pages": open_data_pages}
+QUERIES = {"staged_documents": staged_documents, "limited_stream": limited_stream, "claimed_jobs": claimed_jobs, "written_orders": written_orders, "log_written": log_written, "stored_objects": stored_objects, "open_data_pages": open_data_pages}
 ORACLE = {
     "staged_documents": """with t as (select doc_id, coalesce(text, '') as text from documents), a as (select doc_id, list_filter(string_split(text, '. '), lambda s: s <> '') as s from t),
 b as (select doc_id, list_filter(string_split(case when doc_id % 6 = 0 then text || '. Amended' else text end, '. '), lambda s: s <> '') as s from documents where doc_id % 6 = 0 and text is not null),
@@ -109,6 +125,7 @@ v as (select doc_id, 1 as version, 1 as run, s from a union all select doc_id, c
 c as (select doc_id, version, run, len(s) as sentences, list_sum(list_transform(s, lambda x: length(x)))::bigint as chars from v where len(s) > 0)
 select *, run = max(run) over (partition by doc_id) as current from c""",
     "limited_stream": _LIMITED,
+    "claimed_jobs": "select event_id as job_id, event_type || ' claimed' as claim, case event_id % 2 when 0 then 1 else 3 end::integer as run from events",
     "written_orders": """select left(sha256('["' || o_orderkey || '"]'), 32) as order_id, o_orderkey, case when o_orderkey % 5 <> 0 then o_orderstatus end as status from orders""",
     "log_written": """select '{"level":"' || ['debug', 'info', 'warn', 'error'][event_id % 4 + 1] || '","at":"' || strftime(to_timestamp(event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') || '","msg":"mail [redacted:email]","event_id":' || event_id
   || ',"state":' || case when event_id % 3 = 0 then '"x"' else 'null' end || ',"ssn":"[redacted]"}' as value from events where event_id % 4 >= 2""",
