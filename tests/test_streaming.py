@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from docketry.operators.limits import Bucket
+from docketry.plans import events, stored
 from docketry.streaming import incremental
 
 BASE = datetime.datetime(2024, 1, 1)
@@ -63,3 +64,14 @@ def test_forgotten_documents_start_anew(spark, tmp_path):
         spark.createDataFrame([(7, "same", BASE)], "doc_id long, text string, at timestamp").write.mode("append").parquet(src)
         incremental.run_versions(spark, src, "doc_id long, text string, at timestamp", out, cp, cut, "part string", forget_after=0.001, run=F.lit(n)).awaitTermination()
     assert sorted((r.run, r.version) for r in spark.read.parquet(out).collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_both_halves_are_cut_at_one_moment(spark, tmp_path, monkeypatch):
+    """An approximate median depends on the order in which tasks' summaries arrive: no hit may be lost or taken twice for that."""
+    made = [(i, i % 7, BASE + datetime.timedelta(minutes=i)) for i in range(600)]
+    spark.createDataFrame(made, "event_id long, user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    median, elsewhere = F.percentile_approx, F.udf(lambda m: m + random.SystemRandom().randrange(-(10**10), 10**10), "long")
+    monkeypatch.setattr(stored.F, "percentile_approx", lambda c, p: elsewhere(median(c, p)))
+    kept = ["key", "hit_id", "allowed", "remaining", "retry_after_seconds"]
+    found = sorted((int(r[0]), *r[1:]) for r in stored.limited_stream(spark, str(tmp_path)).select(kept).collect())
+    assert found == sorted(tuple(r) for r in events.rate_limits(spark, str(tmp_path)).select(kept).collect())
