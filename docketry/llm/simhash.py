@@ -13,7 +13,10 @@ Removing near copies (``keep_first``) asks for more than these links: sets of fi
 shingles of similarity 0.8 differ in a seventh of all bits, a radius at which neither
 blocks that must agree nor triangle bounds leave anything out. There fingerprints have
 128 bits and are dealt into shards by bits drawn at random, as often as it takes to
-meet; the nearest earlier one is looked for and the shingles of both texts decide.
+meet; the nearest earlier one is looked for and the shingles of both texts decide. That
+finds most near copies at one comparison each. Those that are left meet all earlier texts
+by the rarest of their shingles, of which two sets of the similarity share some for
+certain, so none is missed.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of 128 within which a pair is checked (19 are expected at the similarity) and
 #: within which a text is no leader; chance to meet in no shard; rows compared at once.
 APART, CLOSE, MISSED, BLOCK = 27, 12, 0.01, 512
+#: Texts whose shingles tell which are common, and common shingles that are known: they bear on speed alone.
+SAMPLE, COMMON = 20_000, 1 << 17
+#: Shingles and characters of texts whose sets a task keeps while it compares pairs.
+HELD = 1 << 22
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -335,13 +342,25 @@ def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     """``no`` of those pairs (``no``, ``text``, ``other``) whose sets of shingles have the Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.uint64)
+        sets: dict[str, np.ndarray] = {}
+        room = HELD
+
+        def of(text: str) -> np.ndarray:
+            nonlocal room
+            found = sets.get(text)
+            if found is None:
+                found = shingle_set(text.encode().lower().split(), size)
+                room -= len(found) + len(text)
+                if room < 0:
+                    sets.clear()
+                    room = HELD
+                sets[text] = found
+            return found
+
         for batch in batches:
             keep = []
             for text, other in zip(batch.column(1), batch.column(2)):
-                own, other = shingle_set((text.as_py() or "").encode().lower().split(), size), other.as_py() or ""
-                if other != last:
-                    last, held = other, shingle_set(other.encode().lower().split(), size)
+                own, held = of(text.as_py() or ""), of(other.as_py() or "")
                 both = len(np.intersect1d(own, held, assume_unique=True))
                 keep.append(both >= similarity * (len(own) + len(held) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["no"])
@@ -349,6 +368,67 @@ def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
     return pairs.select("no", "text", "other").mapInArrow(released(check), "no long")
 
 
+def common_shingles(texts: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most of about SAMPLE texts share, sorted, and how many of these texts have each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set((t.as_py() or "").encode().lower().split(), size) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["shingle"])
+
+    drawn = texts.where(F.pmod(F.xxhash64("no"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    often = drawn.mapInArrow(released(sets), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    rows = often.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingle, count = (np.asarray(rows.column(c), np.int64) for c in ("shingle", "n"))
+    order = np.argsort(shingle.view(np.uint64))
+    return shingle.view(np.uint64)[order], count[order]
+
+
+def rarest(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in an order all sets share, rare ones first: so many that a set of the similarity has one among its own."""
+    often = np.zeros(len(own), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+        often = np.where(common[0][at] == own, common[1][at], 0)
+    return own[np.argsort(often, kind="stable")[: len(own) - _least(similarity * len(own)) + 1]]
+
+
+def _least(share: float) -> int:
+    """The least whole number that is a share or more, where rounding may not lose one."""
+    return int(np.ceil(share - 1e-6))
+
+
+def meeting(texts: DataFrame, n: int, size: int, similarity: float) -> DataFrame:
+    """``no`` and ``before``: of texts (``no``, ``probe``, ``text``) the pairs of a probe and an earlier text that may have the similarity.
+
+    Sets of a and b shingles of the similarity share o = s / (1 + s) * (a + b) or more. Of
+    the sets' rarest, p and q of them, they share o - a + p or o - b + q: where the list
+    ends that ends first, only what is behind it is unknown. No pair of the similarity is left out.
+    """
+    common = common_shingles(texts, n, size)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                sets = [shingle_set((t.as_py() or "").encode().lower().split(), size) for t in part.column(2)]
+                first = [rarest(own, common, similarity) if len(own) else own for own in sets]
+                times = np.fromiter(map(len, first), np.int64, len(first))
+                own = np.repeat(np.fromiter(map(len, sets), np.int32, len(sets)), times)
+                index = pa.array(np.repeat(np.arange(len(times)), times))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), part.column(0).take(index), part.column(1).take(index), pa.array(own)], ["shingle", "no", "probe", "size"])
+
+    entries = texts.select("no", "probe", "text").mapInArrow(released(lists), "shingle long, no long, probe boolean, size int")
+    a, b = entries.toDF("shingle", "no", "probe", "a"), entries.toDF("shingle_", "before", "probe_", "b")
+    # conditions on both sides at once stay above the shuffle, which serves both sides
+    earlier = F.coalesce("before", F.lit(-1)) < F.when(F.col("probe"), F.col("no"))
+    alike = F.least("a", "b") >= F.greatest("a", "b") * similarity - 1e-6
+    shared = a.join(b, (F.col("shingle") == F.col("shingle_")) & earlier & alike).groupBy("no", "before").agg(F.count("*").alias("c"), F.first("a").alias("a"), F.first("b").alias("b"))
+    least = lambda share: F.ceil(share - 1e-6)
+    both, ends = least((F.col("a") + F.col("b")) * (similarity / (1 + similarity))), lambda x: 1 - least(F.col(x) * similarity)
+    return shared.where(F.col("c") >= both + F.least(ends("a"), ends("b"))).select("no", "before")
+
+
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -356,10 +436,9 @@ def keep_first(
 
     Texts are compared as words, split and lower-cased as for the fingerprint. Of texts
     of the same words the first stays. Of the others, a text goes if its set of shingles
-    of ``words`` words has Jaccard ``similarity`` or more with that of the earlier text
-    whose long fingerprint is nearest among the leaders it meets in its shards. Every
-    removal is checked on the shingles; a near copy is missed if its fingerprint is too
-    far off or if it meets the other in no shard. Null and empty texts are alike. A null
+    of ``words`` words has Jaccard ``similarity`` or more with that of any earlier text,
+    whether that stays or not. Most are found by the nearest long fingerprint, the rest
+    by the rarest shingles, which leave none out. Null and empty texts are alike. A null
     id counts as larger than any other. Of several rows of one id, those come first
     whose hash is smaller; of repeated rows one stays. Maps in other columns are compared
     by their entries, in any order. An empty table stays empty.
@@ -373,7 +452,8 @@ def keep_first(
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
     first = rows.groupBy("c0", "c1", "f0", "f1").agg(F.min(order).alias("first")).orderBy("first")
     texts = checkpoint(first.select(F.monotonically_increasing_id().alias("no"), "f0", "f1", "first.id", "first.tag"))
-    links = checkpoint(nearest_earlier(texts.select("no", "f0", "f1"), texts.count(), similarity))
+    n = texts.count()
+    links = checkpoint(nearest_earlier(texts.select("no", "f0", "f1"), n, similarity))
 
     own_id, own_tag, no = (fresh(docs.columns, c) for c in ("_id", "_tag", "_no"))
     named = texts.select(F.col("no").alias(no), F.col("id").alias(own_id), F.col("tag").alias(own_tag))
@@ -382,9 +462,16 @@ def keep_first(
     def of(numbers: DataFrame) -> DataFrame:
         return docs.join(sized(named.join(numbers, no, "left_semi")), same).select(F.col(no).alias("no"), F.col(text_col).alias("text"))
 
-    own = of(links.select(F.col("no").alias(no))).join(sized(links), "no")
-    other = of(links.select(F.col("before").alias(no)).distinct()).select(F.col("no").alias("before"), F.col("text").alias("other"))
-    gone = checkpoint(similar(own.join(other, "before"), words, similarity))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        own = of(pairs.select(F.col("no").alias(no)).distinct()).join(sized(pairs), "no")
+        other = of(pairs.select(F.col("before").alias(no)).distinct()).select(F.col("no").alias("before"), F.col("text").alias("other"))
+        return checkpoint(similar(own.join(other, "before"), words, similarity).distinct())
+
+    gone = confirmed(links)
+    known = gone.select(F.col("no").alias(no), F.lit(False).alias("probe"))
+    asked = sized(named.join(known, no, "left").withColumn("probe", F.coalesce("probe", F.lit(True))))
+    whole_texts = docs.join(asked, same).select(F.col(no).alias("no"), "probe", F.col(text_col).alias("text"))
+    gone = gone.union(confirmed(checkpoint(meeting(whole_texts, n, words, similarity))))
     stay = named.join(gone.select(F.col("no").alias(no)), no, "left_anti").drop(no)
     keys = rows.select(F.col("id").alias("left_id"), F.col("tag").alias("left_tag")).distinct()
     left = keys.join(stay, F.col("left_id").eqNullSafe(F.col(own_id)) & (F.col("left_tag") == F.col(own_tag)), "left_anti")

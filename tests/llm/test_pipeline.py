@@ -105,6 +105,23 @@ def test_near_copies_go_and_others_stay(spark, monkeypatch, low, high, least):
     assert kept >= set(range(1, 301)) and (gone >= least * len(copies) if least else gone == 0)
 
 
+def test_every_near_copy_goes(spark, monkeypatch):
+    """Against all pairs: whatever the shards and fingerprints miss is found by the rarest shingles."""
+    monkeypatch.setattr(simhash, "APART", 10)
+    rng = random.Random(6)
+    often = [" ".join(f"c{rng.randrange(50)}" for _ in range(12)) for _ in range(4)]
+    rows = [(0, "", "en", None, 0), (1, "one two", "en", None, 0), (2, "One\ttwo three four five six", "en", None, 0), (3, "one two three four five six", "en", None, 0)]
+    while len(rows) < 400:
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 7, 30, 60, 150]))] + rng.choice(often).split()
+        rows.append((len(rows), " ".join(words), "en", "s", 1))
+        for _ in range(rng.choice([0, 1, 4])):
+            rows.append((len(rows), " ".join(changed(rng, words, rng.choice([0.005, 0.01, 0.02, 0.03]))), "en", "s", 1))
+    sets = [shingle_texts(t)[1] for _, t, *_ in rows]
+    gone = {i for i in range(len(rows)) if any(sets[i] == o or len(sets[i] & o) >= 0.8 * len(sets[i] | o) - 1e-9 for o in sets[:i])}
+    kept = {r.doc_id for r in simhash.keep_first(frame(spark, rows)).collect()}
+    assert kept == set(range(len(rows))) - gone and len(gone) > 100
+
+
 def test_a_shard_of_close_copies_keeps_few_leaders():
     rng = np.random.default_rng(4)
     fps = np.repeat(rng.integers(0, 1 << 62, (1, 2), dtype=np.uint64), 5000, 0)
