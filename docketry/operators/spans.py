@@ -8,12 +8,14 @@ documents never meet and nothing is shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.texts import HEADINGS, LONGEST_HEADING
+from docketry.runtime import fresh, give_back
 
 LEAST_SPAN = 40
 SEPARATOR = re.compile(r"\f|\n[ \t]*\n+")
@@ -29,7 +31,10 @@ def exact(form: str) -> str:
 
 
 FORMS = [(level, re.compile(exact(form) + r"\Z")) for level, form in HEADINGS]
-SPAN = "array<struct<ordinal:int,page:int,char_start:int,char_end:int,text:string,heading_path:array<string>>>"
+SPAN_DDL = "ordinal int, page int, char_start int, char_end int, text string, heading_path array<string>"
+SPAN = pa.struct([*[(c, pa.int32()) for c in ("ordinal", "page", "char_start", "char_end")], ("text", pa.string()), ("heading_path", pa.list_(pa.string()))])
+#: Documents whose passages are made at once.
+ROWS = 64
 
 
 def level_of(line: str) -> int | None:
@@ -72,11 +77,20 @@ def spanify(docs: DataFrame, text_col: str, *keys: str) -> DataFrame:
     empty text has no passages.
     """
 
-    @F.pandas_udf(SPAN)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: spans_of(t or ""))
+    text = fresh(list(keys), "_text")
 
-    return docs.select(*keys, F.explode(cut(F.col(text_col))).alias("_s")).select(*keys, "_s.*")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [spans_of(t.as_py() or "") for t in part.column(len(keys))]
+                row = pa.array([i for i, spans in enumerate(found) for _ in spans], pa.int64())
+                made = pa.array([s for spans in found for s in spans], type=SPAN)
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(row) for k in range(len(keys))], *made.flatten()], [*keys, *SPAN.names])
+            give_back()
+
+    kept = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys]
+    return docs.select(*keys, F.col(text_col).alias(text)).mapInArrow(cut, ", ".join([*kept, SPAN_DDL]))
 
 
 def page_count(text: Column) -> Column:

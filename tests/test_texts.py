@@ -53,3 +53,12 @@ def test_the_last_crawl_delay_that_is_a_number_counts(spark):
     files = spark.createDataFrame(list(bodies.items()), "host string, body string")
     got = dict(map(tuple, documents.crawl_delays(documents.robots_rules(files, "me/1.0")).collect()))
     assert got == {"last": 2000, "infinite": 3000, "own": 500, "zero": 0}
+
+
+def test_passages_of_more_documents_than_are_cut_at_once(spark):
+    from docketry.operators import spans
+
+    texts = [None if i % 50 == 0 else f"A. Part {i}\n\n{'some words of a passage ' * 3}{i}\n\n\fshort\n\n{'x' * (i % 80)}" for i in range(4 * spans.ROWS)]
+    rows = spark.createDataFrame([(i, f"k{i}", t) for i, t in enumerate(texts)], "_text long, b string, body string").coalesce(1)
+    got = sorted((r["_text"], r.b, r.ordinal, r.page, r.char_start, r.char_end, r.text, r.heading_path) for r in spans.spanify(rows, "body", "_text", "b").collect())
+    assert got == [(i, f"k{i}", *s.values()) for i, t in enumerate(texts) for s in spans.spans_of(t or "")]
