@@ -11,12 +11,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.runtime import give_back
+
 LEAST_QUOTE = 24
+VERIFIED = "reason string, char_start int, char_end int"
 #: Characters that mean the same, by what they become.
 SAME = {
     "'": "\u2018\u2019\u201a\u201b\u2032\u00b4`",
@@ -29,7 +34,6 @@ SAME = {
 TABLE = str.maketrans({c: to for to, chars in SAME.items() for c in chars})
 WHITE = re.compile(r"[ \t\n\r\x0b\x0c\u0085\u2028\u2029\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]+")
 INK = re.compile(r"[^ \t\n\r\x0b\x0c\u0085\u2028\u2029\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\ufeff]+")
-PLAIN_ASCII = re.compile(r"[\x00-\x5f\x61-\x7f]*\Z")
 
 
 def fold(s: str) -> str:
@@ -77,13 +81,23 @@ def place_of(quote: str | None, source: str | None) -> tuple[str | None, int | N
     needle = fold(quote)
     if not needle:
         return "empty_quote", None, None
-    if PLAIN_ASCII.match(source) and needle not in fold(source):
-        return "not_found_in_source", None, None  # for plain text both ways to fold agree
-    hay, places = fold_with_places(source)
+    hay = fold_each(source)
     at = hay.find(needle)
     if at < 0:
         return "not_found_in_source", None, None
-    return None, places[at], places[at + len(needle) - 1] + 1
+    start, end = place_in(source, hay, at), place_in(source, hay, at + len(needle) - 1)
+    if start is None or end is None:
+        places = fold_with_places(source)[1]
+        start, end = places[at], places[at + len(needle) - 1]
+    return None, start, end + 1
+
+
+def place_in(source: str, hay: str, at: int) -> int | None:
+    """Where the character at a place of fold_each's form comes from, none if it is a space or characters of the source turn into others than one each."""
+    if hay[at] == " " or any(len(EACH[ord(c)]) != 1 for c in set(source)):
+        return None
+    word = next(islice(INK.finditer(source.translate(EACH)), hay.count(" ", 0, at), None))
+    return word.start() + at - hay.rfind(" ", 0, at) - 1
 
 
 def normalized(c: Column, form: Callable[[str], str] = fold) -> Column:
@@ -97,11 +111,12 @@ def normalized(c: Column, form: Callable[[str], str] = fold) -> Column:
 def verified_quote(quote: Column, source: Column) -> Column:
     """struct<reason, char_start, char_end>; reason is null for a verified quote."""
 
-    @F.pandas_udf("reason string, char_start int, char_end int")
-    def apply(quotes: pd.Series, sources: pd.Series) -> pd.DataFrame:
-        found = [place_of(q, s) for q, s in zip(quotes, sources)]
-        frame = pd.DataFrame(found, columns=["reason", "char_start", "char_end"])
-        return frame.astype({"char_start": "Int32", "char_end": "Int32"})
+    @F.arrow_udf(VERIFIED)
+    def apply(quotes: pa.Array, sources: pa.Array) -> pa.Array:
+        found = [place_of(q.as_py(), s.as_py()) for q, s in zip(quotes, sources)]
+        give_back()
+        columns = zip(*found) if found else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()))], ["reason", "char_start", "char_end"])
 
     return apply(quote, source)
 

@@ -76,11 +76,12 @@ def quotes_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a quote made from it: exact, shouted, with other spaces, changed, or too short."""
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x5f\x61-\x7e\n]", "x")
+    source = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x5f\x61-\x7e\n]", "x")
+    t = F.col("source")
     q = F.substring(t, 5, 60)
     k = F.col("doc_id") % 5
     quote = F.when(k == 0, q).when(k == 1, F.upper(q)).when(k == 2, F.replace(q, F.lit(" "), F.lit(" \n "))).when(k == 3, F.concat(q, F.lit("~~"))).otherwise(F.substring(t, 5, 20))
-    rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("source"), quote.alias("quote"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", source.alias("source")).select("doc_id", "source", quote.alias("quote"))
     return rows.select("doc_id", verify.verified_quote(F.col("quote"), F.col("source")).alias("v")).select("doc_id", "v.reason")
 
 

@@ -1,6 +1,7 @@
 """Quotes, passages and text forms, case by case."""
 
 import os
+import random
 import subprocess
 import sys
 
@@ -188,3 +189,19 @@ def test_entry_without_a_library(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 100 and out[1] == "False"
+
+
+def test_places_of_plain_text_are_found_without_a_list_of_all(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdE'’–  \n\t-.") for _ in range(rng.randrange(1, 400))) for _ in range(300)] + ["… aﬁx", "​ zero"]
+    asked = 0
+    for text in texts:
+        hay, places = verify.fold_with_places(text)
+        assert hay == verify.fold_each(text)
+        for at in {rng.randrange(len(hay)) for _ in range(5)} if hay else ():
+            found = verify.place_in(text, hay, at)
+            asked += found is not None
+            assert found in (None, places[at]) and (found is not None or hay[at] == " " or "…" in text or "​" in text)
+    assert asked > 500
+    monkeypatch.setattr(verify, "fold_with_places", None)
+    assert verify.place_of("the quick brown fox jumps over", "So\n‘the  quick brown fox jumps over’ it") == (None, 4, 35)
