@@ -76,7 +76,7 @@ def quotes_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a quote made from it: exact, shouted, with other spaces, changed, or too short."""
-    source = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x5f\x61-\x7e\n]", "x")
+    source = texts.replace_many(F.coalesce("text", F.lit("")), r"[^\x20-\x5f\x61-\x7e\n]", "x")
     t = F.col("source")
     q = F.substring(t, 5, 60)
     k = F.col("doc_id") % 5
@@ -87,7 +87,7 @@ def quote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document holds a quote from its middle; the source has curly quotes, dashes and hard spaces, the quote plain ones."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x5f\x61-\x7e\n]", "x"), r"\s+", " "))
+    t = F.trim(texts.replace_many(texts.replace_many(F.coalesce("text", F.lit("")), r"[^\x20-\x5f\x61-\x7e\n]", "x"), r"\s+", " "))
     plain = F.replace(F.replace(t, F.lit("an"), F.lit("a'n")), F.lit("er"), F.lit("e-r"))
     source = F.translate(plain, "'-", "\u2019\u2013")
     source = F.replace(source, F.lit(". "), F.lit(".\u00a0"))
@@ -175,7 +175,7 @@ def uploaded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words() -> Column:
-    return F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    return F.trim(texts.replace_many(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
 
 
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,11 @@ def test_passages_of_more_documents_than_are_cut_at_once(spark):
     rows = spark.createDataFrame([(i, f"k{i}", t) for i, t in enumerate(texts)], "_text long, b string, body string").coalesce(1)
     got = sorted((r["_text"], r.b, r.ordinal, r.page, r.char_start, r.char_end, r.text, r.heading_path) for r in spans.spanify(rows, "body", "_text", "b").collect())
     assert got == [(i, f"k{i}", *s.values()) for i, t in enumerate(texts) for s in spans.spans_of(t or "")]
+
+
+def test_replace_many_gives_what_spark_gives(spark):
+    made = [None, "", "aé b\n𝄞x`~", "é" * 3000, "no match", "a  b \t c"]
+    rows = spark.createDataFrame([(t,) for t in made], "t string")
+    for form, to in ((r"[^\x20-\x5f\x61-\x7e\n]", "x"), ("[^A-Za-z0-9]+", " ")):
+        assert all(a == b for a, b in rows.select(texts.replace_many(F.col("t"), form, to), F.regexp_replace("t", form, to)).collect())
+    assert rows.select(texts.replace_many(F.col("t"), "b", r"\1")).collect()[2][0] == "aé \\1\n𝄞x`~"
