@@ -44,8 +44,7 @@ def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.format_string("org/%d/supplier/%d/%s", F.col("s_nationkey"), k, F.concat(F.replace("s_name", F.lit("#"), F.lit("_")), F.lit(".txt")))
     store.put_objects(table(spark, sf_dir, "supplier").select(key.alias("key"), F.col("s_name").alias("content")), path)
     store.delete_prefix(path, "org/7")
-    found = documents.read_files(spark, path, "*.txt")
-    return found.select(F.regexp_extract("path", "/(org/.*)$", 1).alias("key"), "length", "content_hash")
+    return store.read_objects(spark, path, "*.txt").select("key", "length", F.sha2("content", 256).alias("content_hash"))
 
 
 def open_data_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Folders that several jobs share: lines that are there once their job commits, objects by key, pages of rows.
 
-Three data sources in Python run on Spark's write and read protocols. Every task of a
+Four data sources in Python run on Spark's write and read protocols. Every task of a
 write stages files of its own below the folder and tells the driver their names; the
 driver moves them into place if all tasks are done, and deletes what is staged if one
 fails. What a task that was still running then leaves behind is in the staging folder,
@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyarrow import fs
@@ -32,6 +33,8 @@ STAGING, COMMITS = "_staging", "_commits"
 LEVELS = ("debug", "info", "warn", "error")
 #: Rows of a page.
 PAGE = 200
+#: Folders that are dealt to the tasks which read objects, if there are so many, and tasks at most.
+FOLDERS, SHARES = 16, 256
 _PART_BITS = 33  # monotonically_increasing_id has the partition above these bits
 
 
@@ -203,6 +206,71 @@ class Objects(DataSource):
         return ObjectWriter(self.options["path"], overwrite)
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads: files, and folders with all that is below them."""
+
+    files: list[str]
+    folders: list[str]
+
+
+class ObjectsReader(DataSourceReader):
+    """Objects below a folder. Planning goes down only until there are FOLDERS folders; tasks list what is below these."""
+
+    def __init__(self, root: str, pattern: str):
+        self.root, self.pattern = root, pattern
+
+    def partitions(self) -> Sequence[Share]:
+        where, path = folder(self.root)
+        files, level = [], [path]
+        while level and len(level) < FOLDERS:
+            below = []
+            for base in level:
+                for i in where.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+                    if i.type == fs.FileType.Directory and i.base_name not in (STAGING, COMMITS):
+                        below.append(i.path)
+                    elif i.type == fs.FileType.File:
+                        files.append(i.path)
+            level = below
+        n = min(SHARES, max(1, len(level), len(files)))
+        return [Share(sorted(files)[k::n], sorted(level)[k::n]) for k in range(n)]
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        where, path = folder(self.root)
+        rows: list[tuple[str, int, bytes]] = []
+        held = 0
+        for name in (*partition.files, *(i.path for base in partition.folders for i in _names(where, base, recursive=True))):
+            if not fnmatchcase(name.rpartition("/")[2], self.pattern):
+                continue
+            with where.open_input_stream(name) as f:
+                content = f.read()
+            rows.append((name[len(path) :].lstrip("/"), len(content), content))
+            held += len(content)
+            if len(rows) >= 1 << 10 or held >= 1 << 24:
+                yield self._batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["key", "length", "content"])
+
+
+class StoredObjects(DataSource):
+    """Objects (key string, length long, content binary) of a folder; options ``path`` and ``pattern``, of their last names."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "stored_objects"
+
+    def schema(self) -> str:
+        return "key string, length long, content binary"
+
+    def reader(self, schema) -> ObjectsReader:
+        return ObjectsReader(self.options["path"], self.options.get("pattern", "*"))
+
+
 class PagesReader(DataSourceReader):
     """Pages ``offset-rows.json`` in order of offset, up to the first that is missing, empty or short."""
 
@@ -251,7 +319,7 @@ class StoredPages(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (CommittedLines, Objects, StoredPages):
+    for source in (CommittedLines, Objects, StoredObjects, StoredPages):
         spark.dataSource.register(source)
 
 
@@ -317,6 +385,12 @@ def put_objects(objects: DataFrame, path: str) -> None:
     objects.select(F.col("key").cast("string"), F.col("content").cast("binary")).write.format("objects").mode("append").option("path", path).save()
 
 
+def read_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(key, length, content) of a folder's objects whose last names fit a pattern. The driver sees folders, not objects."""
+    register(spark)
+    return spark.read.format("stored_objects").options(path=path, pattern=pattern).load()
+
+
 def delete_prefix(path: str, prefix: str) -> int:
     """Delete the objects whose keys start with a prefix of whole folders, and say how many there were."""
     where, base = folder(path)

@@ -89,3 +89,14 @@ def test_sensitive_keys_of_any_map(spark):
 
     df = spark.createDataFrame([({"ssn": 1, "k": 2}, {"Patient Name": ["x"], "k": ["a@b.org"]}, {"ssn": "1"})], "a map<string,int>, b map<string,array<string>>, c map<string,string>")
     assert tuple(redact_record(df).first()) == ({"ssn": None, "k": 2}, {"Patient Name": None, "k": ["[redacted:email]"]}, {"ssn": "[redacted]"})
+
+
+def test_objects_are_planned_by_folders_and_read_whole(spark, tmp_path):
+    root = str(tmp_path / "objects")
+    assert store.read_objects(spark, root).count() == 0
+    made = [(f"org/{i % 20}/case/{i}/{'a' if i % 2 else 'b'}.txt", f"content {i}") for i in range(200)] + [("top.txt", "é"), ("org/note.txt", ""), ("org/3/x.bin", "no")]
+    store.put_objects(spark.createDataFrame(made, "key string, content string"), root)
+    found = {r.key: (r.length, bytes(r.content).decode()) for r in store.read_objects(spark, root, "*.txt").collect()}
+    assert found == {k: (len(c.encode()), c) for k, c in made if k.endswith(".txt")}
+    planned = store.ObjectsReader(root, "*").partitions()
+    assert sum(len(p.folders) for p in planned) == 20 and sum(len(p.files) for p in planned) == 2
