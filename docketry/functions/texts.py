@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -167,24 +167,58 @@ LONG_TEXT = 160
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of c, which is worked out once however often it is used: Spark shares nothing inside lambdas."""
+    return F.get(F.transform(F.array(c), use), 0)
+
+
+def _marked(c: Column, name: str) -> Column:
+    return F.regexp_replace(c, PERSONAL[name].replace(r"\b", EDGE), f"[redacted:{name}]")
+
+
+def _mask(lines: Column, name: str) -> Column:
+    return F.transform(lines, lambda x: F.when(x.rlike(CORE[name]), _marked(x, name)).otherwise(x))
+
+
 def _masked(lines: Column) -> Column:
     """Personal data of each line masked; a mask's costly edges are looked for only where its core is."""
+    return reduce(_mask, PERSONAL, lines)
+
 
-    def mask(lines: Column, name: str) -> Column:
-        whole = PERSONAL[name].replace(r"\b", EDGE)
-        return F.transform(lines, lambda x: F.when(x.rlike(CORE[name]), F.regexp_replace(x, whole, f"[redacted:{name}]")).otherwise(x))
+def _masked_lines(text: Column) -> Column:
+    """A text whose lines are masked each by itself: those masks are at work whose cores the text holds.
 
-    return reduce(mask, PERSONAL, lines)
+    A core that is not in the text comes into it by no mask: no mark holds another's core.
+    What a mask without white space finds lies in one line.
+    """
+
+    def step(text: Column, n: int, name: str, has: Column) -> Column:
+        by_line = lambda x: F.array_join(_mask(F.split(x, "\n"), name), "\n")
+        apart = r"\s" in PERSONAL[name] or r"\S" in PERSONAL[name]
+        return once(text, lambda x: F.when(F.get(has, n), by_line(x) if apart else _marked(x, name)).otherwise(x))
+
+    cores = lambda x: F.array(*[x.rlike(core) for core in CORE.values()])
+    steps = lambda x, has: reduce(lambda done, at: step(done, *at, has), enumerate(CORE), x)
+    return once(text, lambda x: once(cores(x), lambda has: steps(x, has)))
 
 
 def mask_personal(c: Column) -> Column:
     return F.get(_masked(F.array(c)), 0)
 
 
+def _short(m: Column) -> Column:
+    return F.when(F.length(m) > LONG_TEXT, F.concat(F.lit("[redacted:"), F.length(m).cast("string"), F.lit(" chars]"))).otherwise(m)
+
+
 def redact_lines(lines: Column) -> Column:
     """Personal data masked in place; lines that are still long are replaced by their lengths."""
-    short = lambda m: F.when(F.length(m) > LONG_TEXT, F.concat(F.lit("[redacted:"), F.length(m).cast("string"), F.lit(" chars]"))).otherwise(m)
-    return F.transform(_masked(lines), short)
+    return F.transform(_masked(lines), _short)
+
+
+def redact_first_lines(text: Column, most: int) -> Column:
+    """The first lines of a text, each redacted as ``redact`` does."""
+    first = F.array_join(F.slice(F.split(text, "\n"), 1, most), "\n")
+    return F.array_join(F.transform(F.split(_masked_lines(first), "\n"), _short), "\n")
 
 
 def redact(c: Column) -> Column:

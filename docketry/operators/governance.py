@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.access import PHI_TABLES, is_phi
-from docketry.functions.texts import redact, redact_lines
+from docketry.functions.texts import once, redact, redact_first_lines
 from docketry.runtime import fresh, partitions
 
 #: Names of fields that hold clinical or personal content, in small letters and digits.
@@ -97,6 +97,12 @@ def _members(v: Column, depth: int, one: Callable[[Column, Column], Column], lea
     fields, items = F.try_variant_get(v, "$", "map<string, variant>"), F.try_variant_get(v, "$", "array<variant>")
     if depth >= DEEPEST:
         return F.when(fields.isNotNull() | items.isNotNull(), F.lit('"[truncated:depth]"')).otherwise(leaf)
+    both = F.struct(fields.alias("fields"), items.alias("items"))
+    return F.coalesce(once(both, lambda b: _inside(b["fields"], b["items"], one)), leaf)
+
+
+def _inside(fields: Column, items: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """JSON of the fields of an object or the items of an array, see ``_members``; null if both are null."""
     kept = F.transform(F.slice(items, 1, MOST_ITEMS), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value")))
     named = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     parts = F.transform(F.coalesce(named, kept), lambda e: F.concat(F.coalesce(F.concat(_quoted(e["key"]), F.lit(":")), F.lit("")), one(e["key"], e["value"])))
@@ -104,13 +110,17 @@ def _members(v: Column, depth: int, one: Callable[[Column, Column], Column], lea
     inside = F.array_join(F.array_compact(F.concat(parts, F.array(more))), ",")
     # one mention of what is inside: with two, the expression would double at every level
     ends = lambda a, b: F.when(fields.isNotNull(), F.lit(a)).otherwise(F.lit(b))
-    return F.coalesce(F.concat(ends("{", "["), inside, ends("}", "]")), leaf)
+    return F.concat(ends("{", "["), inside, ends("}", "]"))
+
+
+def _string(v: Column) -> Column:
+    """The text that a variant is; null if it is none."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def _walked(v: Column, depth: int) -> Column:
     """Redacted JSON of a variant that lies so deep; null if there is none."""
-    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    leaf = F.coalesce(_quoted(redact(text)), F.to_json(v))
+    leaf = F.coalesce(_quoted(redact(_string(v))), F.to_json(v))
     return _members(v, depth, lambda k, x: F.when(sensitive_key(k), F.lit('"[redacted]"')).otherwise(_walked(x, depth + 1)), leaf)
 
 
@@ -130,16 +140,24 @@ def redact_error(c: Column) -> Column:
     lines, each as a text. A cause that has a message is an error as well, up to DEEPEST of
     them, and comes last; all else is redacted as any JSON is.
     """
-    v = F.try_parse_json(c)
-    at = lambda n, more="": F.try_variant_get(v, "$" + ".cause" * n + more, "variant")
-    is_error = [F.schema_of_variant(at(n, ".message")) == "STRING" for n in range(1, DEEPEST + 2)]
+    return once(F.try_parse_json(c), lambda v: once(_causes(v), lambda n: _error(v, n)))
+
+
+def _causes(v: Column) -> Column:
+    """How many causes below the outermost error are errors, each the cause of the one before, up to one more than DEEPEST."""
+    said = [F.schema_of_variant(F.try_variant_get(v, "$" + ".cause" * n + ".message", "variant")) == "STRING" for n in range(1, DEEPEST + 2)]
+    found = F.array_position(F.array(*[F.coalesce(e, F.lit(False)) for e in said], F.lit(False)), False).cast("int") - 1
+    return F.when(said[0], found).otherwise(0)  # most errors have no cause
+
+
+def _error(v: Column, causes: Column) -> Column:
+    """Redacted JSON of an error with so many causes."""
     # errors from the outermost on: so many of the causes that each holds the next
-    causes = F.array_position(F.array(*[F.coalesce(e, F.lit(False)) for e in is_error], F.lit(False)), False).cast("int") - 1
-    chain = F.slice(F.array(*map(at, range(DEEPEST + 1))), 1, causes + 1)
+    chain = F.slice(F.array(*[F.try_variant_get(v, "$" + ".cause" * n, "variant") for n in range(DEEPEST + 1)]), 1, causes + 1)
 
     def own(key: Column, value: Column) -> Column:
-        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-        lines = F.array_join(redact_lines(F.slice(F.split(text, "\n"), 1, STACK_LINES)), "\n")
+        text = _string(value)
+        lines = redact_first_lines(text, STACK_LINES)
         said = F.when(key == "name", _quoted(text)).when(key == "message", _quoted(redact(text))).when(key == "stack", _quoted(lines))
         return F.coalesce(said, F.when(sensitive_key(key), F.lit('"[redacted]"')).otherwise(_walked(value, 1)))
 
