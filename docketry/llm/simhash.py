@@ -43,6 +43,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of 128 within which a pair is checked (19 are expected at the similarity) and
 #: within which a text is no leader; chance to meet in no shard; rows compared at once.
 APART, CLOSE, MISSED, BLOCK = 27, 12, 0.01, 512
+#: Nearest earlier leaders, of as many shards, with which a text is compared before it meets all.
+NEAREST = 8
 #: Texts whose shingles tell which are common, and common shingles that are known: they bear on speed alone.
 SAMPLE, COMMON = 20_000, 1 << 17
 #: Shingles and characters of texts whose sets a task keeps while it compares pairs.
@@ -300,7 +302,7 @@ class Leaders:
 
 
 def nearest_earlier(texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``no`` and ``before``: for rows of texts (``no``, ``f0``, ``f1``) the nearest leader before them within APART bits.
+    """``no`` and ``nearest``: for rows of texts (``no``, ``f0``, ``f1``) the nearest leaders before them within APART bits, NEAREST at most and a shard's nearest only.
 
     A shard is read in order and in blocks; only its leaders are held, so a large group
     of close copies costs one comparison a row.
@@ -333,8 +335,7 @@ def nearest_earlier(texts: DataFrame, n: int, similarity: float) -> DataFrame:
         .sortWithinPartitions("shard", "no")
         .mapInArrow(released(scan), "no long, before long, d int")
         .groupBy("no")
-        .agg(F.min(F.struct("d", "before")).alias("nearest"))
-        .select("no", F.col("nearest.before").alias("before"))
+        .agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "before"))), 1, NEAREST).getField("before").alias("nearest"))
     )
 
 
@@ -376,7 +377,7 @@ def common_shingles(texts: DataFrame, n: int, size: int) -> tuple[np.ndarray, np
             found = [shingle_set((t.as_py() or "").encode().lower().split(), size) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["shingle"])
 
-    drawn = texts.where(F.pmod(F.xxhash64("no"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    drawn = texts.where(F.pmod(F.xxhash64("tag"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
     often = drawn.mapInArrow(released(sets), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
     rows = often.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     shingle, count = (np.asarray(rows.column(c), np.int64) for c in ("shingle", "n"))
@@ -398,14 +399,9 @@ def _least(share: float) -> int:
     return int(np.ceil(share - 1e-6))
 
 
-def meeting(texts: DataFrame, n: int, size: int, similarity: float) -> DataFrame:
-    """``no`` and ``before``: of texts (``no``, ``probe``, ``text``) the pairs of a probe and an earlier text that may have the similarity.
-
-    Sets of a and b shingles of the similarity share o = s / (1 + s) * (a + b) or more. Of
-    the sets' rarest, p and q of them, they share o - a + p or o - b + q: where the list
-    ends that ends first, only what is behind it is unknown. No pair of the similarity is left out.
-    """
-    common = common_shingles(texts, n, size)
+def rare_shingles(docs: DataFrame, n: int, size: int, similarity: float) -> DataFrame:
+    """Of docs (``id``, ``tag``, ``text``) the two first columns, ``size``, the number of shingles, and ``rare``, the first of them by ``rarest``."""
+    common = common_shingles(docs, n, size)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -413,17 +409,28 @@ def meeting(texts: DataFrame, n: int, size: int, similarity: float) -> DataFrame
                 part = batch.slice(at, BLOCK)
                 sets = [shingle_set((t.as_py() or "").encode().lower().split(), size) for t in part.column(2)]
                 first = [rarest(own, common, similarity) if len(own) else own for own in sets]
-                times = np.fromiter(map(len, first), np.int64, len(first))
-                own = np.repeat(np.fromiter(map(len, sets), np.int32, len(sets)), times)
-                index = pa.array(np.repeat(np.arange(len(times)), times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), part.column(0).take(index), part.column(1).take(index), pa.array(own)], ["shingle", "no", "probe", "size"])
-
-    entries = texts.select("no", "probe", "text").mapInArrow(released(lists), "shingle long, no long, probe boolean, size int")
-    a, b = entries.toDF("shingle", "no", "probe", "a"), entries.toDF("shingle_", "before", "probe_", "b")
-    # conditions on both sides at once stay above the shuffle, which serves both sides
-    earlier = F.coalesce("before", F.lit(-1)) < F.when(F.col("probe"), F.col("no"))
+                ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.fromiter(map(len, sets), np.int32, len(sets))), rare], ["id", "tag", "size", "rare"])
+
+    return docs.select("id", "tag", "text").mapInArrow(released(lists), f"{field(docs.schema, 'id', 'id')}, tag long, size int, rare array<long>")
+
+
+def meeting(texts: DataFrame, similarity: float) -> DataFrame:
+    """``no`` and ``before``: of texts (``no``, ``probe``, ``size``, ``rare``) the pairs of a probe and an earlier text that may have the similarity.
+
+    Sets of a and b shingles of the similarity share o = s / (1 + s) * (a + b) or more. Of
+    the sets' rarest, p and q of them, they share o - a + p or o - b + q: where the list
+    ends that ends first, only what is behind it is unknown. No pair of the similarity is left out.
+    """
+    # a number tells by its sign whether its text is a probe; a condition on both sides at once
+    # stays above the shuffle, and both sides need all its columns: it serves both
+    entries = texts.select(F.explode("rare").alias("shingle"), F.when(F.col("probe"), F.col("no")).otherwise(-1 - F.col("no")).alias("no"), "size")
+    a, b = entries.toDF("shingle", "no", "a"), entries.toDF("shingle_", "no_", "b")
+    before = F.greatest(F.col("no_"), -1 - F.col("no_"))
     alike = F.least("a", "b") >= F.greatest("a", "b") * similarity - 1e-6
-    shared = a.join(b, (F.col("shingle") == F.col("shingle_")) & earlier & alike).groupBy("no", "before").agg(F.count("*").alias("c"), F.first("a").alias("a"), F.first("b").alias("b"))
+    met = a.join(b, (F.col("shingle") == F.col("shingle_")) & (before < F.col("no")) & alike)
+    shared = met.groupBy("no", before.alias("before"), "a", "b").agg(F.count("*").alias("c"))
     least = lambda share: F.ceil(share - 1e-6)
     both, ends = least((F.col("a") + F.col("b")) * (similarity / (1 + similarity))), lambda x: 1 - least(F.col(x) * similarity)
     return shared.where(F.col("c") >= both + F.least(ends("a"), ends("b"))).select("no", "before")
@@ -467,11 +474,15 @@ def keep_first(
         other = of(pairs.select(F.col("before").alias(no)).distinct()).select(F.col("no").alias("before"), F.col("text").alias("other"))
         return checkpoint(similar(own.join(other, "before"), words, similarity).distinct())
 
-    gone = confirmed(links)
+    gone = confirmed(links.select("no", F.get("nearest", 0).alias("before")))
+    # in a family of texts about as alike as asked, most have a fellow among a few; asked of all, they would meet by the square
+    further = links.where(F.size("nearest") > 1).join(gone, "no", "left_anti")
+    gone = gone.union(confirmed(checkpoint(further.select("no", F.explode(F.slice("nearest", 2, NEAREST)).alias("before")))))
     known = gone.select(F.col("no").alias(no), F.lit(False).alias("probe"))
     asked = sized(named.join(known, no, "left").withColumn("probe", F.coalesce("probe", F.lit(True))))
-    whole_texts = docs.join(asked, same).select(F.col(no).alias("no"), "probe", F.col(text_col).alias("text"))
-    gone = gone.union(confirmed(checkpoint(meeting(whole_texts, n, words, similarity))))
+    lists = rare_shingles(docs.select(F.col(id_col).alias("id"), tag.alias("tag"), F.col(text_col).alias("text")), n, words, similarity)
+    listed = lists.join(asked, F.col("id").eqNullSafe(F.col(own_id)) & (F.col("tag") == F.col(own_tag))).select(F.col(no).alias("no"), "probe", "size", "rare")
+    gone = gone.union(confirmed(checkpoint(meeting(listed, similarity))))
     stay = named.join(gone.select(F.col("no").alias(no)), no, "left_anti").drop(no)
     keys = rows.select(F.col("id").alias("left_id"), F.col("tag").alias("left_tag")).distinct()
     left = keys.join(stay, F.col("left_id").eqNullSafe(F.col(own_id)) & (F.col("left_tag") == F.col(own_tag)), "left_anti")

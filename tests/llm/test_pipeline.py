@@ -205,3 +205,20 @@ def test_columns_by_any_name_pass_through(spark):
         assert docs.columns == [*(x.split()[0] for x in SCHEMA.split(", ")), *names] and kept and set(kept) <= whole
     done = bpe.tokenized(docs, bpe.tokenizer_path("byte_bpe_50k.json"))
     assert all(r.same is True and r.n_tokens == len(r.ids) and r.row.endswith(" row") for r in done.collect())
+
+
+def test_fewer_of_a_family_meet_all(spark, monkeypatch):
+    """Of a family about as alike as asked, comparing with several nearest leaves fewer for the search among all; the result is the same."""
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(i, " ".join(changed(rng, base, 0.018)), "en", "s", 1) for i in range(400)]
+    sets = [shingle_texts(t)[1] for _, t, *_ in rows]
+    stay = {i for i in range(len(rows)) if not any(len(sets[i] & o) >= 0.8 * len(sets[i] | o) - 1e-9 for o in sets[:i])}
+    asked, whole = [], simhash.meeting
+    monkeypatch.setattr(simhash, "meeting", lambda texts, similarity: asked.append(texts.where("probe").count()) or whole(texts, similarity))
+    for nearest in (1, simhash.NEAREST):
+        monkeypatch.setattr(simhash, "NEAREST", nearest)
+        assert {r.doc_id for r in simhash.keep_first(frame(spark, rows)).collect()} == stay
+    print(asked, len(stay))
+    assert len(stay) <= asked[1] < asked[0]
