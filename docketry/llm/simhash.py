@@ -13,8 +13,8 @@ Removing near copies (``keep_first``) asks for more than these links: sets of fi
 shingles of similarity 0.8 differ in a seventh of all bits, a radius at which neither
 blocks that must agree nor triangle bounds leave anything out. There fingerprints have
 128 bits and are dealt into shards by bits drawn at random, as often as it takes to
-meet; the nearest earlier one is looked for and the shingles of both texts decide. That
-finds most near copies at one comparison each. Those that are left meet all earlier texts
+meet; the nearest earlier ones are looked for and the shingles of both texts decide. That
+finds most near copies at a few comparisons each. Those that are left meet all earlier texts
 by the rarest of their shingles, of which two sets of the similarity share some for
 certain, so none is missed.
 """
