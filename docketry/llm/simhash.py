@@ -419,21 +419,25 @@ def rare_shingles(docs: DataFrame, n: int, size: int, similarity: float) -> Data
 def meeting(texts: DataFrame, similarity: float) -> DataFrame:
     """``no`` and ``before``: of texts (``no``, ``probe``, ``size``, ``rare``) the pairs of a probe and an earlier text that may have the similarity.
 
-    Sets of a and b shingles of the similarity share o = s / (1 + s) * (a + b) or more. Of
-    the sets' rarest, p and q of them, they share o - a + p or o - b + q: where the list
-    ends that ends first, only what is behind it is unknown. No pair of the similarity is left out.
+    Sets of a and b shingles of the similarity share o = s / (1 + s) * (a + b) or more, so one
+    of them is among the first a - o + 1 of the one and the first b - o + 1 of the other. Of two
+    sets the smaller, of b, needs its first (1 - s) / (1 + s) * b alone: what a family of texts not
+    quite as alike as asked has in common is mostly behind these. No pair of the similarity is left out.
     """
-    # a number tells by its sign whether its text is a probe; a condition on both sides at once
-    # stays above the shuffle, and both sides need all its columns: it serves both
-    entries = texts.select(F.explode("rare").alias("shingle"), F.when(F.col("probe"), F.col("no")).otherwise(-1 - F.col("no")).alias("no"), "size")
-    a, b = entries.toDF("shingle", "no", "a"), entries.toDF("shingle_", "no_", "b")
-    before = F.greatest(F.col("no_"), -1 - F.col("no_"))
-    alike = F.least("a", "b") >= F.greatest("a", "b") * similarity - 1e-6
-    met = a.join(b, (F.col("shingle") == F.col("shingle_")) & (before < F.col("no")) & alike)
-    shared = met.groupBy("no", before.alias("before"), "a", "b").agg(F.count("*").alias("c"))
     least = lambda share: F.ceil(share - 1e-6)
-    both, ends = least((F.col("a") + F.col("b")) * (similarity / (1 + similarity))), lambda x: 1 - least(F.col(x) * similarity)
-    return shared.where(F.col("c") >= both + F.least(ends("a"), ends("b"))).select("no", "before")
+    shared = lambda sizes: least(sizes * (similarity / (1 + similarity)))
+    # a number tells by its sign whether its text is a probe
+    signed = F.when(F.col("probe"), F.col("no")).otherwise(-1 - F.col("no"))
+    entries = texts.select(F.posexplode("rare").alias("at", "shingle"), signed.alias("no"), "size")
+    small = entries.where(F.col("at") <= F.col("size") - shared(F.col("size") * 2)).toDF("at_", "shingle_", "no_", "b")
+    number = lambda c: F.greatest(F.col(c), -1 - F.col(c))
+    later = (number("no_") < F.col("no")) | (number("no") < F.col("no_"))
+    order = (F.col("b") < F.col("a")) | ((F.col("b") == F.col("a")) & (number("no_") < number("no")))
+    alike = F.col("b") >= F.col("a") * similarity - 1e-6
+    both = shared(F.col("a") + F.col("b"))
+    first = (F.col("at") <= F.col("a") - both) & (F.col("at_") <= F.col("b") - both)
+    met = entries.toDF("at", "shingle", "no", "a").join(small, (F.col("shingle") == F.col("shingle_")) & later & order & alike & first)
+    return met.select(F.greatest(number("no"), number("no_")).alias("no"), F.least(number("no"), number("no_")).alias("before")).distinct()
 
 
 def keep_first(

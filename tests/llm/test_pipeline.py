@@ -222,3 +222,27 @@ def test_fewer_of_a_family_meet_all(spark, monkeypatch):
         assert {r.doc_id for r in simhash.keep_first(frame(spark, rows)).collect()} == stay
     print(asked, len(stay))
     assert len(stay) <= asked[1] < asked[0]
+
+
+def joined_rows(df):
+    """df's rows, and the most rows that one of its joins made."""
+    rows, most, plans = df.collect(), [0], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if "Join" in plan.nodeName():
+            most.append(plan.metrics().apply("numOutputRows").value())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return rows, max(most)
+
+
+def test_a_family_that_is_not_alike_does_not_meet(spark):
+    """Members of 144 shingles have 20 of their own, so any two share 124 of the 128 asked for: they meet no more often than they are many."""
+    lists = [(no, True, 144, [1_000_000 + 100 * no + k for k in range(20)] + list(range(9))) for no in range(300)]
+    near = [(no, True, 144, [2_000_000 + 100 * no + k for k in range(8)] + list(range(500, 521))) for no in (300, 301)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        texts = spark.createDataFrame([*lists, *near], "no long, probe boolean, size int, rare array<long>")
+        rows, most = joined_rows(simhash.meeting(texts, 0.8))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [tuple(r) for r in rows] == [(301, 300)] and most <= 300
