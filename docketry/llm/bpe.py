@@ -32,7 +32,7 @@ from docketry.runtime import table
 #: space is Unicode's White_Space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Pieces kept with their ids in a worker, pieces of more characters are not kept.
+#: Pieces kept with their ids in a worker, and as many older ones; pieces of more characters are not kept.
 KEPT_PIECES, KEPT_CHARS = 1 << 16, 48
 #: Pairs of tokens whose compatibility is kept.
 KEPT_PAIRS = 1 << 18
@@ -188,16 +188,25 @@ class ByteBpe:
         longest, shorter, lengths, pairs = self.automaton.iter_long, self.shorter, self.lengths, self._pairs
         out: list[int] = []
         open_ = bytearray(b"\1") * (n + 1)
-        at, token = 0, next(longest(s))[1]
+        found = longest(s)  # goes on behind the token it has given
+        at, token = 0, next(found)[1]
         while True:
             end = at + lengths[token]
-            if open_[end] and (not out or pairs.get((out[-1], token)) or self.compatible(out[-1], token)):
+            ok = open_[end]
+            if ok and out:
+                ok = pairs.get((out[-1], token))
+                if ok is None:
+                    ok = self.compatible(out[-1], token)
+            if ok:
                 out.append(token)
                 at = end
                 if at == n:
                     return out
-                token = next(longest(s, at))[1]
+                if found is None:
+                    found = longest(s, at)
+                token = next(found)[1]
                 continue
+            found = None
             token = shorter[token]
             while token < 0:  # a dead end
                 open_[at] = 0
@@ -222,16 +231,22 @@ class ByteBpe:
 
 
 class _Kept(dict):
-    """Piece to the bytes of its ids; emptied when full."""
+    """Piece to the bytes of its ids; when full, what was not asked for since it was last full goes."""
 
     def __init__(self, bpe: ByteBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
+        self.id_bytes = [i.tobytes() for i in bpe.ids]
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.bpe.ids[self.bpe.encode_piece(piece.encode("utf-8").decode("latin-1"))].tobytes()
+        found = self.older.get(piece)
+        if found is None:
+            letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
+            of = self.id_bytes
+            found = b"".join([of[t] for t in self.bpe.encode_piece(letters)])
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found

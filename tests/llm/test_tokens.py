@@ -65,3 +65,14 @@ def test_queries_on_odd_rows(spark):
 @pytest.mark.parametrize("op", [lambda d: bpe.encode_and_decode(d, BYTE), lambda d: tokencount.count_tokens(d, WORD)])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_frequent_piece_is_encoded_once(monkeypatch):
+    """Rare pieces fill what is kept again and again; one that is asked for in between stays."""
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 8)
+    ours, asked, whole = bpe.ByteBpe(BYTE), [], bpe.ByteBpe.encode_piece
+    monkeypatch.setattr(bpe.ByteBpe, "encode_piece", lambda self, s: asked.append(s) or whole(self, s))
+    text = "".join(f" frequent x{'abcdefghij'[n // 10]}{'klmnopqrst'[n % 10]}q" for n in range(100))
+    assert ours.decode(ours.encode(text).astype(np.int64)) == text
+    assert asked.count(" frequent") == 1 and len(asked) == 101
+    assert len(ours.kept) + len(ours.kept.older) <= 16
