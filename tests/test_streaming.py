@@ -3,6 +3,7 @@
 import datetime
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docketry.operators.limits import Bucket
@@ -75,3 +76,21 @@ def test_both_halves_are_cut_at_one_moment(spark, tmp_path, monkeypatch):
     kept = ["key", "hit_id", "allowed", "remaining", "retry_after_seconds"]
     found = sorted((int(r[0]), *r[1:]) for r in stored.limited_stream(spark, str(tmp_path)).select(kept).collect())
     assert found == sorted(tuple(r) for r in events.rate_limits(spark, str(tmp_path)).select(kept).collect())
+
+
+def test_a_stage_makes_no_frame_of_a_document():
+    """A frame for each document took more than half of a run's time."""
+
+    class Kept:
+        value = None
+        exists, get = lambda self: self.value is not None, lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    work = incremental.Versions(lambda text: [{"part": p, "ordinal": n} for n, p in enumerate(text.split())], ["ordinal", "part"], None)
+    work.last = Kept()
+    ask = lambda *rows: [tuple(r) for r in work.handleInputRows((7,), iter([Row(document=7, content=c, landed=at) for c, at in rows]), None)]
+    assert ask(("a", 1), ("b c", 2), (None, 2)) == [(7, 1, 0, "b"), (7, 1, 1, "c")]
+    assert ask(("b c", 3)) == ask((None, 4)) == []
+    assert ask(("d", 5)) == [(7, 2, 0, "d")]
