@@ -43,6 +43,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of 128 within which a pair is checked (19 are expected at the similarity) and
 #: within which a text is no leader; chance to meet in no shard; rows compared at once.
 APART, CLOSE, MISSED, BLOCK = 27, 12, 0.01, 512
+#: Bits of a set's parities, by which pairs that meet are sifted before their texts are read.
+PARITIES = 1024
 #: Nearest earlier leaders, of as many shards, with which a text is compared before it meets all.
 NEAREST = 8
 #: Texts whose shingles tell which are common, and common shingles that are known: they bear on speed alone.
@@ -226,26 +228,38 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(words, size), repeat(SEED))), ">u8").astype(np.uint64))
 
 
+def parities(own: np.ndarray) -> bytes:
+    """For each of PARITIES classes of shingles whether a set has an odd number of them, packed.
+
+    Every class in which two sets differ holds a shingle that only one of them has, so they
+    have at least as many of these as there are bits in which their parities differ.
+    """
+    return np.packbits(np.bincount((own % PARITIES).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
 def sketch(text: bytes, size: int) -> bytes:
-    """32 bytes: a hash of the words, which tells texts apart, and a fingerprint of 128 bits of the set of shingles."""
+    """32 bytes: a hash of the words, which tells texts apart, and a fingerprint of 128 bits of the set of shingles; 8 of its size and its parities."""
     words = text.lower().split()
     first = shingle_set(words, size)
     second = (first ^ first >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
     second ^= second >> np.uint64(32)
-    return xxhash.xxh3_128_digest(b" ".join(words)) + majority(np.stack([first, second], 1).view(np.uint8).reshape(-1, 16))
+    long = majority(np.stack([first, second], 1).view(np.uint8).reshape(-1, 16))
+    return xxhash.xxh3_128_digest(b" ".join(words)) + long + np.int64(len(first)).tobytes() + parities(first)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, tag: Column, size: int) -> DataFrame:
-    """``id``, ``tag``, the hash of the words ``c0``, ``c1`` and the long fingerprint ``f0``, ``f1``."""
+    """``id``, ``tag``, the hash of the words ``c0``, ``c1``, the long fingerprint ``f0``, ``f1``, and of the set of shingles ``size`` and ``odd``, its parities."""
+    wide = PARITIES // 64
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            longs = np.frombuffer(b"".join(sketch((t.as_py() or "").encode(), size) for t in batch.column(1)), np.int64).reshape(-1, 4)
-            columns = [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "c0", "c1", "f0", "f1"])
+            longs = np.frombuffer(b"".join(sketch((t.as_py() or "").encode(), size) for t in batch.column(1)), np.int64).reshape(-1, 5 + wide)
+            columns = [batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(5))]
+            odd = pa.ListArray.from_arrays(pa.array(np.arange(0, wide * len(longs) + 1, wide, dtype=np.int32)), pa.array(longs[:, 5:].ravel()))
+            yield pa.RecordBatch.from_arrays([*columns, odd], ["id", "tag", "c0", "c1", "f0", "f1", "size", "odd"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tag.alias("tag")).mapInArrow(
-        released(apply), f"{field(docs.schema, id_col, 'id')}, tag long, c0 long, c1 long, f0 long, f1 long"
+        released(apply), f"{field(docs.schema, id_col, 'id')}, tag long, c0 long, c1 long, f0 long, f1 long, size long, odd array<long>"
     )
 
 
@@ -440,6 +454,18 @@ def meeting(texts: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.greatest(number("no"), number("no_")).alias("no"), F.least(number("no"), number("no_")).alias("before")).distinct()
 
 
+def sifted(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (``no``, ``before``) of texts (``no``, ``size``, ``odd``) that may have the similarity by their parities; none that has it is left out.
+
+    Sets of a and b shingles of similarity s differ in (1 - s) / (1 + s) * (a + b) shingles at most.
+    """
+    side = lambda no, n: texts.select(F.col("no").alias(no), F.col("size").alias(f"size{n}"), F.col("odd").alias(f"odd{n}"))
+    bits = F.zip_with("odd0", "odd1", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+    both = pairs.join(side("no", 0), "no").join(side("before", 1), "before")
+    return both.where(apart <= (F.col("size0") + F.col("size1")) * ((1 - similarity) / (1 + similarity)) + 1e-6).select("no", "before")
+
+
 def keep_first(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -461,8 +487,9 @@ def keep_first(
         row = fresh(docs.columns, "_row")
         docs = docs.withColumn(row, F.struct(*[v.alias(k) for k, v in whole.items()])).dropDuplicates([row]).drop(row)
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
-    first = rows.groupBy("c0", "c1", "f0", "f1").agg(F.min(order).alias("first")).orderBy("first")
-    texts = checkpoint(first.select(F.monotonically_increasing_id().alias("no"), "f0", "f1", "first.id", "first.tag"))
+    # rows of the same words have the same set of shingles
+    first = rows.groupBy("c0", "c1", "f0", "f1").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("odd").alias("odd")).orderBy("first")
+    texts = checkpoint(first.select(F.monotonically_increasing_id().alias("no"), "f0", "f1", "first.id", "first.tag", "size", "odd"))
     n = texts.count()
     links = checkpoint(nearest_earlier(texts.select("no", "f0", "f1"), n, similarity))
 
@@ -486,7 +513,8 @@ def keep_first(
     asked = sized(named.join(known, no, "left").withColumn("probe", F.coalesce("probe", F.lit(True))))
     lists = rare_shingles(docs.select(F.col(id_col).alias("id"), tag.alias("tag"), F.col(text_col).alias("text")), n, words, similarity)
     listed = lists.join(asked, F.col("id").eqNullSafe(F.col(own_id)) & (F.col("tag") == F.col(own_tag))).select(F.col(no).alias("no"), "probe", "size", "rare")
-    gone = gone.union(confirmed(checkpoint(meeting(listed, similarity))))
+    # members of a family not quite as alike as asked meet often; few of their texts need to be read
+    gone = gone.union(confirmed(checkpoint(sifted(checkpoint(meeting(listed, similarity)), texts, similarity))))
     stay = named.join(gone.select(F.col("no").alias(no)), no, "left_anti").drop(no)
     keys = rows.select(F.col("id").alias("left_id"), F.col("tag").alias("left_tag")).distinct()
     left = keys.join(stay, F.col("left_id").eqNullSafe(F.col(own_id)) & (F.col("left_tag") == F.col(own_tag)), "left_anti")

@@ -246,3 +246,36 @@ def test_a_family_that_is_not_alike_does_not_meet(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert [tuple(r) for r in rows] == [(301, 300)] and most <= 300
+
+
+def test_few_texts_of_a_family_are_read(spark, monkeypatch):
+    """Of members that meet but are less alike than asked, the texts of few pairs are compared; the result is that of all pairs."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(i, " ".join(changed(rng, base, 0.02)), "en", "s", 1) for i in range(200)]
+    sets = [shingle_texts(t)[1] for _, t, *_ in rows]
+    stay = {i for i in range(len(rows)) if not any(len(sets[i] & o) >= 0.8 * len(sets[i] | o) - 1e-9 for o in sets[:i])}
+    met, read, meeting, similar = [], [], simhash.meeting, simhash.similar
+    monkeypatch.setattr(simhash, "meeting", lambda *a: met.append((df := meeting(*a)).count()) or df)
+    monkeypatch.setattr(simhash, "similar", lambda pairs, *a: read.append(pairs.count()) or similar(pairs, *a))
+    assert {r.doc_id for r in simhash.keep_first(frame(spark, rows)).collect()} == stay
+    print(met, read, len(stay))
+    assert met[0] > 500 and read[-1] < 0.2 * met[0]
+
+
+def test_parities_leave_no_pair_out(spark):
+    """Pairs about as alike as asked, of all sizes: those of the similarity pass, most of the others do not, those far from it never."""
+    rng = np.random.default_rng(10)
+    rows, alike = [], {}
+    for k in range(400):
+        a = int(rng.choice([1, 4, 9, 60, 400, 3000]))
+        gone, new = rng.binomial(a, rng.choice([0, 0.08, 0.11, 0.14, 0.3]), 2).tolist()
+        pool = rng.permutation(rng.integers(0, 1 << 63, a + new, dtype=np.uint64))
+        for no, own in ((2 * k, pool[:a]), (2 * k + 1, pool[gone:])):
+            rows.append((no, len(own), np.frombuffer(simhash.parities(own), np.int64).tolist()))
+        alike[2 * k + 1] = (a - gone) / (a + new), a
+    texts = spark.createDataFrame(rows, "no long, size long, odd array<long>")
+    pairs = spark.createDataFrame([(no, no - 1) for no in alike], "no long, before long")
+    passed = {r.no for r in simhash.sifted(pairs, texts, 0.8).collect()}
+    assert passed >= {no for no, (s, _) in alike.items() if s >= 0.8 - 1e-9} and len(passed) < len(alike)
+    assert not [no for no in passed if alike[no][0] < 0.7 and 60 <= alike[no][1] <= 400]
