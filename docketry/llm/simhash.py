@@ -16,7 +16,8 @@ blocks that must agree nor triangle bounds leave anything out. There fingerprint
 meet; the nearest earlier ones are looked for and the shingles of both texts decide. That
 finds most near copies at a few comparisons each. Those that are left meet all earlier texts
 by the rarest of their shingles, of which two sets of the similarity share some for
-certain, so none is missed.
+certain, so none is missed. Where whole groups are asked for, all texts meet in this way
+but those that are known to be of one group.
 """
 
 from __future__ import annotations
@@ -354,7 +355,7 @@ def nearest_earlier(texts: DataFrame, n: int, similarity: float) -> DataFrame:
 
 
 def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``no`` of those pairs (``no``, ``text``, ``other``) whose sets of shingles have the Jaccard similarity."""
+    """``no`` and ``before`` of those pairs (also ``text``, ``other``) whose sets of shingles have the Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, np.ndarray] = {}
@@ -378,9 +379,9 @@ def similar(pairs: DataFrame, size: int, similarity: float) -> DataFrame:
                 own, held = of(text.as_py() or ""), of(other.as_py() or "")
                 both = len(np.intersect1d(own, held, assume_unique=True))
                 keep.append(both >= similarity * (len(own) + len(held) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["no"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 3)], ["no", "before"])
 
-    return pairs.select("no", "text", "other").mapInArrow(released(check), "no long")
+    return pairs.select("no", "text", "other", "before").mapInArrow(released(check), "no long, before long")
 
 
 def common_shingles(texts: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -436,21 +437,26 @@ def meeting(texts: DataFrame, similarity: float) -> DataFrame:
     Sets of a and b shingles of the similarity share o = s / (1 + s) * (a + b) or more, so one
     of them is among the first a - o + 1 of the one and the first b - o + 1 of the other. Of two
     sets the smaller, of b, needs its first (1 - s) / (1 + s) * b alone: what a family of texts not
-    quite as alike as asked has in common is mostly behind these. No pair of the similarity is left out.
+    quite as alike as asked has in common is mostly behind these. No pair of the similarity is left out,
+    but for pairs of one ``group``, where texts have this column.
     """
     least = lambda share: F.ceil(share - 1e-6)
     shared = lambda sizes: least(sizes * (similarity / (1 + similarity)))
     # a number tells by its sign whether its text is a probe
     signed = F.when(F.col("probe"), F.col("no")).otherwise(-1 - F.col("no"))
-    entries = texts.select(F.posexplode("rare").alias("at", "shingle"), signed.alias("no"), "size")
-    small = entries.where(F.col("at") <= F.col("size") - shared(F.col("size") * 2)).toDF("at_", "shingle_", "no_", "b")
+    group = [c for c in texts.columns if c == "group"]
+    entries = texts.select(F.posexplode("rare").alias("at", "shingle"), signed.alias("no"), "size", *group)
+    small = entries.where(F.col("at") <= F.col("size") - shared(F.col("size") * 2)).toDF("at_", "shingle_", "no_", "b", *(f"{c}_" for c in group))
     number = lambda c: F.greatest(F.col(c), -1 - F.col(c))
     later = (number("no_") < F.col("no")) | (number("no") < F.col("no_"))
     order = (F.col("b") < F.col("a")) | ((F.col("b") == F.col("a")) & (number("no_") < number("no")))
     alike = F.col("b") >= F.col("a") * similarity - 1e-6
     both = shared(F.col("a") + F.col("b"))
     first = (F.col("at") <= F.col("a") - both) & (F.col("at_") <= F.col("b") - both)
-    met = entries.toDF("at", "shingle", "no", "a").join(small, (F.col("shingle") == F.col("shingle_")) & later & order & alike & first)
+    fits = later & order & alike & first
+    for c in group:
+        fits = fits & (F.col(c) != F.col(f"{c}_"))
+    met = entries.withColumnRenamed("size", "a").join(small, (F.col("shingle") == F.col("shingle_")) & fits)
     return met.select(F.greatest(number("no"), number("no_")).alias("no"), F.least(number("no"), number("no_")).alias("before")).distinct()
 
 
@@ -467,15 +473,17 @@ def sifted(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, similarity: float = SIMILARITY, groups: bool = False
 ) -> DataFrame:
     """One row of docs of each group of near-duplicates, with all its columns: that of the smallest id.
 
     Texts are compared as words, split and lower-cased as for the fingerprint. Of texts
     of the same words the first stays. Of the others, a text goes if its set of shingles
     of ``words`` words has Jaccard ``similarity`` or more with that of any earlier text,
-    whether that stays or not. Most are found by the nearest long fingerprint, the rest
-    by the rarest shingles, which leave none out. Null and empty texts are alike. A null
+    whether that stays or not. With ``groups`` it also goes if later texts link it to an
+    earlier one, over any number of them: of each connected group one stays. Most links are
+    found by the nearest long fingerprint, the rest by the rarest shingles, which leave none
+    out that changes the result. Null and empty texts are alike. A null
     id counts as larger than any other. Of several rows of one id, those come first
     whose hash is smaller; of repeated rows one stays. Maps in other columns are compared
     by their entries, in any order. An empty table stays empty.
@@ -505,16 +513,22 @@ def keep_first(
         other = of(pairs.select(F.col("before").alias(no)).distinct()).select(F.col("no").alias("before"), F.col("text").alias("other"))
         return checkpoint(similar(own.join(other, "before"), words, similarity).distinct())
 
-    gone = confirmed(links.select("no", F.get("nearest", 0).alias("before")))
+    near = confirmed(links.select("no", F.get("nearest", 0).alias("before")))
     # in a family of texts about as alike as asked, most have a fellow among a few; asked of all, they would meet by the square
-    further = links.where(F.size("nearest") > 1).join(gone, "no", "left_anti")
-    gone = gone.union(confirmed(checkpoint(further.select("no", F.explode(F.slice("nearest", 2, NEAREST)).alias("before")))))
-    known = gone.select(F.col("no").alias(no), F.lit(False).alias("probe"))
-    asked = sized(named.join(known, no, "left").withColumn("probe", F.coalesce("probe", F.lit(True))))
+    further = links.where(F.size("nearest") > 1).join(near, "no", "left_anti")
+    near = near.union(confirmed(checkpoint(further.select("no", F.explode(F.slice("nearest", 2, NEAREST)).alias("before")))))
+    if groups:
+        # texts of one group need not meet
+        near = components(near.toDF("u", "v")).toDF("no", "before")
+        known, default = near.select(F.col("no").alias(no), F.lit(True).alias("probe"), F.col("before").alias("group")), {"probe": F.lit(True), "group": F.col(no)}
+    else:
+        known, default = near.select(F.col("no").alias(no), F.lit(False).alias("probe")).distinct(), {"probe": F.lit(True)}
+    asked = sized(named.join(known, no, "left").withColumns({c: F.coalesce(c, value) for c, value in default.items()}))
     lists = rare_shingles(docs.select(F.col(id_col).alias("id"), tag.alias("tag"), F.col(text_col).alias("text")), n, words, similarity)
-    listed = lists.join(asked, F.col("id").eqNullSafe(F.col(own_id)) & (F.col("tag") == F.col(own_tag))).select(F.col(no).alias("no"), "probe", "size", "rare")
+    listed = lists.join(asked, F.col("id").eqNullSafe(F.col(own_id)) & (F.col("tag") == F.col(own_tag))).select(F.col(no).alias("no"), *default, "size", "rare")
     # members of a family not quite as alike as asked meet often; few of their texts need to be read
-    gone = gone.union(confirmed(checkpoint(sifted(checkpoint(meeting(listed, similarity)), texts, similarity))))
+    found = near.union(confirmed(checkpoint(sifted(checkpoint(meeting(listed, similarity)), texts, similarity))))
+    gone = components(found.toDF("u", "v")).where("node != root").select(F.col("node").alias("no")) if groups else found.select("no")
     stay = named.join(gone.select(F.col("no").alias(no)), no, "left_anti").drop(no)
     keys = rows.select(F.col("id").alias("left_id"), F.col("tag").alias("left_tag")).distinct()
     left = keys.join(stay, F.col("left_id").eqNullSafe(F.col(own_id)) & (F.col("left_tag") == F.col(own_tag)), "left_anti")

@@ -122,6 +122,40 @@ def test_every_near_copy_goes(spark, monkeypatch):
     assert kept == set(range(len(rows))) - gone and len(gone) > 100
 
 
+@pytest.mark.parametrize("apart", [simhash.APART, 10])
+def test_one_document_of_a_connected_group_stays(spark, monkeypatch, apart):
+    """Against all pairs: chains in any order of ids, and families of which later members link earlier ones."""
+    monkeypatch.setattr(simhash, "APART", apart)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        for at in range(5, 95, 8):
+            texts.append(" ".join(words))
+            words[at] = f"new{rng.random()}"
+    for _ in range(3):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        texts += [" ".join(changed(rng, base, 0.022)) for _ in range(60)]
+    rng.shuffle(texts)
+    rows = [*((i, t, "en", "s", 1) for i, t in enumerate(texts)), (900, texts[7], "en", "s", 1), (901, None, "en", "s", 1), (902, " ", "en", "s", 1), (None, texts[8].upper(), "en", "s", 1)]
+    sets = [shingle_texts(t)[1] for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    group = list(range(len(sets)))
+    while lower := [(i, j) for i, j in links if group[i] != group[j]]:
+        for i, j in lower:
+            group[i] = group[j] = min(group[i], group[j])
+    want = {i for i in group if group[i] == i} | {901}
+    docs = frame(spark, rows)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
+    assert len(want) < len({r.doc_id for r in simhash.keep_first(docs).collect()}) - 10
+
+
+def test_pairs_of_one_group_do_not_meet(spark):
+    rows = [(no, True, no // 2, 10, [1, 2, 3]) for no in range(4)]
+    met = simhash.meeting(spark.createDataFrame(rows, "no long, probe boolean, group long, size int, rare array<long>"), 0.8)
+    assert sorted(map(tuple, met.collect())) == [(2, 0), (2, 1), (3, 0), (3, 1)]
+
+
 def test_a_shard_of_close_copies_keeps_few_leaders():
     rng = np.random.default_rng(4)
     fps = np.repeat(rng.integers(0, 1 << 62, (1, 2), dtype=np.uint64), 5000, 0)
