@@ -52,6 +52,8 @@ NEAREST = 8
 SAMPLE, COMMON = 20_000, 1 << 17
 #: Shingles and characters of texts whose sets a task keeps while it compares pairs.
 HELD = 1 << 22
+#: Links a file, and files at least, of the tables by which groups are joined.
+LINKS, FILES = 1 << 16, 12
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -508,6 +510,9 @@ def keep_first(
     def of(numbers: DataFrame) -> DataFrame:
         return docs.join(sized(named.join(numbers, no, "left_semi")), same).select(F.col(no).alias("no"), F.col(text_col).alias("text"))
 
+    def joined(pairs: DataFrame) -> DataFrame:
+        return components(pairs.toDF("u", "v"), max(FILES, pairs.count() // LINKS))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         own = of(pairs.select(F.col("no").alias(no)).distinct()).join(sized(pairs), "no")
         other = of(pairs.select(F.col("before").alias(no)).distinct()).select(F.col("no").alias("before"), F.col("text").alias("other"))
@@ -519,7 +524,7 @@ def keep_first(
     near = near.union(confirmed(checkpoint(further.select("no", F.explode(F.slice("nearest", 2, NEAREST)).alias("before")))))
     if groups:
         # texts of one group need not meet
-        near = components(near.toDF("u", "v")).toDF("no", "before")
+        near = joined(near).toDF("no", "before")
         known, default = near.select(F.col("no").alias(no), F.lit(True).alias("probe"), F.col("before").alias("group")), {"probe": F.lit(True), "group": F.col(no)}
     else:
         known, default = near.select(F.col("no").alias(no), F.lit(False).alias("probe")).distinct(), {"probe": F.lit(True)}
@@ -528,7 +533,7 @@ def keep_first(
     listed = lists.join(asked, F.col("id").eqNullSafe(F.col(own_id)) & (F.col("tag") == F.col(own_tag))).select(F.col(no).alias("no"), *default, "size", "rare")
     # members of a family not quite as alike as asked meet often; few of their texts need to be read
     found = near.union(confirmed(checkpoint(sifted(checkpoint(meeting(listed, similarity)), texts, similarity))))
-    gone = components(found.toDF("u", "v")).where("node != root").select(F.col("node").alias("no")) if groups else found.select("no")
+    gone = joined(found).where("node != root").select(F.col("node").alias("no")) if groups else found.select("no")
     stay = named.join(gone.select(F.col("no").alias(no)), no, "left_anti").drop(no)
     keys = rows.select(F.col("id").alias("left_id"), F.col("tag").alias("left_tag")).distinct()
     left = keys.join(stay, F.col("left_id").eqNullSafe(F.col(own_id)) & (F.col("left_tag") == F.col(own_tag)), "left_anti")
